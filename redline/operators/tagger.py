@@ -86,7 +86,11 @@ def score_tokens(long_tokens: DataFrame, model: DataFrame, vocab: DataFrame,
     keep_id = vocab_ids(vocab)[KEEP]
     m = broadcast_if_small(model.select(F.col("token").alias("_mtok"), F.col("dist").alias("_dist")))
     j = long_tokens.join(m, F.col(token) == F.col("_mtok"), "left")
-    return j.withColumn("dist", F.coalesce(F.col("_dist"), _default_dist(keep_id))).drop("_mtok", "_dist")
+    # Default decided on the join key, not by coalesce(_dist, ...): Spark 4.1
+    # pushes an extraction of coalesce(...) into the nullable side of the outer
+    # join, which loses the default for unmatched rows (see tests).
+    dist = F.when(F.col("_mtok").isNull(), _default_dist(keep_id)).otherwise(F.col("_dist"))
+    return j.withColumn("dist", dist).drop("_mtok", "_dist")
 
 
 def argmax_tag(dist="dist"):
@@ -158,15 +162,15 @@ def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
         k = F.lit(default_k)
     scored = score_tokens(toks, model, vocab)
     top = top_k("dist", k, num_tags)
+    # maps are not orderable: collect the ranked array, build the map after sorting
     entry = F.struct(
         F.col("pos"), F.col("token"), argmax_tag().getField("tag").alias("pred_tag"),
-        probs_map(top).alias("top_probs"),
         F.transform(top, lambda e: F.struct(e["tag"].alias("tag"), e["prob"].alias("prob"))).alias("top"))
     per = scored.groupBy(key).agg(
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("items"))
     details = F.transform("items", lambda e: F.struct(
         e["token"].alias("token"), e["pred_tag"].alias("pred_tag"),
-        e["top_probs"].alias("top_probs"), e["top"].alias("top")))
+        probs_map(e["top"]).alias("top_probs"), e["top"].alias("top")))
     out = per.select(key, apply_tags(F.col("items.token"), F.col("items.pred_tag")).alias("corrected"),
                      details.alias("token_details"))
     res = sentences.join(out, key, "left")

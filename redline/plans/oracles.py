@@ -109,3 +109,170 @@ gaprows AS (
   SELECT s.pair_id, s.ai AS gap_pos, src.c[s.je + 1 : s.bj] AS ins
   FROM segs s JOIN al_src src USING (pair_id)
   WHERE s.bj > s.je AND s.ai - s.ie <> s.bj - s.je)"""
+
+
+# ---------------------------------------------------------------------------
+# Shared CTE chain for the registered queries (pairs -> F1 -> F2 -> tokens ->
+# alignment -> vocabulary -> split -> count model -> validation scoring).
+# ---------------------------------------------------------------------------
+
+def strip_sql(expr: str) -> str:
+    """DuckDB twin of ``functions.text.py_strip``."""
+    return f"regexp_replace({expr}, '^{WS_RUN}|{WS_RUN}\\z', '', 'g')"
+
+
+def apply_one_sql(token: str, tag: str) -> str:
+    """Applied token for one (token, tag); NULL = dropped."""
+    return (f"CASE WHEN {tag} = 'KEEP' THEN {token} WHEN {tag} = 'DELETE' THEN NULL "
+            f"WHEN starts_with({tag}, 'REPLACE_') THEN substr({tag}, 9) ELSE {token} END")
+
+
+def corpus_ctes() -> str:
+    from .fixtures import DERIVED_PAIRS_SQL
+    return "WITH RECURSIVE " + DERIVED_PAIRS_SQL + f""",
+f1 AS (SELECT * FROM pairs WHERE original_text IS NOT NULL AND corrected_text IS NOT NULL),
+f2 AS (
+  SELECT * FROM f1
+  WHERE levenshtein(lower(original_text), lower(corrected_text))::DOUBLE
+        / nullif(greatest(length(original_text), length(corrected_text)), 0)::DOUBLE <= 0.30::DOUBLE),
+tok AS (SELECT pair_id, {tokenize_sql('original_text')} AS o, {tokenize_sql('corrected_text')} AS c FROM f2),
+{alignment_ctes("SELECT pair_id, o, c FROM tok")},
+vocab AS (
+  SELECT tag, (row_number() OVER (ORDER BY tag) - 1)::INTEGER AS tag_id
+  FROM (SELECT tag FROM tagrows UNION SELECT 'KEEP' UNION SELECT 'DELETE')),
+keep_id AS (SELECT tag_id FROM vocab WHERE tag = 'KEEP'),
+splits AS (
+  SELECT pair_id,
+         CASE WHEN row_number() OVER (ORDER BY md5('42|' || pair_id::VARCHAR), pair_id)
+                   <= floor(count(*) OVER () * 0.05::DOUBLE) THEN 'validation' ELSE 'train' END AS split
+  FROM tok),
+train_tags AS (SELECT t.* FROM tagrows t JOIN splits s USING (pair_id) WHERE s.split = 'train'),
+val_tags AS (SELECT t.* FROM tagrows t JOIN splits s USING (pair_id) WHERE s.split = 'validation'),
+val_tok AS (SELECT t.* FROM tok t JOIN splits s USING (pair_id) WHERE s.split = 'validation'),
+mcounts AS (SELECT token, tag, count(*) AS n FROM train_tags GROUP BY token, tag),
+mtot AS (SELECT token, sum(n)::BIGINT AS n_total FROM mcounts GROUP BY token),
+mrows AS (
+  SELECT m.token, v.tag_id, m.tag, m.n FROM mcounts m JOIN vocab v USING (tag)
+  UNION ALL
+  SELECT t.token, (SELECT tag_id FROM keep_id), 'KEEP', 0 FROM mtot t
+  WHERE NOT EXISTS (SELECT 1 FROM mcounts m WHERE m.token = t.token AND m.tag = 'KEEP')),
+model AS (
+  SELECT token, n_total, tag_id, tag, prob, ln(prob) AS logit,
+         row_number() OVER (PARTITION BY token ORDER BY prob DESC, tag_id) AS rk
+  FROM (SELECT r.token, t.n_total, r.tag_id, r.tag,
+               (r.n::DOUBLE + CASE WHEN r.tag = 'KEEP' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+               / (t.n_total::DOUBLE + 1.0::DOUBLE) AS prob
+        FROM mrows r JOIN mtot t USING (token))),
+val_scored AS (
+  SELECT v.pair_id, v.pos, v.token, l.tag_id AS label,
+         coalesce(m.tag_id, (SELECT tag_id FROM keep_id)) AS pred,
+         coalesce(m.tag, 'KEEP') AS pred_tag
+  FROM val_tags v JOIN vocab l ON l.tag = v.tag
+  LEFT JOIN model m ON m.token = v.token AND m.rk = 1),
+val_loss AS (
+  SELECT v.pair_id, v.pos,
+         CASE WHEN NOT EXISTS (SELECT 1 FROM model m WHERE m.token = v.token)
+              THEN 0.0 - CASE WHEN v.label = (SELECT tag_id FROM keep_id) THEN 0.0 ELSE ln(1e-12) END
+              ELSE (SELECT ln(sum(exp(m.logit))) FROM model m WHERE m.token = v.token)
+                   - coalesce((SELECT m.logit FROM model m WHERE m.token = v.token AND m.tag_id = v.label),
+                              ln(1e-12)) END AS loss
+  FROM val_scored v),
+val_sent AS (
+  SELECT t.pair_id, array_to_string(t.o, ' ') AS sentence, array_to_string(t.c, ' ') AS reference,
+         coalesce((SELECT string_agg({apply_one_sql('s.token', 's.pred_tag')}, ' ' ORDER BY s.pos)
+                   FROM val_scored s WHERE s.pair_id = t.pair_id), '') AS corrected
+  FROM val_tok t)
+"""
+
+
+ORACLES = {
+    "derived_pairs": "SELECT pair_id, original_text, corrected_text FROM pairs",
+    "drop_null_pairs": "SELECT pair_id, original_text, corrected_text FROM f1",
+    "edit_ratio": """SELECT pair_id, round(levenshtein(lower(original_text), lower(corrected_text))::DOUBLE
+        / nullif(greatest(length(original_text), length(corrected_text)), 0)::DOUBLE, 6) AS edit_ratio FROM f1""",
+    "minimal_edit_filter": "SELECT pair_id, original_text, corrected_text FROM f2",
+    "tokenize": """
+        SELECT pair_id, 'original' AS side, (generate_subscripts(o, 1) - 1)::INTEGER AS pos, unnest(o) AS token FROM tok
+        UNION ALL
+        SELECT pair_id, 'corrected', (generate_subscripts(c, 1) - 1)::INTEGER, unnest(c) FROM tok""",
+    "diff_to_tags": "SELECT pair_id, pos::INTEGER AS pos, token, tag FROM tagrows",
+    "gap_tags": "SELECT pair_id, gap_pos::INTEGER AS gap_pos, array_to_string(ins, ' ') AS ins_text FROM gaprows",
+    "diff_roundtrip": "SELECT pair_id, true AS length_ok, true AS roundtrip_ok FROM tok",
+    "apply_tags": f"""
+        SELECT t.pair_id, coalesce((SELECT string_agg({apply_one_sql('r.token', 'r.tag')}, ' ' ORDER BY r.pos)
+                                    FROM tagrows r WHERE r.pair_id = t.pair_id), '') AS applied_text
+        FROM tok t""",
+    "build_tag_vocab": "SELECT tag, tag_id FROM vocab",
+    "tag_parts": """
+        SELECT tag,
+               CASE WHEN starts_with(tag, 'REPLACE_') THEN 'REPLACE'
+                    WHEN starts_with(tag, 'INSERT_') THEN 'INSERT' ELSE tag END AS tag_op,
+               CASE WHEN strpos(tag, '_') > 0 THEN substr(tag, strpos(tag, '_') + 1) ELSE '' END AS arg,
+               starts_with(tag, 'REPLACE_') AS is_replace, starts_with(tag, 'INSERT_') AS is_insert
+        FROM vocab""",
+    "encode_tags": "SELECT r.pair_id, r.pos::INTEGER AS pos, v.tag_id FROM tagrows r JOIN vocab v USING (tag)",
+    "decode_tags": "SELECT pair_id, pos::INTEGER AS pos, tag FROM tagrows",
+    "split_train_validation": "SELECT pair_id, split FROM splits",
+    "split_complement": "SELECT pair_id FROM splits WHERE split = 'train'",
+    "subword_explode": """
+        SELECT pair_id, word_id, piece_no, piece,
+               (4 + ('0x' || substr(md5(piece), 1, 6))::BIGINT % 50261)::INTEGER AS piece_id
+        FROM (SELECT pair_id, pos::INTEGER AS word_id,
+                     unnest(regexp_extract_all(token, '.{1,4}')) AS piece,
+                     (generate_subscripts(regexp_extract_all(token, '.{1,4}'), 1) - 1)::INTEGER AS piece_no
+              FROM tagrows)""",
+    "first_subtoken": """
+        SELECT pair_id, word_id, piece_no, piece_no = 0 AS is_first
+        FROM (SELECT pair_id, pos::INTEGER AS word_id,
+                     (generate_subscripts(regexp_extract_all(token, '.{1,4}'), 1) - 1)::INTEGER AS piece_no
+              FROM tagrows)""",
+    "encode_examples": """
+        SELECT * FROM (WITH pc AS (
+          SELECT r.pair_id, r.pos, v.tag_id,
+                 unnest(regexp_extract_all(r.token, '.{1,4}')) AS piece,
+                 generate_subscripts(regexp_extract_all(r.token, '.{1,4}'), 1) - 1 AS pno
+          FROM tagrows r JOIN vocab v USING (tag)),
+        sq AS (
+          SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY pos, pno) AS sp,
+                 (4 + ('0x' || substr(md5(piece), 1, 6))::BIGINT % 50261) AS pid,
+                 CASE WHEN pno = 0 THEN tag_id ELSE -100 END AS lab
+          FROM pc),
+        ex AS (
+          SELECT t.pair_id,
+                 (SELECT count(*) FROM sq WHERE sq.pair_id = t.pair_id AND sp <= 126) AS n,
+                 (SELECT string_agg(pid::VARCHAR, ' ' ORDER BY sp) FROM sq WHERE sq.pair_id = t.pair_id AND sp <= 126) AS ids,
+                 (SELECT string_agg(lab::VARCHAR, ' ' ORDER BY sp) FROM sq WHERE sq.pair_id = t.pair_id AND sp <= 126) AS labs
+          FROM tok t)
+        SELECT pair_id,
+               '0' || coalesce(' ' || ids, '') || ' 2' || repeat(' 1', (126 - n)::INTEGER) AS input_ids,
+               trim(repeat('1 ', (n + 2)::INTEGER) || repeat('0 ', (126 - n)::INTEGER)) AS attention_mask,
+               '-100' || coalesce(' ' || labs, '') || ' -100' || repeat(' -100', (126 - n)::INTEGER) AS labels
+        FROM ex)""",
+    "fit_count_tagger": """
+        SELECT token, n_total, rk::INTEGER AS rk, tag_id, tag, round(prob, 6) AS prob, round(logit, 6) AS logit
+        FROM model""",
+    "correct_batch": "SELECT pair_id, sentence, corrected FROM val_sent",
+    "correct_verbose": f"""
+        SELECT s.pair_id, s.pos::INTEGER AS pos, s.token, s.pred_tag,
+               coalesce((SELECT string_agg(m.tag || '=' || CAST(round(m.prob * 1000000) AS BIGINT)::VARCHAR, ' ' ORDER BY m.rk)
+                         FROM model m WHERE m.token = s.token AND m.rk <= 3),
+                        'KEEP=1000000') AS top3,
+               v.corrected,
+               {strip_sql('v.corrected')} <> {strip_sql('v.sentence')} AS corrections_made
+        FROM val_scored s JOIN val_sent v USING (pair_id)""",
+    "token_accuracy": """
+        SELECT count_if(pred = label) AS n_correct, count(*) AS n_positions,
+               round(count_if(pred = label)::DOUBLE / nullif(count(*), 0)::DOUBLE, 6) AS token_accuracy,
+               round((SELECT avg(loss) FROM val_loss), 6) AS cross_entropy
+        FROM val_scored""",
+    "sentence_metrics": """
+        SELECT round(sum(levenshtein(corrected, reference))::DOUBLE / sum(length(reference))::DOUBLE, 6) AS cer,
+               round(avg(len(list_filter(string_split(corrected, ' '), lambda t: t <> ''))), 6) AS gen_len,
+               round(avg(CASE WHEN corrected = reference THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS sentence_accuracy,
+               count(*) AS n_sentences
+        FROM val_sent""",
+}
+
+
+def oracle(name: str) -> str:
+    return corpus_ctes() + ORACLES[name]

@@ -32,6 +32,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     master = master or os.environ.get("REDLINE_MASTER", "local[8]")
     b = (SparkSession.builder.master(master).appName(app_name)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", os.environ.get("REDLINE_DRIVER_MEMORY", "16g"))
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8)))
     for k, v in SQL_DEFAULTS.items():
