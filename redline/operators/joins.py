@@ -25,6 +25,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def ensure_parallelism(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
+    """Spread CPU-heavy rows over the cluster when the scan gave too few splits.
+
+    A big table arrives in many splits and passes through untouched (no
+    shuffle).  A small, compute-heavy input (one Parquet row group) would
+    otherwise run every row in one task; it is hash-partitioned on ``keys``,
+    which must be near-unique (a line id), so no hot key can form.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint only after checking the row count (df should be materialized)."""
     n = df.count()

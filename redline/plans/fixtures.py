@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import ensure_parallelism
+
 # Fixed values of the fixture rules.
 LEXICON_SIZE = 200
 LEXICON_MIN_LEN = 4
@@ -27,6 +29,7 @@ def english_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .where(F.col("lang") == "en").select("doc_id", "text"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.where(F.col("line").rlike(r"^[ -~]*\z") & F.col("line").rlike("[^ ]"))
+    lines = ensure_parallelism(lines, "doc_id", "line_no")
     return lines.select("doc_id", "line_no",
                         F.filter(F.split("line", " "), lambda t: t != F.lit("")).alias("tokens"))
 
