@@ -43,9 +43,10 @@ def edit_ratio(original, corrected) -> Column:
     Code-point based, double division.  NULL when both sides are empty (the
     reference would divide by zero).
     """
+    from .distance import levenshtein
     o, c = _c(original), _c(corrected)
     mx = F.greatest(F.length(o), F.length(c))
-    return (F.levenshtein(F.lower(o), F.lower(c)).cast("double")
+    return (levenshtein(F.lower(o), F.lower(c)).cast("double")
             / F.nullif(mx, F.lit(0)).cast("double"))
 
 
@@ -54,13 +55,15 @@ def within_edit_ratio(original, corrected, threshold: float = 0.30) -> Column:
 
     Two cheap rejections run first -- the length difference and the folded
     length difference are lower bounds of the distance -- so only pairs that
-    can pass pay for the quadratic distance.  (Spark's thresholded
-    ``levenshtein`` is not banded and measured slower than the plain form.)
+    can pass pay for the distance; long texts use the bit-parallel form
+    (``functions.distance``).  Spark's thresholded ``levenshtein`` is not
+    banded and measured slower than the plain form.
     """
     o, c = _c(original), _c(corrected)
     mx = F.greatest(F.length(o), F.length(c)).cast("double")
     t = F.lit(float(threshold))
     lo, lc = F.lower(o), F.lower(c)
     bound_ok = (F.abs(F.length(lo) - F.length(lc)).cast("double") / mx) <= t
-    exact = F.levenshtein(lo, lc).cast("double") / F.nullif(mx, F.lit(0.0)) <= t
+    from .distance import levenshtein
+    exact = levenshtein(lo, lc).cast("double") / F.nullif(mx, F.lit(0.0)) <= t
     return F.when(bound_ok, exact).otherwise(F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import checkpoint_root, scratch_path
 
 # Largest dimension table (rows) we hand to a broadcast hint.  Above it the
 # join stays a shuffle join and AQE decides at runtime (skew splitting on).
@@ -29,15 +29,19 @@ def ensure_parallelism(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     """Spread CPU-heavy rows over the cluster when the scan gave too few splits.
 
     A big table arrives in many splits and passes through untouched (no
-    shuffle).  A small, compute-heavy input (one Parquet row group) would
-    otherwise run every row in one task; it is hash-partitioned on ``keys``,
-    which must be near-unique (a line id), so no hot key can form.
+    shuffle, no write).  A small but compute-heavy input (one Parquet row
+    group) would otherwise run every row in one task: it is hash-partitioned
+    on ``keys`` (near-unique, e.g. a line id, so no hot key) and checkpointed
+    to the shared checkpoint folder.  The checkpoint matters: Catalyst pushes
+    filters through a repartition, which would put the expensive predicate
+    back into the single-split scan stage.
     """
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism * factor
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target, *keys)
+    checkpoint_root(spark)
+    return df.repartition(target, *keys).checkpoint(eager=True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

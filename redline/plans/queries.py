@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags as TG
 from ..operators import align, encode, metrics, pairs, split, tagger, vocab
-from .corpus import build_corpus, fit_and_evaluate
+from .corpus import build_corpus, count_tagger, fit_and_evaluate
 from .fixtures import derived_pairs
 
 R = 6  # decimals kept on floating outputs
@@ -26,7 +26,8 @@ def _kept(spark, sf):
 
 
 def _tagged(spark, sf):
-    return pairs.tagged_pairs(_dp(spark, sf))
+    """Tagged F2 pairs: the written corpus table (built on first use)."""
+    return build_corpus(spark, sf).tagged.drop("split")
 
 
 def q_derived_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +134,7 @@ def q_encode_examples(spark, sf):
 
 def q_fit_count_tagger(spark, sf):
     c = build_corpus(spark, sf)
-    m = tagger.fit_count_tagger(c.split("train"), c.vocab)
+    m = count_tagger(spark, sf, c)
     e = m.select("token", "n_total", F.posexplode("dist").alias("rk", "d"))
     return e.select("token", "n_total", (F.col("rk") + 1).alias("rk"), "d.tag_id", "d.tag",
                     F.round("d.prob", R).alias("prob"), F.round("d.logit", R).alias("logit"))
@@ -146,13 +147,13 @@ def _validation_sentences(c):
 
 def q_correct_batch(spark, sf):
     c = build_corpus(spark, sf)
-    m = tagger.fit_count_tagger(c.split("train"), c.vocab)
+    m = count_tagger(spark, sf, c)
     return tagger.correct_batch(_validation_sentences(c), m, c.vocab, key="pair_id")
 
 
 def q_correct_verbose(spark, sf):
     c = build_corpus(spark, sf)
-    m = tagger.fit_count_tagger(c.split("train"), c.vocab)
+    m = count_tagger(spark, sf, c)
     v = tagger.correct_verbose(_validation_sentences(c), m, c.vocab, key="pair_id")
     d = v.select("pair_id", "corrected", "corrections_made",
                  F.posexplode("token_details").alias("pos", "t"))
@@ -170,7 +171,7 @@ def q_token_accuracy(spark, sf):
 
 def q_sentence_metrics(spark, sf):
     c = build_corpus(spark, sf)
-    m = tagger.fit_count_tagger(c.split("train"), c.vocab)
+    m = count_tagger(spark, sf, c)
     val = c.split("validation").select("pair_id", F.array_join("orig_tokens", " ").alias("sentence"),
                                        F.array_join("corr_tokens", " ").alias("reference"))
     pred = tagger.correct_batch(val.select("pair_id", "sentence"), m, c.vocab, key="pair_id")
