@@ -276,3 +276,117 @@ ORACLES = {
 
 def oracle(name: str) -> str:
     return corpus_ctes() + ORACLES[name]
+
+
+# --- requests -------------------------------------------------------------
+
+REQUESTS_SQL = f"""
+rq_src AS (
+  SELECT conv_id, turn, text, (1 + turn % 5)::INTEGER AS k FROM conversations WHERE role = 'user'),
+rq AS (
+  SELECT conv_id, turn,
+    CASE conv_id % 10
+      WHEN 0 THEN substr(json_object('sentence', text)::VARCHAR, 1, length(json_object('sentence', text)::VARCHAR) - 1)
+      WHEN 1 THEN json_object('top_k', k)::VARCHAR
+      WHEN 2 THEN '{{"sentence": null, "top_k": ' || k::VARCHAR || '}}'
+      WHEN 3 THEN '{{"sentence": ' || conv_id::VARCHAR || ', "top_k": ' || k::VARCHAR || '}}'
+      WHEN 4 THEN json_object('sentence', '   ', 'top_k', k)::VARCHAR
+      WHEN 5 THEN json_object('sentence', text, 'top_k', k::VARCHAR)::VARCHAR
+      WHEN 6 THEN json_object('sentence', text, 'top_k', k::DOUBLE + 0.7::DOUBLE)::VARCHAR
+      WHEN 7 THEN json_object('sentence', text, 'top_k', 'x')::VARCHAR
+      WHEN 8 THEN '[1, 2]'
+      ELSE json_object('sentence', text, 'top_k', k)::VARCHAR END AS body
+  FROM rq_src),
+rq_obj AS (
+  SELECT conv_id, turn, body,
+         CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' ELSE false END AS is_obj
+  FROM rq),
+rq_fields AS (
+  SELECT conv_id, turn,
+         CASE WHEN is_obj THEN json_type(body, '$.sentence') END AS st,
+         CASE WHEN is_obj THEN json_extract_string(body, '$.sentence') END AS sv,
+         CASE WHEN is_obj THEN json_type(body, '$.top_k') END AS tt,
+         CASE WHEN is_obj THEN json_extract_string(body, '$.top_k') END AS ts
+  FROM rq_obj),
+parsed_rq AS (
+  SELECT conv_id, turn,
+         CASE WHEN st IS NULL THEN '' WHEN st = 'VARCHAR' THEN sv END AS sentence,
+         CASE WHEN tt IS NULL THEN 3::BIGINT
+              WHEN tt IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN trunc(ts::DOUBLE)::BIGINT
+              WHEN tt = 'BOOLEAN' THEN CASE WHEN ts = 'true' THEN 1 ELSE 0 END::BIGINT
+              WHEN tt = 'VARCHAR' AND regexp_full_match(trim(ts), '[+-]?[0-9]+') THEN trim(ts)::BIGINT
+         END AS top_k,
+         CASE WHEN st IS NULL THEN 'missing' WHEN st = 'VARCHAR' THEN 'string' WHEN st = 'NULL' THEN 'null'
+              WHEN st IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'number' ELSE 'other' END AS sentence_kind
+  FROM rq_fields),
+routed_rq AS (
+  SELECT *,
+         CASE WHEN top_k IS NULL THEN 'bad_top_k'
+              WHEN sentence_kind NOT IN ('string', 'missing') THEN 'bad_sentence'
+              WHEN NOT regexp_matches(sentence, '[^{WS_RUN[1:-2]}]') THEN 'empty'
+              ELSE 'score' END AS route
+  FROM parsed_rq),
+routed2 AS (
+  SELECT *, CASE WHEN route IN ('bad_top_k', 'bad_sentence') THEN 400 ELSE 200 END AS status,
+         CASE route WHEN 'bad_top_k' THEN 'top_k must be an integer'
+                    WHEN 'bad_sentence' THEN '''sentence'' must be a string' END AS error,
+         CASE route WHEN 'empty' THEN 'Input sentence was empty.'
+                    WHEN 'score' THEN 'Typos checked successfully.' END AS message
+  FROM routed_rq),
+ntags AS (SELECT count(*) AS n FROM vocab),
+rq_tok AS (
+  SELECT conv_id, turn, top_k, sentence, unnest({tokenize_sql('sentence')}) AS token,
+         generate_subscripts({tokenize_sql('sentence')}, 1) - 1 AS pos
+  FROM routed2 WHERE route = 'score'),
+rq_scored AS (
+  SELECT t.conv_id, t.turn, t.pos, t.token, coalesce(m.tag, 'KEEP') AS pred_tag,
+         coalesce((SELECT string_agg(x.tag || '=' || CAST(round(x.prob * 1000000) AS BIGINT)::VARCHAR, ',' ORDER BY x.rk)
+                   FROM model x WHERE x.token = t.token
+                     AND x.rk <= least(greatest(t.top_k, 1), (SELECT n FROM ntags))),
+                  'KEEP=1000000') AS topk,
+         coalesce((SELECT string_agg(x.tag || ': ' || (CAST(round(x.prob * 1000) AS BIGINT) // 10)::VARCHAR || '.'
+                                     || (CAST(round(x.prob * 1000) AS BIGINT) % 10)::VARCHAR || '%', ' | ' ORDER BY x.rk)
+                   FROM model x WHERE x.token = t.token
+                     AND x.rk <= least(greatest(t.top_k, 1), (SELECT n FROM ntags))),
+                  'KEEP: 100.0%') AS topk_pct
+  FROM rq_tok t LEFT JOIN model m ON m.token = t.token AND m.rk = 1),
+responses AS (
+  SELECT r.conv_id, r.turn, r.status, r.error, r.message,
+         CASE WHEN r.status = 200 THEN r.sentence END AS original_sentence,
+         CASE WHEN r.route = 'score' THEN coalesce(s.corrected, '') WHEN r.route = 'empty' THEN '' END AS corrected_sentence,
+         CASE WHEN r.route = 'score'
+              THEN {strip_sql("coalesce(s.corrected, '')")} <> {strip_sql('r.sentence')}
+              WHEN r.route = 'empty' THEN false END AS corrections_made,
+         CASE WHEN r.status = 200 THEN 'redline-count-tagger' END AS model_name,
+         CASE WHEN r.route = 'score' THEN coalesce(s.details, '') WHEN r.route = 'empty' THEN '' END AS details
+  FROM routed2 r
+  LEFT JOIN (
+    SELECT conv_id, turn,
+           string_agg({apply_one_sql('token', 'pred_tag')}, ' ' ORDER BY pos) AS corrected,
+           string_agg(token || '|' || pred_tag || '|' || topk, ' ; ' ORDER BY pos) AS details
+    FROM rq_scored GROUP BY conv_id, turn) s
+  ON s.conv_id = r.conv_id AND s.turn = r.turn)
+"""
+
+_RESPONSE_SELECT = ("SELECT conv_id, turn, status, error, message, original_sentence, corrected_sentence, "
+                    "corrections_made, model_name, details FROM responses")
+
+ORACLES.update({
+    "parse_requests": "SELECT conv_id, turn, sentence, top_k, sentence_kind FROM parsed_rq",
+    "route_requests": "SELECT conv_id, turn, status, error, message FROM routed2",
+    "check_typos": _RESPONSE_SELECT,
+    "correct_stream": _RESPONSE_SELECT,
+    "render_token_table": """
+        SELECT conv_id, turn, (pos + 1)::INTEGER AS row_no, token, pred_tag, topk_pct AS top_probs
+        FROM rq_scored""",
+})
+
+_REQUEST_ORACLES = {"parse_requests", "route_requests", "check_typos", "correct_stream",
+                    "render_token_table"}
+
+
+def oracle(name: str) -> str:  # noqa: F811 - extends the corpus-only version
+    base = corpus_ctes()
+    if name in _REQUEST_ORACLES:
+        base = base + "," + REQUESTS_SQL
+    return base + ORACLES[name]

@@ -214,3 +214,96 @@ QUERIES = {
 }
 
 __all__ = ["QUERIES", "metrics"]
+
+
+# ---------------------------------------------------------------------------
+# Requests, responses, stream
+# ---------------------------------------------------------------------------
+
+def _conversations(spark, sf):
+    from ..streaming.correct_stream import CONVERSATION_SCHEMA
+    return spark.read.schema(CONVERSATION_SCHEMA).parquet(f"{sf}/conversations.parquet")
+
+
+def _kind(t):
+    from ..operators.requests import NUMERIC_PREFIXES
+    num = F.lit(False)
+    for p in NUMERIC_PREFIXES:
+        num = num | t.startswith(p)
+    return (F.when(t == "MISSING", "missing").when(t == "STRING", "string").when(t == "VOID", "null")
+             .when(num, "number").otherwise("other"))
+
+
+def q_parse_requests(spark, sf):
+    from ..operators.requests import parse_requests, requests_from_conversations
+    p = parse_requests(requests_from_conversations(_conversations(spark, sf)))
+    return p.select("conv_id", "turn", "sentence", "top_k", _kind(F.col("sentence_type")).alias("sentence_kind"))
+
+
+def q_route_requests(spark, sf):
+    from ..operators.requests import parse_requests, requests_from_conversations, route_requests
+    r = route_requests(parse_requests(requests_from_conversations(_conversations(spark, sf))))
+    return r.select("conv_id", "turn", "status", "error", "message")
+
+
+def _details_text(col="token_details"):
+    return F.array_join(F.transform(col, lambda d: F.concat_ws(
+        "|", d["token"], d["pred_tag"],
+        F.array_join(F.transform(d["top"], lambda e: F.concat(
+            e["tag"], F.lit("="), F.round(e["prob"] * 1000000).cast("long").cast("string"))), ","))), " ; ")
+
+
+def _response_cols(df):
+    return df.select("conv_id", "turn", "status", "error", "message", "original_sentence",
+                     "corrected_sentence", "corrections_made", "model_name",
+                     _details_text().alias("details"))
+
+
+def q_check_typos(spark, sf):
+    from ..streaming.correct_stream import respond
+    c = build_corpus(spark, sf)
+    return _response_cols(respond(_conversations(spark, sf), count_tagger(spark, sf, c), c.vocab))
+
+
+def q_correct_stream(spark, sf):
+    from ..streaming.correct_stream import run_correct_stream
+    c = build_corpus(spark, sf)
+    responses, _ = run_correct_stream(spark, f"{sf}/conversations*.parquet",
+                                      count_tagger(spark, sf, c), c.vocab)
+    return _response_cols(responses)
+
+
+def q_stream_latency(spark, sf):
+    from ..streaming.correct_stream import run_correct_stream, with_latency
+    c = build_corpus(spark, sf)
+    responses, latency = run_correct_stream(spark, f"{sf}/conversations*.parquet",
+                                            count_tagger(spark, sf, c), c.vocab)
+    r = with_latency(responses, latency)
+    return r.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_requests"),
+                                     F.max("processing_time_ms").alias("ms_per_request"))
+
+
+def q_render_token_table(spark, sf):
+    from ..streaming.correct_stream import respond
+    c = build_corpus(spark, sf)
+    r = respond(_conversations(spark, sf), count_tagger(spark, sf, c), c.vocab)
+    r = r.where(F.col("message") == "Typos checked successfully.")
+    e = r.select("conv_id", "turn", F.posexplode("token_details").alias("i", "d"))
+    tenth = F.round(F.col("p") * 1000).cast("long")
+    pct = lambda e_: F.concat(e_["tag"], F.lit(": "), (F.round(e_["prob"] * 1000).cast("long") / 10)
+                              .cast("long").cast("string"), F.lit("."),
+                              (F.round(e_["prob"] * 1000).cast("long") % 10).cast("string"), F.lit("%"))
+    del tenth
+    return e.select("conv_id", "turn", (F.col("i") + 1).alias("row_no"), F.col("d.token").alias("token"),
+                    F.col("d.pred_tag").alias("pred_tag"),
+                    F.array_join(F.transform("d.top", pct), " | ").alias("top_probs"))
+
+
+QUERIES.update({
+    "parse_requests": q_parse_requests,
+    "route_requests": q_route_requests,
+    "check_typos": q_check_typos,
+    "correct_stream": q_correct_stream,
+    "stream_latency": q_stream_latency,
+    "render_token_table": q_render_token_table,
+})
