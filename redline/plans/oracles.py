@@ -390,3 +390,80 @@ def oracle(name: str) -> str:  # noqa: F811 - extends the corpus-only version
     if name in _REQUEST_ORACLES:
         base = base + "," + REQUESTS_SQL
     return base + ORACLES[name]
+
+
+# --- term lists and round trips ------------------------------------------
+
+NON_WS_CLASS = "[^" + WS_RUN[1:-2] + "]"
+
+TERMS_SQL = f"""
+tl AS (
+  SELECT p_partkey AS line_no,
+    CASE p_partkey % 7 WHEN 0 THEN '   ' WHEN 1 THEN p_name
+         WHEN 2 THEN p_name || '/js[' || p_brand || '/x[' || p_type || ']]'
+         WHEN 3 THEN p_name || '/Alias[|' || p_brand || ']'
+         ELSE p_name || '/alias[' || p_brand || '|' || p_type || ']' END AS line
+  FROM part),
+tl_marked AS (
+  SELECT line_no, regexp_replace(line, '(?i)/[a-z]+\\[', chr(1)) AS m
+  FROM tl WHERE regexp_matches(line, '{NON_WS_CLASS}')),
+tl_raw AS (
+  SELECT line_no,
+         list_concat([split_part(m, chr(1), 1)],
+                     CASE WHEN strpos(m, chr(1)) > 0
+                          THEN string_split(regexp_replace(substr(m, strpos(m, chr(1)) + 1), '\\]+$', ''), '|')
+                          ELSE []::VARCHAR[] END) AS raw_terms
+  FROM tl_marked),
+tl_terms AS (
+  SELECT line_no, term_no, replace({strip_sql('raw')}, ' ', '') AS term FROM (
+    SELECT line_no, unnest(raw_terms) AS raw, (generate_subscripts(raw_terms, 1) - 1)::INTEGER AS term_no
+    FROM tl_raw)),
+term_dict AS (
+  SELECT term, count(*)::BIGINT AS freq, min(line_no) AS first_line,
+         arg_min(term_no, line_no * 1000 + term_no)::INTEGER AS first_term_no
+  FROM tl_terms WHERE term <> '' GROUP BY term),
+bench_lines AS (
+  SELECT item_id, unnest(string_split(text, chr(10))) AS sentence FROM benchmark),
+bl_tok AS (
+  SELECT b.*, unnest({tokenize_sql('sentence')}) AS token,
+         generate_subscripts({tokenize_sql('sentence')}, 1) - 1 AS pos
+  FROM (SELECT row_number() OVER () AS lid, sentence FROM bench_lines) b),
+bl_corr AS (
+  SELECT b.lid, b.sentence,
+         coalesce((SELECT string_agg({apply_one_sql('t.token', "coalesce(m.tag, 'KEEP')")}, ' ' ORDER BY t.pos)
+                   FROM bl_tok t LEFT JOIN model m ON m.token = t.token AND m.rk = 1
+                   WHERE t.lid = b.lid), '') AS corrected,
+         len({tokenize_sql('b.sentence')}) AS n_tokens
+  FROM (SELECT row_number() OVER () AS lid, sentence FROM bench_lines) b)
+"""
+
+_NA = ", ".join("'" + w + "'" for w in (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+    "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"))
+
+ORACLES.update({
+    "term_dictionary": "SELECT term, freq, first_line, first_term_no FROM term_dict",
+    "term_list_roundtrip": "SELECT term, freq FROM term_dict",
+    "pairs_csv_roundtrip": f"""
+        SELECT pair_id,
+               CASE WHEN original_text IN ({_NA}) THEN NULL ELSE original_text END AS original_text,
+               CASE WHEN corrected_text IN ({_NA}) THEN NULL ELSE corrected_text END AS corrected_text
+        FROM pairs""",
+    "vocab_json_roundtrip": "SELECT tag, tag_id FROM vocab",
+    "encoded_roundtrip": "SELECT e.pair_id, e.input_ids, e.labels FROM (" + ORACLES["encode_examples"]
+                         + ") e JOIN splits s USING (pair_id) WHERE s.split = 'validation'",
+    "sentences_roundtrip": "SELECT corrected FROM bl_corr",
+    "verbose_jsonl_roundtrip": "SELECT sentence AS original, corrected, n_tokens::INTEGER AS n_tokens FROM bl_corr",
+    "model_roundtrip": ORACLES["token_accuracy"],
+})
+
+_TERM_ORACLES = {"term_dictionary", "term_list_roundtrip", "sentences_roundtrip", "verbose_jsonl_roundtrip"}
+
+
+def oracle(name: str) -> str:  # noqa: F811 - final dispatcher
+    base = corpus_ctes()
+    if name in _REQUEST_ORACLES:
+        base = base + "," + REQUESTS_SQL
+    if name in _TERM_ORACLES:
+        base = base + "," + TERMS_SQL
+    return base + ORACLES[name]

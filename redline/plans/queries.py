@@ -307,3 +307,109 @@ QUERIES.update({
     "stream_latency": q_stream_latency,
     "render_token_table": q_render_token_table,
 })
+
+
+# ---------------------------------------------------------------------------
+# Term lists (S5, F3, P20, A2, K5) and source/sink round trips
+# ---------------------------------------------------------------------------
+
+def _term_lines(spark, sf):
+    from ..operators.terms import term_lines_from_parts
+    return term_lines_from_parts(spark.read.parquet(f"{sf}/part.parquet"))
+
+
+def q_term_dictionary(spark, sf):
+    from ..operators.terms import merge_term_counts, parse_term_lines
+    return merge_term_counts(parse_term_lines(_term_lines(spark, sf)))
+
+
+def q_term_list_roundtrip(spark, sf):
+    from ..operators.terms import merge_term_counts, parse_term_lines
+    from ..session import scratch_path
+    from ..sources import io
+    src, dst = scratch_path(spark, "terms_in"), scratch_path(spark, "terms_out")
+    io.write_sentences(_term_lines(spark, sf), src, col="line", order="line_no")
+    d = merge_term_counts(parse_term_lines(io.read_term_list(spark, src)))
+    io.write_term_dict(d, dst)
+    return io.read_term_dict(spark, dst)
+
+
+def q_pairs_csv_roundtrip(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    path = scratch_path(spark, "pairs_csv")
+    io.write_pairs_csv(_dp(spark, sf), path)
+    df = io.read_pairs_csv(spark, path)
+    return df.select(F.col("pair_id").cast("long").alias("pair_id"), "original_text", "corrected_text")
+
+
+def q_vocab_json_roundtrip(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    path = scratch_path(spark, "tag2id")
+    io.write_tag_vocab(build_corpus(spark, sf).vocab, path)
+    return io.read_tag_vocab(spark, path)
+
+
+def q_encoded_roundtrip(spark, sf):
+    from ..session import scratch_path
+    c = build_corpus(spark, sf)
+    path = scratch_path(spark, "encoded")
+    enc = encode.encode_examples(c.tagged, c.vocab).join(c.tagged.select("pair_id", "split"), "pair_id")
+    encode.write_encoded(enc, path)
+    back = encode.read_encoded(spark, path, "validation")
+    j = lambda col: F.array_join(F.transform(col, lambda x: x.cast("string")), " ")
+    return back.select("pair_id", j("input_ids").alias("input_ids"), j("labels").alias("labels"))
+
+
+def _benchmark_lines(spark, sf):
+    b = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return b.select("item_id", F.posexplode(F.split("text", "\n")).alias("ln", "sentence"))
+
+
+def q_sentences_roundtrip(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    c = build_corpus(spark, sf)
+    src, dst = scratch_path(spark, "sentences"), scratch_path(spark, "corrected")
+    io.write_sentences(_benchmark_lines(spark, sf), src, order=None)
+    s = io.read_sentences(spark, src)
+    out = tagger.correct_batch(s, count_tagger(spark, sf, c), c.vocab, key="line_id")
+    io.write_corrected(out, dst)
+    return spark.read.text(dst).select(F.col("value").alias("corrected"))
+
+
+def q_verbose_jsonl_roundtrip(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    c = build_corpus(spark, sf)
+    path = scratch_path(spark, "verbose")
+    s = _benchmark_lines(spark, sf).select(F.struct("item_id", "ln").alias("k"), "sentence")
+    v = tagger.correct_verbose(s, count_tagger(spark, sf, c), c.vocab, key="k", default_k=5)
+    io.write_verbose_jsonl(v, path)
+    back = io.read_verbose_jsonl(spark, path)
+    return back.select("original", "corrected", F.size("tokens").alias("n_tokens"))
+
+
+def q_model_roundtrip(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    c = build_corpus(spark, sf)
+    path = scratch_path(spark, "model")
+    io.save_model(count_tagger(spark, sf, c), c.vocab, path)
+    m, v = io.load_model(spark, path)
+    r = metrics.evaluate_tagger(c.split("validation"), m, v)
+    return r.select("n_correct", "n_positions", F.round("token_accuracy", R).alias("token_accuracy"),
+                    F.round("cross_entropy", R).alias("cross_entropy"))
+
+
+QUERIES.update({
+    "term_dictionary": q_term_dictionary,
+    "term_list_roundtrip": q_term_list_roundtrip,
+    "pairs_csv_roundtrip": q_pairs_csv_roundtrip,
+    "vocab_json_roundtrip": q_vocab_json_roundtrip,
+    "encoded_roundtrip": q_encoded_roundtrip,
+    "sentences_roundtrip": q_sentences_roundtrip,
+    "verbose_jsonl_roundtrip": q_verbose_jsonl_roundtrip,
+    "model_roundtrip": q_model_roundtrip,
+})
