@@ -467,3 +467,49 @@ def oracle(name: str) -> str:  # noqa: F811 - final dispatcher
     if name in _TERM_ORACLES:
         base = base + "," + TERMS_SQL
     return base + ORACLES[name]
+
+
+# --- sequence metrics -----------------------------------------------------
+
+def _grams_sql(side: str, n: int) -> str:
+    return (f"SELECT pair_id, {n} AS n, unnest(CASE WHEN len(t) >= {n} THEN "
+            f"list_transform(range(0, len(t) - {n} + 1), lambda i: array_to_string(t[i + 1 : i + {n}], ' ')) "
+            f"ELSE []::VARCHAR[] END) AS gram, {1 if side == 'p' else 0} AS ip, {0 if side == 'p' else 1} AS ir "
+            f"FROM (SELECT pair_id, {tokenize_sql('corrected' if side == 'p' else 'reference')} AS t FROM val_sent)")
+
+
+NGRAMS_SQL = ("ngr AS (SELECT pair_id, n, gram, sum(ip) AS cp, sum(ir) AS cr FROM ("
+              + " UNION ALL ".join(_grams_sql(s, n) for n in range(1, 5) for s in ("p", "r"))
+              + ") GROUP BY pair_id, n, gram)")
+
+ORACLES.update({
+    "corpus_bleu": """
+        SELECT round(CASE WHEN k < 4 THEN 0.0
+                          ELSE (CASE WHEN c > r THEN 1.0 ELSE exp(1 - r::DOUBLE / c::DOUBLE) END) * exp(s / 4) END
+                     * 100, 6) AS bleu, c AS pred_len, r AS ref_len
+        FROM (SELECT sum(CASE WHEN m > 0 THEN ln(m::DOUBLE / t::DOUBLE) END) AS s,
+                     count_if(m > 0) AS k,
+                     coalesce(max(CASE WHEN n = 1 THEN t END), 0) AS c,
+                     coalesce(max(CASE WHEN n = 1 THEN tr END), 0) AS r
+              FROM (SELECT n, sum(least(cp, cr)) AS m, sum(cp) AS t, sum(cr) AS tr FROM ngr GROUP BY n))""",
+    "rouge_n": """
+        SELECT round(avg(CASE WHEN n = 1 THEN f END), 6) AS rouge1, round(avg(CASE WHEN n = 2 THEN f END), 6) AS rouge2
+        FROM (SELECT v.pair_id, x.n,
+                     coalesce((SELECT CASE WHEN sum(least(cp, cr)) = 0 THEN 0.0
+                                           ELSE 2.0 * sum(least(cp, cr)) / (sum(cp) + sum(cr)) END
+                               FROM ngr g WHERE g.pair_id = v.pair_id AND g.n = x.n), 0.0) AS f
+              FROM val_sent v, (SELECT unnest([1, 2]) AS n) x)""",
+})
+
+_NGRAM_ORACLES = {"corpus_bleu", "rouge_n"}
+
+
+def oracle(name: str) -> str:  # noqa: F811 - final dispatcher
+    base = corpus_ctes()
+    if name in _REQUEST_ORACLES:
+        base = base + "," + REQUESTS_SQL
+    if name in _TERM_ORACLES:
+        base = base + "," + TERMS_SQL
+    if name in _NGRAM_ORACLES:
+        base = base + "," + NGRAMS_SQL
+    return base + ORACLES[name]

@@ -413,3 +413,47 @@ QUERIES.update({
     "verbose_jsonl_roundtrip": q_verbose_jsonl_roundtrip,
     "model_roundtrip": q_model_roundtrip,
 })
+
+
+# ---------------------------------------------------------------------------
+# Sequence metrics on the validation corrections
+# ---------------------------------------------------------------------------
+
+def _pred_ref(spark, sf):
+    c = build_corpus(spark, sf)
+    val = c.split("validation").select("pair_id", F.array_join("orig_tokens", " ").alias("sentence"),
+                                       F.array_join("corr_tokens", " ").alias("reference"))
+    pred = tagger.correct_batch(val.select("pair_id", "sentence"), count_tagger(spark, sf, c), c.vocab,
+                                key="pair_id")
+    return pred.join(val.select("pair_id", "reference"), "pair_id").withColumnRenamed("corrected", "prediction")
+
+
+def q_word_error_rate(spark, sf):
+    from ..operators.textmetrics import word_error_rate
+    return word_error_rate(_pred_ref(spark, sf)).select(F.round("wer", R).alias("wer"))
+
+
+def q_corpus_bleu(spark, sf):
+    from ..operators.textmetrics import corpus_bleu
+    b = corpus_bleu(_pred_ref(spark, sf), "pair_id")
+    return b.select(F.round("bleu", R).alias("bleu"), "pred_len", "ref_len")
+
+
+def q_rouge_n(spark, sf):
+    from ..operators.textmetrics import rouge_n
+    r = rouge_n(_pred_ref(spark, sf), "pair_id")
+    return r.select(F.round("rouge1", R).alias("rouge1"), F.round("rouge2", R).alias("rouge2"))
+
+
+def q_rouge_l(spark, sf):
+    from ..operators.textmetrics import rouge_l
+    r = rouge_l(_pred_ref(spark, sf))
+    return r.select(F.round("rougeL", R).alias("rougeL"), F.round("rougeLsum", R).alias("rougeLsum"))
+
+
+QUERIES.update({
+    "word_error_rate": q_word_error_rate,
+    "corpus_bleu": q_corpus_bleu,
+    "rouge_n": q_rouge_n,
+    "rouge_l": q_rouge_l,
+})
