@@ -513,3 +513,19 @@ def oracle(name: str) -> str:  # noqa: F811 - final dispatcher
     if name in _NGRAM_ORACLES:
         base = base + "," + NGRAMS_SQL
     return base + ORACLES[name]
+
+
+ORACLES.update({
+    "external_scorer_eval": """
+        SELECT count(*) AS n_positions,
+               count_if(label = (SELECT tag_id FROM keep_id)) AS n_correct,
+               round(count_if(label = (SELECT tag_id FROM keep_id))::DOUBLE / nullif(count(*), 0)::DOUBLE, 6) AS token_accuracy,
+               round(avg(ln(exp(1.0::DOUBLE) + ((SELECT count(*) FROM vocab) - 1)::DOUBLE)
+                         - CASE WHEN label = (SELECT tag_id FROM keep_id) THEN 1.0 ELSE 0.0 END), 6) AS cross_entropy
+        FROM (SELECT r.pair_id, r.pos, v.tag_id AS label,
+                     coalesce(sum(len(regexp_extract_all(r.token, '.{1,4}'))) OVER (
+                         PARTITION BY r.pair_id ORDER BY r.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+              FROM tagrows r JOIN vocab v USING (tag) JOIN splits s USING (pair_id)
+              WHERE s.split = 'validation')
+        WHERE before + 1 <= 126""",
+})

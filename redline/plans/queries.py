@@ -457,3 +457,45 @@ QUERIES.update({
     "rouge_n": q_rouge_n,
     "rouge_l": q_rouge_l,
 })
+
+
+# ---------------------------------------------------------------------------
+# Model plug-ins (M2, M6, U2) with A3/A4 on their outputs
+# ---------------------------------------------------------------------------
+
+def q_external_scorer_eval(spark, sf):
+    from ..operators import external
+    from ..functions.tags import KEEP
+    c = build_corpus(spark, sf)
+    num_tags = c.vocab.count()
+    keep_id = vocab.vocab_ids(c.vocab)[KEEP]
+    enc = encode.encode_examples(c.split("validation"), c.vocab)
+    scored = external.external_model_scorer(enc, external.keep_baseline_model(num_tags, keep_id), num_tags)
+    r = external.external_eval(external.score_positions(scored, num_tags))
+    return r.select("n_positions", "n_correct", F.round("token_accuracy", R).alias("token_accuracy"),
+                    F.round("cross_entropy", R).alias("cross_entropy"))
+
+
+def q_fit_linear_tagger(spark, sf):
+    from ..operators import external
+    from ..session import scratch_path
+    c = build_corpus(spark, sf)
+
+    def words(split_name):
+        w = external.context_features(c.split(split_name))
+        return vocab.encode_tags(w, c.vocab, "tag", "label")
+
+    model = external.fit_linear_tagger(words("train"))
+    path = scratch_path(spark, "linear_tagger")
+    external.save_pipeline(model, path)           # K6 round trip
+    model = external.load_pipeline(path)
+    pred = model.transform(words("validation"))
+    hit = F.col("prediction").cast("int") == F.col("label")
+    return pred.agg(F.count(F.lit(1)).alias("n_positions"), F.count_if(hit).alias("n_correct"),
+                    F.round(F.count_if(hit) / F.count(F.lit(1)), R).alias("token_accuracy"))
+
+
+QUERIES.update({
+    "external_scorer_eval": q_external_scorer_eval,
+    "fit_linear_tagger": q_fit_linear_tagger,
+})
