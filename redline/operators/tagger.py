@@ -123,25 +123,30 @@ def softmax(logits):
     return F.transform(ex, lambda v: v / s)
 
 
-def sentence_tokens(sentences: DataFrame, key: str, text: str = "sentence") -> DataFrame:
-    """``(key, pos, token)``; a sentence without tokens keeps one row with NULL pos."""
-    return sentences.select(key, F.posexplode_outer(tokenize(text)).alias("pos", "token"))
+def sentence_tokens(sentences: DataFrame, key: str, text: str = "sentence", *carry) -> DataFrame:
+    """``(key, pos, token, _text, *carry)``; a sentence without tokens keeps one
+    row with NULL pos.  The sentence text rides only on its first row (so it is
+    shuffled once, not once per token) and comes back with the regroup."""
+    ex = sentences.select(key, F.col(text).alias("_text"), *carry,
+                          F.posexplode_outer(tokenize(text)).alias("pos", "token"))
+    first = F.col("pos").isNull() | (F.col("pos") == 0)
+    return ex.withColumn("_text", F.when(first, F.col("_text")))
 
 
 def correct_batch(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
                   key: str = "line_no", text: str = "sentence") -> DataFrame:
     """``(key, sentence, corrected)`` (M3): tokenise, score, argmax, apply tags.
 
-    Shuffles: the model join (broadcast when small) and the regroup by ``key``
-    (bounded group: the tokens of one sentence).
+    Exchanges: the model join (broadcast when it passes the size check) and
+    one regroup by ``key`` (a group is one sentence's tokens).
     """
     toks = sentence_tokens(sentences, key, text)
     scored = score_tokens(toks, model, vocab)
     item = F.when(F.col("pos").isNotNull(),
                   F.struct("pos", "token", argmax_tag().getField("tag").alias("tag")))
-    per = scored.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    out = per.select(key, apply_tags(F.col("items.token"), F.col("items.tag")).alias("corrected"))
-    return sentences.select(key, text).join(out, key, "left")
+    per = scored.groupBy(key).agg(F.max("_text").alias(text),
+                                  F.array_sort(F.collect_list(item)).alias("items"))
+    return per.select(key, text, apply_tags(F.col("items.token"), F.col("items.tag")).alias("corrected"))
 
 
 def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
@@ -151,30 +156,27 @@ def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
 
     ``token_details`` = array of ``struct(token, pred_tag, top_probs map, top
     array)`` in token order; ``top`` keeps the ranked order the map loses.
+    ``top_k`` (per row, or ``default_k``) is clamped to [1, vocabulary size].
     """
     num_tags = vocab.count() if clamp else None
-    toks = sentence_tokens(sentences.select(key, text, *( [top_k_col] if top_k_col else [])),
-                           key, text)
-    if top_k_col:
-        toks = toks.join(sentences.select(key, F.col(top_k_col).alias("_k")), key)
-        k = F.col("_k")
-    else:
-        k = F.lit(default_k)
+    k_col = (F.col(top_k_col) if top_k_col else F.lit(default_k)).alias("_k")
+    toks = sentence_tokens(sentences, key, text, k_col)
     scored = score_tokens(toks, model, vocab)
-    top = top_k("dist", k, num_tags)
+    top = top_k("dist", F.col("_k"), num_tags)
     # maps are not orderable: collect the ranked array, build the map after sorting
     entry = F.struct(
         F.col("pos"), F.col("token"), argmax_tag().getField("tag").alias("pred_tag"),
         F.transform(top, lambda e: F.struct(e["tag"].alias("tag"), e["prob"].alias("prob"))).alias("top"))
     per = scored.groupBy(key).agg(
+        F.max("_text").alias(text),
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("items"))
     details = F.transform("items", lambda e: F.struct(
         e["token"].alias("token"), e["pred_tag"].alias("pred_tag"),
         probs_map(e["top"]).alias("top_probs"), e["top"].alias("top")))
-    out = per.select(key, apply_tags(F.col("items.token"), F.col("items.pred_tag")).alias("corrected"),
+    out = per.select(key, text,
+                     apply_tags(F.col("items.token"), F.col("items.pred_tag")).alias("corrected"),
                      details.alias("token_details"))
-    res = sentences.join(out, key, "left")
-    return res.withColumn("corrections_made", py_strip("corrected") != py_strip(text))
+    return out.withColumn("corrections_made", py_strip("corrected") != py_strip(text))
 
 
 def missing_logit(eps: float = 1e-12) -> float:
