@@ -73,17 +73,20 @@ def ngram_counts(df: DataFrame, key: str, pred: str = "prediction", ref: str = "
             idx, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(
             F.array().cast("array<string>"))
 
-    p, r = tokenize(pred), tokenize(ref)
-    sides = []
-    for n in range(1, max_n + 1):
-        sides.append(df.select(key, F.lit(n).alias("n"), F.explode(grams(p, n)).alias("gram"),
-                               F.lit(1).alias("ip"), F.lit(0).alias("ir")))
-        sides.append(df.select(key, F.lit(n).alias("n"), F.explode(grams(r, n)).alias("gram"),
-                               F.lit(0).alias("ip"), F.lit(1).alias("ir")))
-    u = sides[0]
-    for s in sides[1:]:
-        u = u.unionByName(s)
-    return u.groupBy(key, "n", "gram").agg(F.sum("ip").alias("cp"), F.sum("ir").alias("cr"))
+    # token arrays are bound as columns first: an expression used inside the
+    # lambdas below would be re-evaluated for every n-gram
+    df = df.select(key, tokenize(pred).alias("_p"), tokenize(ref).alias("_r"))
+    p, r = F.col("_p"), F.col("_r")
+    # one explode over all orders and both sides: the input plan runs once
+    def tagger(n: int, ip: int):
+        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(ip).alias("ip"),
+                                  F.lit(1 - ip).alias("ir"))
+
+    parts = [F.transform(grams(toks, n), tagger(n, ip))
+             for n in range(1, max_n + 1) for toks, ip in ((p, 1), (r, 0))]
+    e = df.select(key, F.explode(F.concat(*parts)).alias("g"))
+    return (e.groupBy(key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
+             .agg(F.sum("g.ip").alias("cp"), F.sum("g.ir").alias("cr")))
 
 
 def corpus_bleu(df: DataFrame, key: str, pred: str = "prediction", ref: str = "reference") -> DataFrame:
@@ -138,7 +141,8 @@ def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def rouge_l(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """Mean ROUGE-L F1 over pairs (and Lsum, equal for single-line texts)."""
-    p, r = tokenize(pred), tokenize(ref)
+    df = df.select(tokenize(pred).alias("_p"), tokenize(ref).alias("_r"))
+    p, r = F.col("_p"), F.col("_r")
     lcs = _lcs_udf(p, r)
     f = F.when(lcs == 0, F.lit(0.0)).otherwise(2 * lcs / (F.size(p) + F.size(r)))
     return df.agg(F.avg(f).alias("rougeL"), F.avg(f).alias("rougeLsum"))
