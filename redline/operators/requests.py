@@ -12,7 +12,8 @@ number apart.  Routing follows the service's order of checks:
 4. blank sentence -> 200, empty result, ``Input sentence was empty.``;
 5. otherwise scored -> 200, ``Typos checked successfully.``
 
-Everything is a per-row expression (no shuffle) until the scoring join.
+Everything is a per-row expression until scoring: one broadcast (size-checked)
+model join and one regroup by request, with the routing fields carried along.
 """
 
 from __future__ import annotations
@@ -114,15 +115,23 @@ def check_typos(routed: DataFrame, model: DataFrame, vocab: DataFrame,
     by the stream (T2); a per-row wall time has no meaning in a batch plan.
     """
     keys = list(keys)
-    to_score = routed.where(F.col("route") == "score").select(
-        F.struct(*keys).alias("_key"), "sentence", "top_k")
-    scored = correct_verbose(to_score, model, vocab, key="_key", text="sentence", top_k_col="top_k")
-    scored = scored.select(*[F.col("_key." + k).alias(k) for k in keys],
-                           F.col("corrected").alias("_corrected"),
-                           F.col("token_details").alias("_details"),
-                           F.col("corrections_made").alias("_changed"))
-    j = routed.join(scored, keys, "left")
-    empty_details = F.array().cast(scored.schema["_details"].dataType)
+    # Every request goes through one regroup: non-scored ones with an empty
+    # text (no tokens, one row), their routing fields carried along -- no join
+    # of requests back onto their scores.
+    is_score_in = F.col("route") == "score"
+    req = routed.select(
+        F.struct(*keys).alias("_key"),
+        F.when(is_score_in, F.col("sentence")).otherwise(F.lit("")).alias("_s"),
+        F.coalesce(F.col("top_k"), F.lit(DEFAULT_TOP_K).cast("long")).alias("_k"),
+        F.struct("status", "error", "message", "route", "sentence").alias("_req"))
+    scored = correct_verbose(req, model, vocab, key="_key", text="_s", top_k_col="_k",
+                             pass_through="_req")
+    j = scored.select(*[F.col("_key." + k).alias(k) for k in keys],
+                      "_req.status", "_req.error", "_req.message", "_req.route", "_req.sentence",
+                      F.col("corrected").alias("_corrected"),
+                      F.col("token_details").alias("_details"),
+                      F.col("corrections_made").alias("_changed"))
+    empty_details = F.array().cast(scored.schema["token_details"].dataType)
     is_score = F.col("route") == "score"
     is_empty = F.col("route") == "empty"
     return j.select(

@@ -151,7 +151,7 @@ def correct_batch(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
 
 def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
                     key: str = "line_no", text: str = "sentence", top_k_col=None,
-                    default_k: int = 3, clamp: bool = True) -> DataFrame:
+                    default_k: int = 3, clamp: bool = True, pass_through: str | None = None) -> DataFrame:
     """As ``correct_batch`` plus per-token details.
 
     ``token_details`` = array of ``struct(token, pred_tag, top_probs map, top
@@ -160,20 +160,25 @@ def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
     """
     num_tags = vocab.count() if clamp else None
     k_col = (F.col(top_k_col) if top_k_col else F.lit(default_k)).alias("_k")
-    toks = sentence_tokens(sentences, key, text, k_col)
+    carry = [k_col] + ([F.col(pass_through).alias("_pass")] if pass_through else [])
+    toks = sentence_tokens(sentences, key, text, *carry)
+    if pass_through:  # like the text: one copy per sentence, back with the regroup
+        first = F.col("pos").isNull() | (F.col("pos") == 0)
+        toks = toks.withColumn("_pass", F.when(first, F.col("_pass")))
     scored = score_tokens(toks, model, vocab)
     top = top_k("dist", F.col("_k"), num_tags)
     # maps are not orderable: collect the ranked array, build the map after sorting
     entry = F.struct(
         F.col("pos"), F.col("token"), argmax_tag().getField("tag").alias("pred_tag"),
         F.transform(top, lambda e: F.struct(e["tag"].alias("tag"), e["prob"].alias("prob"))).alias("top"))
+    extra = [F.max("_pass").alias(pass_through)] if pass_through else []
     per = scored.groupBy(key).agg(
-        F.max("_text").alias(text),
+        F.max("_text").alias(text), *extra,
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("items"))
     details = F.transform("items", lambda e: F.struct(
         e["token"].alias("token"), e["pred_tag"].alias("pred_tag"),
         probs_map(e["top"]).alias("top_probs"), e["top"].alias("top")))
-    out = per.select(key, text,
+    out = per.select(key, text, *([pass_through] if pass_through else []),
                      apply_tags(F.col("items.token"), F.col("items.pred_tag")).alias("corrected"),
                      details.alias("token_details"))
     return out.withColumn("corrections_made", py_strip("corrected") != py_strip(text))
