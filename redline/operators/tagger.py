@@ -100,8 +100,14 @@ def argmax_tag(dist="dist"):
 
 
 def top_k(dist="dist", k=3, num_tags: int | None = None):
-    """k best entries, clamped to [1, num_tags]; ``k`` may be a column."""
+    """k best entries, clamped to [1, num_tags]; ``k`` may be a column.
+
+    ``k`` None or 0 gives the whole distribution (P15).  The count tagger's
+    distribution lists the tags it has seen for the token (all others are 0).
+    """
     d = F.col(dist) if isinstance(dist, str) else dist
+    if k is None or (isinstance(k, int) and k == 0):
+        return d
     kk = k if not isinstance(k, int) else F.lit(k)
     kk = F.greatest(kk, F.lit(1))
     if num_tags is not None:
@@ -159,14 +165,15 @@ def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
     ``top_k`` (per row, or ``default_k``) is clamped to [1, vocabulary size].
     """
     num_tags = vocab.count() if clamp else None
-    k_col = (F.col(top_k_col) if top_k_col else F.lit(default_k)).alias("_k")
+    full = not top_k_col and not default_k
+    k_col = (F.col(top_k_col) if top_k_col else F.lit(default_k or 0)).alias("_k")
     carry = [k_col] + ([F.col(pass_through).alias("_pass")] if pass_through else [])
     toks = sentence_tokens(sentences, key, text, *carry)
     if pass_through:  # like the text: one copy per sentence, back with the regroup
         first = F.col("pos").isNull() | (F.col("pos") == 0)
         toks = toks.withColumn("_pass", F.when(first, F.col("_pass")))
     scored = score_tokens(toks, model, vocab)
-    top = top_k("dist", F.col("_k"), num_tags)
+    top = top_k("dist", None if full else F.col("_k"), num_tags)
     # maps are not orderable: collect the ranked array, build the map after sorting
     entry = F.struct(
         F.col("pos"), F.col("token"), argmax_tag().getField("tag").alias("pred_tag"),

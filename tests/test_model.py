@@ -58,3 +58,17 @@ def test_count_tagger_and_unseen_tokens(spark):
     assert verbose.corrections_made is True
     assert [x.pred_tag for x in verbose.token_details] == ["REPLACE_the", "KEEP", "KEEP"]
     assert len(verbose.token_details[0].top) == 2
+
+
+def test_full_distribution_and_metric_hook(spark):
+    from redline.operators import metrics
+    t = _tagged(spark, [("teh cat", "the cat"), ("teh dog", "the dog"), ("a teh", "a teh")])
+    v = vocab.build_tag_vocab(t)
+    m = tagger.fit_count_tagger(t, v)
+    s = spark.createDataFrame([(1, "teh")], "line_no long, sentence string")
+    full = tagger.correct_verbose(s, m, v, default_k=None).collect()[0].token_details[0]
+    assert set(full.top_probs) == {"KEEP", "REPLACE_the"}
+    assert abs(sum(full.top_probs.values()) - 1.0) < 1e-12
+    hook = lambda p, l: [F.count_if(l == p).alias("hits")]
+    r = metrics.evaluate_tagger(t, m, v, metric_fns=[hook]).collect()[0]
+    assert r.hits == r.n_correct
