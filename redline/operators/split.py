@@ -33,15 +33,18 @@ def with_split(df: DataFrame, val_split: float | None = 0.05, seed: int = 42,
     if not val_split or not 0 < val_split < 1.0:
         return df.withColumn(col, F.lit("train"))
     hashed = _hashed(df, key, seed)
-    n = df.count()
+    # one pass: bucket counts (<= 2^20 rows) also give the total
+    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).cache()
+    n = counts.agg(F.sum("_n")).first()[0] or 0
     k = int(n * float(val_split))
     if k == 0:
+        counts.unpersist()
         return df.withColumn(col, F.lit("train"))
-    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    run = counts.withColumn("_cum", F.sum("_n").over(Window.orderBy("_b")))  # <= 2^20 rows
+    run = counts.withColumn("_cum", F.sum("_n").over(Window.orderBy("_b")))
     cut = run.where(F.col("_cum") >= k).orderBy("_b").select("_b", "_cum", "_n").first()
     b, before = cut["_b"], cut["_cum"] - cut["_n"]
     need = k - before
+    counts.unpersist()
     edge = (hashed.where(F.col("_b") == b)
             .select("_h", key, F.row_number().over(Window.orderBy("_h", key)).alias("_r"))
             .where(F.col("_r") == need).first())
