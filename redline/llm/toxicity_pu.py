@@ -8,10 +8,12 @@ missing or a clean label says nothing.  With the class prior ``pi`` the risk is
 and where the second term falls below zero (the model overfits U) the step goes
 up that term instead, which keeps the risk estimate from turning negative.
 
-The model is linear over the presence of words, picked by how much oftener they
-occur in P than in U.  It is fitted in numpy on bounded samples
-(``max_positive``, ``max_unlabelled`` rows of at most ``max_chars``
-characters); scoring reads every whole text.
+The model is linear over the presence of terms (words, and runs of four and five
+bytes inside words, so that inflected or joined forms count), hashed to
+``2**BUCKET_BITS`` buckets and picked by how much oftener they occur in P than
+in U.  It is fitted in numpy on bounded samples (``max_positive``,
+``max_unlabelled`` rows of at most ``max_chars`` characters); scoring reads
+every whole text.
 
 Cases: null text counts as empty and gets the score of a text without any of
 the words; labels that are null, or of documents outside the training rows, are
@@ -28,13 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, row_chunks, text_bytes, words_of
+from .common import U64, mix, prefix_hash, range_hash, row_chunks, text_bytes, words_of
 
-MAX_POSITIVE = 4000
-MAX_UNLABELLED = 12000
-MAX_CHARS = 30_000
-MAX_WORDS = 512
+MAX_POSITIVE = 2000
+MAX_UNLABELLED = 6000
+MAX_CHARS = 20_000
+MAX_TERMS = 192
+BUCKET_BITS = 22
+GRAMS = (4, 5)
 THRESHOLD = 0.5
+#: The prior is taken this much higher: an estimate below the true share of U holds the terms' weights down,
+#: one above it is caught by the non-negative step.
+PRIOR_MARGIN = 1.2
 
 # bytes that part words: everything in ASCII but letters and digits; capitals fold
 _FOLD = np.full(256, 32, np.uint8)
@@ -44,46 +51,74 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[0x80:] = np.arange(0x80, 256)
 
 
-def _words(buf, off):
-    return words_of(_FOLD[buf], off)[:2]
+def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, bucket)`` of every term of a chunk, repeats included."""
+    buf = _FOLD[buf]
+    h, rows, _, _ = words_of(buf, off)
+    shift = U64(64 - BUCKET_BITS)
+    out_r, out_b = [rows], [(h >> shift).astype(np.int64)]
+    n = len(buf)
+    cut = np.zeros(n + 1, np.int32)
+    np.cumsum(buf == 32, out=cut[1:])
+    edge = np.zeros(n + 1, np.int32)                  # rows begun by here
+    np.add.at(edge, off[:-1][off[:-1] < n], 1)
+    edge = np.cumsum(edge)
+    p = prefix_hash(buf)
+    for g in GRAMS:
+        if n >= g:
+            at = np.flatnonzero((cut[g:] == cut[:n - g + 1]) & (edge[g - 1:n] == edge[:n - g + 1]))
+            out_r.append(np.searchsorted(off, at, "right") - 1)
+            out_b.append((mix(range_hash(p, at, at + g), g) >> shift).astype(np.int64))
+    return np.concatenate(out_r), np.concatenate(out_b)
 
 
 @dataclass
 class PUModel:
-    """Hashes of the chosen words (ascending), their weights and the bias."""
+    """Buckets of the chosen terms (ascending), their weights and the bias."""
 
-    words: np.ndarray
+    buckets: np.ndarray
     weights: np.ndarray
     bias: float
 
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        n, m = len(off) - 1, len(self.words)
+        n, m = len(off) - 1, len(self.buckets)
         g = np.full(n, self.bias)
         if m and len(buf):
-            h, rows = _words(buf, off)
-            at = np.minimum(np.searchsorted(self.words, h), m - 1)
-            hit = self.words[at] == h
-            cell = np.unique(rows[hit] * m + at[hit])
+            if not hasattr(self, "_slot"):
+                self._slot = np.full(1 << BUCKET_BITS, -1, np.int32)
+                self._slot[self.buckets] = np.arange(m)
+            rows, b = terms(buf, off)
+            slot = self._slot[b]
+            hit = slot >= 0
+            cell = np.unique(rows[hit] * m + slot[hit])
             g += np.bincount(cell // m, weights=self.weights[cell % m], minlength=n)
         return 1.0 / (1.0 + np.exp(-np.clip(g, -700, 700)))
 
 
-def pick_words(pos: list[np.ndarray], unl: list[np.ndarray], limit: int = MAX_WORDS, z_min: float = 5.0) -> np.ndarray:
-    """Words whose share of P exceeds their share of U by ``z_min`` standard errors; the ``limit`` strongest."""
-    a, ka = np.unique(np.concatenate(pos), return_counts=True)
-    b, kb = np.unique(np.concatenate(unl), return_counts=True) if unl else (a[:0], ka[:0])
-    in_u = np.zeros(len(a))
-    if len(b):
-        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        in_u = np.where(b[at] == a, kb[at], 0)
-    p, u = ka / len(pos), in_u / max(1, len(unl))
-    both = (ka + in_u) / (len(pos) + len(unl))
+def pick_terms(pos: list[np.ndarray], unl: list[np.ndarray], limit: int = MAX_TERMS, z_min: float = 5.0) -> tuple[np.ndarray, float]:
+    """Buckets twice as frequent in P as in U, by ``z_min`` standard errors at least; the ``limit`` strongest.
+
+    Also the share of P in U that the ten strongest suggest: a term of toxic
+    texts alone is ``prior`` times as frequent in U as in P.
+    """
+    size = 1 << BUCKET_BITS
+    count = lambda sets: sum((np.bincount(s, minlength=size).astype(np.float32) for s in _joined(sets)), np.zeros(size, np.float32))
+    p, u = count(pos) / len(pos), count(unl) / max(1, len(unl))
+    both = (p * len(pos) + u * len(unl)) / (len(pos) + len(unl))
     z = (p - u) / np.sqrt(both * (1 - both) * (1 / len(pos) + 1 / max(1, len(unl))) + 1e-12)
+    z[p < 2 * u] = 0
     best = np.argsort(-z, kind="stable")[:limit]
-    return np.sort(a[best[z[best] >= z_min]])
+    best = best[z[best] >= z_min]
+    top = best[:10]
+    return np.sort(best), float(u[top].sum() / p[top].sum()) if len(top) else 1.0
+
+
+def _joined(sets, many: int = 256):
+    for lo in range(0, len(sets), many):
+        yield np.concatenate(sets[lo:lo + many]) if sets else np.zeros(0, np.int64)
 
 
-def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, l2: float = 1e-4,
+def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4,
              beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias minimising the non-negative risk (logistic loss, Adam)."""
     d = xp.shape[1]
@@ -94,7 +129,7 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, rat
         gp, gu = xp @ w + b, xu @ w + b
         up, dn_p, dn_u = -(1 - sig(gp)), sig(gp), sig(gu)      # slopes of loss(+) on P, loss(-) on P and U
         neg = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        grad = lambda x, s: np.append(x.T @ s, s.sum()) / len(x)
+        grad = lambda x, s: np.append(s @ x, s.sum()) / len(x)
         g_neg = grad(xu, dn_u) - prior * grad(xp, dn_p)
         g = prior * grad(xp, up) + g_neg if neg >= -beta else -gamma * g_neg
         g[:-1] += l2 * w
@@ -105,23 +140,27 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, rat
     return w, b
 
 
-def _presence(rows: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(rows), len(words)), np.float32)
-    for i, r in enumerate(rows):
-        at = np.minimum(np.searchsorted(words, r), len(words) - 1)
-        x[i, at[words[at] == r]] = 1
+def _presence(sets: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
+    slot = np.full(1 << BUCKET_BITS, -1, np.int32)
+    slot[buckets] = np.arange(len(buckets))
+    x = np.zeros((len(sets), len(buckets)))
+    for i, s in enumerate(sets):
+        at = slot[s]
+        x[i, at[at >= 0]] = 1
     return x
 
 
-def _word_sets(batches):
+def _term_sets(batches):
     for b in batches:
         buf, off = text_bytes(b.column(1))
         sets = []
         for lo, hi in row_chunks(off):
-            h, rows = _words(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-            cut = np.searchsorted(rows, np.arange(hi - lo + 1))
-            sets += [np.unique(h[cut[i]:cut[i + 1]]).tobytes() for i in range(hi - lo)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["kind", "words"])
+            rows, t = terms(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
+            pair = np.unique(rows << BUCKET_BITS | t)
+            cut = np.searchsorted(pair >> BUCKET_BITS, np.arange(hi - lo + 1))
+            t = (pair & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
+            sets += [t[cut[i]:cut[i + 1]].tobytes() for i in range(hi - lo)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["kind", "terms"])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, training=None, doc_id: str = "doc_id", text: str = "text",
@@ -129,7 +168,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training=None, doc_id: str
                  prior: float | None = None) -> PUModel:
     """Fit on ``labels (doc_id, label)`` and the documents where the column ``training`` holds.
 
-    ``prior`` defaults to the share of positives among the training labels.
+    ``prior`` defaults to the share of positives among the training labels, and is
+    lowered to what the strongest terms suggest.
     """
     training = F.lit(True) if training is None else training
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null").where(training)
@@ -137,9 +177,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training=None, doc_id: str
     n, k = marks.agg(F.count("*"), F.sum("label")).first()
     if prior is None:
         prior = (k or 0) / n if n else 0.0
+    none = PUModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -700.0)
     if not k:
-        return PUModel(np.zeros(0, U64), np.zeros(0), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -700.0)
-    prior = min(max(prior, 1e-4), 1 - 1e-4)
+        return none
     rank = lambda salt: F.xxhash64(F.lit(salt), "doc_id")
     take = lambda df, salt, m, kind: (df.select("doc_id").distinct().orderBy(rank(salt), "doc_id").limit(m)
                                       .withColumn("kind", F.lit(kind)))
@@ -147,17 +187,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training=None, doc_id: str
               .unionByName(take(rows.where(F.length("text") <= max_chars), "u", max_unlabelled, 0)))
     # at most max_positive + max_unlabelled ids: safe to broadcast
     got = (rows.where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").select("kind", "text")
-           .mapInArrow(_word_sets, "kind int, words binary").collect())
-    sets = [[np.frombuffer(r["words"], U64) for r in got if r["kind"] == kind] for kind in (1, 0)]
-    if not sets[0]:
-        return PUModel(np.zeros(0, U64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    words = pick_words(*sets)
-    if not len(words):
-        return PUModel(words, np.zeros(0), float(np.log(prior / (1 - prior))))
-    xp = _presence(sets[0], words)
-    xu = _presence(sets[1], words) if sets[1] else np.zeros((1, len(words)), np.float32)
-    w, b = fit_nnpu(xp, xu, prior)
-    return PUModel(words, w, b)
+           .mapInArrow(_term_sets, "kind int, terms binary").collect())
+    sets = [[np.frombuffer(r["terms"], np.int32) for r in got if r["kind"] == kind] for kind in (1, 0)]
+    if not sets[0] or not sets[1]:
+        return none
+    buckets, seen = pick_terms(*sets)
+    if not len(buckets):
+        return none
+    prior = min(max(PRIOR_MARGIN * min(prior, seen), 1e-4), 0.9)
+    w, b = fit_nnpu(_presence(sets[0], buckets), _presence(sets[1], buckets), prior)
+    return PUModel(buckets, w, b)
 
 
 def toxicity_scores(docs: DataFrame, model: PUModel, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
