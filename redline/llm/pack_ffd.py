@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import row_chunks, text_bytes
 
 SEQ_LEN = 2048
 END_ID = 1
@@ -34,7 +34,28 @@ GROUP_TOKENS = 1 << 21
 #: Ids of one document that stay together.
 SLICE_LEN = 1 << 16
 #: Distinct words a worker keeps tokenized.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 700_000
+#: Text tokenized at once.
+CHUNK = 2 << 20
+
+
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[97:123] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[33:127] = True
+_SIGN[48:58] = _SIGN[65:91] = _SIGN[97:123] = _SIGN[39] = False
+
+
+def _spaced(buf: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Texts in ASCII lower case, with a space wherever a sign follows an ASCII letter or digit.
+
+    The tokenizer folds case and parts signs (but the apostrophe) from letters
+    and digits itself, so neither changes an id; equal words meet in the cache.
+    """
+    low = buf.copy()
+    low[(buf >= 65) & (buf <= 90)] += 32
+    at = np.flatnonzero(_ALNUM[low[:-1]] & _SIGN[low[1:]]) + 1
+    return np.insert(low, at, 32).tobytes(), off + np.searchsorted(at, off, "right")
 
 
 class _Words(dict):
@@ -50,7 +71,10 @@ class _Words(dict):
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("the tokenizer has more ids than 16 bits hold")
 
-    def fill(self, words) -> None:
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+
+    def fill(self, words: set) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
@@ -60,26 +84,36 @@ class _Words(dict):
             for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 self[w] = np.array(e.ids, "<u2").tobytes()
 
+    def texts(self, buf: np.ndarray, off: np.ndarray):
+        """Ids of every text of a chunk."""
+        raw, at = _spaced(buf, off)
+        plain = b"<|" not in raw                      # may begin a special token, which signs and case are part of
+        words = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        self.fill(set().union(*words))
+        for i, ws in enumerate(words):
+            if plain or b"<|" not in (text := buf[off[i]:off[i + 1]].tobytes()):
+                yield b"".join(map(self.__getitem__, ws))
+            else:
+                yield self.whole(text)
+
 
 def _tokenize(path: str, end_id: int, slice_len: int):
     def run(batches):
         cache = _Words(path)
         end = np.array([end_id], "<u2").tobytes()
         for b in batches:
-            words = [(t or b"").split() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            cache.fill(set().union(*words))
-            cols: tuple = ([], [], [], [])
-            for d, ws in zip(b.column(0).to_pylist(), words):
-                ids = b"".join(map(cache.__getitem__, ws)) + end
-                n = len(ids) // 2
-                for s in range(0, n, slice_len):
-                    for c, v in zip(cols, (d, s, n, ids[2 * s:2 * (s + slice_len)])):
-                        c.append(v)
-            for lo in range(0, len(cols[0]), 512):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0][lo:lo + 512], pa.int64()), pa.array(cols[1][lo:lo + 512], pa.int64()),
-                     pa.array(cols[2][lo:lo + 512], pa.int64()), pa.array(cols[3][lo:lo + 512], pa.binary())],
-                    ["doc_id", "start", "doc_tokens", "ids"])
+            buf, off = text_bytes(b.column(1))
+            docs = b.column(0).to_pylist()
+            for lo, hi in row_chunks(off, CHUNK):
+                cols: tuple = ([], [], [], [])
+                for d, ids in zip(docs[lo:hi], cache.texts(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])):
+                    ids += end
+                    n = len(ids) // 2
+                    for s in range(0, n, slice_len):
+                        for c, v in zip(cols, (d, s, n, ids[2 * s:2 * (s + slice_len)])):
+                            c.append(v)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start", "doc_tokens", "ids"])
     return run
 
 
@@ -181,10 +215,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_
     every executor can open (a file of an installed package).
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    tokens, _ = write_table(rows.mapInArrow(_tokenize(tokenizer, end_id, slice_len), "doc_id long, start long, doc_tokens long, ids binary"), "pack_tokens")
-    n = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    groups = int(n // (2 * group_tokens) + 1)
-    # identical rows of one id spread by where they lie in the written table
+    # a token is three to four bytes long; a group needs its size only roughly
+    n = rows.agg(F.sum(F.octet_length("text") + 4)).first()[0] or 0
+    groups = int(n // (3 * group_tokens) + 1)
+    tokens = rows.mapInArrow(_tokenize(tokenizer, end_id, slice_len), "doc_id long, start long, doc_tokens long, ids binary")
+    # identical rows of one id spread by where they lie in their partition
     dealt = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.monotonically_increasing_id()), F.lit(groups))
     return (tokens.withColumn("grp", dealt).groupBy("grp").applyInArrow(
         _pack(seq_len), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"))
