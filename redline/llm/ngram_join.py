@@ -8,16 +8,20 @@ of distinct shingles.  The steps lose no link:
    holds such tokens alone has no partner.  Frequencies are counted exactly by
    hash range, on compact arrays: a range is told each block's tokens, and
    answers how many of a document's occur nowhere else.
-2. Documents with equal sets form a class; one row a class goes on.
-3. *Several orders.*  Partners must share a token within the prefixes under each
-   of ``ORDERS`` independent global orders (by salted hash).  Candidates come
-   from the buckets of the first order and are kept if they also meet under the
-   others; only then whole sets are compared.
+2. Documents with equal sets form a class; one row a class goes on, and
+   frequencies are counted again over classes.
+3. *Several orders.*  Partners must share a token within their prefixes under
+   the order by frequency, and under each of the orders by salted hash
+   (``ORDERS``).  Candidates come from the buckets of the first order and are
+   kept if they also meet under the others; only then whole sets are compared.
+   A pair can share no more than the tokens that each side has in common with
+   anyone, which bounds its similarity before any set is read.
 4. Components grow from the verified links.  A bucket needs no pair inside one
    component, so buckets are worked in rounds: at first everyone meets the
-   bucket's pivot alone, later the remaining components of a small bucket meet
-   each other.  A large bucket that still holds several components is cut to
-   blocks, and pairs of blocks are worked apart, so no task holds a whole group.
+   bucket's pivot alone (the member with the fewest tokens of its own), later
+   the remaining components of a small bucket meet each other.  A large bucket
+   that still holds several components is cut to blocks, and pairs of blocks
+   are worked apart, so no task holds a whole group.
 
 Cases: null, empty and wordless texts have no shingles and link with nothing;
 with fewer words than a shingle the whole sequence is one; repeated rows and
@@ -37,14 +41,16 @@ from .common import U64, connected_components, drop_tables, mix, row_chunks, tex
 
 SHINGLE = 4
 THRESHOLD_PCT = 85
-#: Salts of the global token orders.
-ORDERS = (101, 202, 303)
+#: Salts of the global token orders beside the one by frequency.
+ORDERS = (101, 202)
 #: Members of a bucket that may meet pairwise.
 SMALL = 32
 #: Rounds in which large buckets meet a pivot before they are cut to blocks.
 PIVOT_ROUNDS = 3
 #: Text whose tokens are counted together before they are sent.
 COUNT_BYTES = 8 << 20
+#: Tokens of classes that are counted together.
+BLOCK_BYTES = 2 << 20
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -161,7 +167,7 @@ def _counted(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs, "n": meta[0], "alone": alone})
 
 
-def _class_rows(k: int, orders):
+def _class_rows(k: int):
     def run(batches):
         for b in batches:
             ids = b.column(0).to_pylist()
@@ -182,11 +188,112 @@ def _class_batch(rows):
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], ["doc_id", "c1", "c2", "n", "toks"])
 
 
-def _prefix(toks: str, n: str, salt: int, pct: int):
-    """Tokens before which no partner can start: the smallest under the salted order."""
-    ranked = F.array_sort(F.transform(F.col(toks), lambda t: F.struct(F.xxhash64(F.lit(salt), t).alias("r"), t.alias("t"))))
-    size = F.floor(F.col(n) * (100 - pct) / 100).cast("int") + 1
-    return F.transform(F.slice(ranked, F.lit(1), size), lambda x: x["t"])
+def _class_blocks(batches):
+    """Classes packed to blocks: ids, set sizes and tokens as bytes."""
+    from pyspark import TaskContext
+    uid, held, rows = TaskContext.get().partitionId() << 24, 0, []
+
+    def block():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([uid], pa.int64()), *(pa.array([np.concatenate(c).tobytes()], pa.binary()) for c in zip(*rows))], ["uid", "reps", "sizes", "toks"])
+
+    for b in batches:
+        toks = b.column("toks")
+        lens = np.diff(toks.offsets.to_numpy())
+        rows.append((b.column("rep").to_numpy(), lens.astype(np.int64), toks.flatten().to_numpy()))
+        held += rows[-1][2].nbytes
+        if held >= BLOCK_BYTES:
+            yield block()
+            uid, held, rows = uid + 1, 0, []
+    if rows:
+        yield block()
+
+
+def _block_tokens(tok: np.ndarray, ranges: int):
+    """Distinct tokens of a block by range: ``(range bounds, tokens, order into the block, counts)``."""
+    rng = (mix(tok, 17) & U64(0xFFFFFFFF)) % U64(ranges)
+    order = np.lexsort((tok, rng))
+    t, r = tok[order], rng[order]
+    new = np.ones(len(t), bool)
+    new[1:] = t[1:] != t[:-1]
+    first = np.flatnonzero(new)
+    back = np.empty(len(t), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return np.searchsorted(r[first], np.arange(ranges + 1).astype(U64)), t[first], back, np.diff(np.append(first, len(t)))
+
+
+def _token_counts(ranges: int):
+    def run(batches):
+        for b in batches:
+            for uid, toks in zip(b.column("uid").to_pylist(), b.column("toks")):
+                at, t, _, n = _block_tokens(np.frombuffer(toks.as_buffer(), U64), ranges)
+                full = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int32()), pa.array([uid] * len(full), pa.int64()),
+                     pa.array([t[at[r]:at[r + 1]].tobytes() for r in full], pa.binary()),
+                     pa.array([n[at[r]:at[r + 1]].astype(np.int32).tobytes() for r in full], pa.binary())], ["rng", "uid", "vals", "cnt"])
+    return run
+
+
+def _frequencies(t: pa.Table) -> pa.Table:
+    """For each block's tokens in a range, in how many classes they occur."""
+    t = t.combine_chunks()
+    vals = [np.frombuffer(x.as_buffer(), U64) for x in t.column("vals")]
+    uniq, inv = np.unique(np.concatenate(vals), return_inverse=True)
+    total = np.bincount(inv, weights=np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in t.column("cnt")]), minlength=len(uniq)).astype(np.int64)
+    ends = np.cumsum([len(v) for v in vals])
+    return pa.table({"uid": t.column("uid"), "rng": t.column("rng"),
+                     "freq": pa.array([total[inv[e - len(v):e]].tobytes() for v, e in zip(vals, ends)], pa.binary())})
+
+
+def _ranked(ranges: int, pct: int, orders):
+    """Classes that may have a partner, with their shared size and a prefix for every order."""
+    def run(batches):
+        for b in batches:
+            for reps, sizes, toks, marks in zip(b.column("reps"), b.column("sizes"), b.column("toks"), b.column("marks").to_pylist()):
+                reps, sizes, tok = np.frombuffer(reps.as_buffer(), np.int64), np.frombuffer(sizes.as_buffer(), np.int64), np.frombuffer(toks.as_buffer(), U64)
+                at, t, back, _ = _block_tokens(tok, ranges)
+                freq = np.ones(len(t), np.int64)
+                for m in marks or []:
+                    freq[at[m["rng"]]:at[m["rng"] + 1]] = np.frombuffer(m["freq"], np.int64)
+                freq = freq[back]
+                rows, end = [], 0
+                for rep, n in zip(reps.tolist(), sizes.tolist()):
+                    x, f = tok[end:end + n], freq[end:end + n]
+                    end += n
+                    common = int((f > 1).sum())
+                    if 100 * common < pct * n:
+                        continue
+                    size = n * (100 - pct) // 100 + 1
+                    first = np.lexsort((mix(x, 1), f))[:size]
+                    p = [x[first[f[first] > 1]], *(x[np.argsort(mix(x, o))[:size]] for o in orders)]
+                    rows.append((rep, n, common, x.astype(np.int64), *(v.astype(np.int64) for v in p)))
+                    if len(rows) == 128:
+                        yield _ranked_batch(rows)
+                        rows = []
+                if rows:
+                    yield _ranked_batch(rows)
+    return run
+
+
+def _ranked_batch(rows):
+    cols = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[3:])],
+                                      ["rep", "n", "common", "toks", *(f"p{i}" for i in range(len(cols) - 4))])
+
+
+def ranked_classes(classes: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS) -> DataFrame:
+    """``rep, n, common, toks, p0, p1 ...``: ``p0`` the prefix under the order by frequency."""
+    blocks, blocks_at = write_table(classes.mapInArrow(_class_blocks, "uid long, reps binary, sizes binary, toks binary"), "join_blocks", "lz4")
+    total = blocks.agg(F.sum(F.octet_length("toks"))).first()[0] or 0
+    ranges = int(max(2 * classes.sparkSession.sparkContext.defaultParallelism, total // (32 << 20) + 1))
+    freq = (blocks.select("uid", "toks").mapInArrow(_token_counts(ranges), "rng int, uid long, vals binary, cnt binary")
+            .groupBy("rng").applyInArrow(_frequencies, "uid long, rng int, freq binary"))
+    marks = freq.groupBy("uid").agg(F.collect_list(F.struct("rng", "freq")).alias("marks"))
+    schema = "rep long, n long, common long, toks array<long>" + "".join(f", p{i} array<long>" for i in range(len(orders) + 1))
+    ranked, _ = write_table(blocks.join(marks, "uid", "left").mapInArrow(_ranked(ranges, pct, orders), schema), "join_ranked", "lz4")
+    drop_tables(classes.sparkSession, blocks_at)
+    return ranked
 
 
 def shingle_classes(docs: DataFrame, k: int = SHINGLE, pct: int = THRESHOLD_PCT, doc_id: str = "doc_id", text: str = "text"):
@@ -203,7 +310,7 @@ def shingle_classes(docs: DataFrame, k: int = SHINGLE, pct: int = THRESHOLD_PCT,
     counted, _ = write_table(told.groupBy("uid").applyInArrow(_counted, "doc_id long, n long, alone long"), "join_counts")
     maybe = counted.where((F.col("n") > 0) & (100 * (F.col("n") - F.col("alone")) >= pct * F.col("n"))).select("doc_id").distinct()
     sets = (rows.join(maybe.hint("shuffle_hash"), "doc_id", "left_semi")
-            .mapInArrow(_class_rows(k, ORDERS), "doc_id long, c1 long, c2 long, n long, toks array<long>"))
+            .mapInArrow(_class_rows(k), "doc_id long, c1 long, c2 long, n long, toks array<long>"))
     sets, sets_at = write_table(sets, "join_sets", "lz4")
     reps = sets.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
     known, _ = write_table(sets.join(reps, ["c1", "c2", "n"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("toks")).alias("toks")), "join_known", "lz4")
@@ -215,72 +322,79 @@ def shingle_classes(docs: DataFrame, k: int = SHINGLE, pct: int = THRESHOLD_PCT,
 
 def similar_links(classes: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS) -> tuple[DataFrame, DataFrame | None]:
     """Verified links ``(a, b)`` between classes, enough to span every component, and the components ``(node, component)``."""
-    spark = classes.sparkSession
-    prefixes, _ = write_table(classes.select("rep", "n", *[_prefix("toks", "n", s, pct).alias(f"p{i}") for i, s in enumerate(orders)]), "join_prefixes", "lz4")
-    tokens = prefixes.select("rep", "n", F.explode("p0").alias("tok"))
-    many = tokens.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
+    ranked = ranked_classes(classes, pct, orders)
+    prefixes = ranked.drop("toks")
+    tokens = prefixes.select("rep", "n", "common", F.explode("p0").alias("tok"))
+    many = tokens.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1").select("tok")
     bucket, _ = write_table(tokens.join(many, "tok"), "join_buckets")
     links, tested, label, rounds = None, None, None, 0
     while True:
         cur = bucket.withColumn("comp", F.col("rep")) if label is None else (
-            bucket.join(label, bucket["rep"] == label["node"], "left").select("tok", "rep", "n", F.coalesce("component", "rep").alias("comp")))
-        shape = cur.groupBy("tok").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-                                       F.min(F.struct(F.xxhash64(F.lit(rounds), "rep").alias("r"), "rep", "n", "comp")).alias("pivot"))
+            bucket.join(label, bucket["rep"] == label["node"], "left").select(*bucket.columns, F.coalesce("component", "rep").alias("comp")))
+        rank = (F.col("n") - F.col("common")) if rounds == 0 else F.xxhash64(F.lit(rounds), "rep")
+        shape = cur.groupBy("tok").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"),
+                                       F.min(F.struct(rank.alias("r"), "rep", "n", "common", "comp")).alias("pivot"))
         mixed, path = write_table(cur.join(shape.where("c0 <> c1").drop("c0", "c1"), "tok"), "join_mixed")
-        small = mixed.where(F.col("m") <= SMALL)
-        large = mixed.where(F.col("m") > SMALL)
-        pairs = _bucket_pairs(small.select(F.col("tok").alias("key"), "rep", "n", "comp"), pct) if rounds else _pivot_pairs(small, pct)
+        small, large = mixed.where(F.col("size") <= SMALL), mixed.where(F.col("size") > SMALL)
+        pairs = _bucket_pairs(small.withColumnRenamed("tok", "key"), pct) if rounds else _pivot_pairs(small, pct)
         last = rounds >= PIVOT_ROUNDS
         pairs = pairs.unionByName(_block_pairs(large, pct) if last else _pivot_pairs(large, pct)).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs, at = write_table(pairs, "join_pairs")
-        n = pairs.count()
-        drop_tables(spark, path)
-        if n:
-            good, _ = write_table(_verified(_meeting(pairs, prefixes, len(orders)), classes, pct), "join_links")
-            links = good if links is None else links.unionByName(good)
+        fresh = pairs.isEmpty()
+        drop_tables(classes.sparkSession, path)
+        if not fresh:
+            good, _ = write_table(_verified(_meeting(pairs, prefixes, len(orders)), ranked, pct), "join_links")
             tested = pairs if tested is None else tested.unionByName(pairs)
             if not good.isEmpty():
+                links = good if links is None else links.unionByName(good)
                 label = connected_components(links)
-        if last and not n:
+        if last and fresh:
             return (links if links is not None else pairs), label
-        rounds = rounds + 1 if n else PIVOT_ROUNDS
+        rounds = PIVOT_ROUNDS if fresh else rounds + 1
 
 
-def _sized(a, b, pct):
-    """Sizes that allow the threshold."""
-    return (F.lit(100) * F.least(a, b) >= F.lit(pct) * F.greatest(a, b))
+def _may_link(an, ac, bn, bc, pct):
+    """Whether sets of these sizes, sharing at most their common tokens, can reach the threshold."""
+    most = F.least(ac, bc)
+    return F.lit(100) * most >= F.lit(pct) * (an + bn - most)
 
 
 def _pivot_pairs(rows: DataFrame, pct: int) -> DataFrame:
-    return (rows.where((F.col("comp") != F.col("pivot.comp")) & _sized(F.col("n"), F.col("pivot.n"), pct))
+    p = lambda c: F.col(f"pivot.{c}")
+    return (rows.where((F.col("comp") != p("comp")) & _may_link(F.col("n"), F.col("common"), p("n"), p("common"), pct))
             .select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")))
 
 
 def _bucket_pairs(rows: DataFrame, pct: int) -> DataFrame:
     """Pairs of different components within buckets of a bounded number of members."""
-    m = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "comp"))).alias("g"))
+    m = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "common", "comp"))).alias("g"))
     pair = F.flatten(F.transform("g", lambda x, i: F.transform(
-        F.filter(F.slice(F.col("g"), i + 2, F.size("g")), lambda y: (x["comp"] != y["comp"]) & _sized(x["n"], y["n"], pct)),
+        F.filter(F.slice(F.col("g"), i + 2, F.size("g")), lambda y: (x["comp"] != y["comp"]) & _may_link(x["n"], x["common"], y["n"], y["common"], pct)),
         lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
     return m.select(F.explode(pair).alias("p")).select("p.a", "p.b")
 
 
 def _block_pairs(rows: DataFrame, pct: int) -> DataFrame:
-    """As ``_bucket_pairs`` for large buckets: members fall into blocks, pairs of blocks meet apart."""
-    blocks = F.ceil(F.col("m") / SMALL).cast("int")
+    """As ``_bucket_pairs`` for large buckets: members fall into blocks, pairs of blocks meet apart.
+
+    Members that cannot reach the threshold with any size found in the bucket stay out.
+    """
+    able = rows.where(_may_link(F.col("n"), F.col("common"), F.greatest("n0", "common"), F.greatest("n0", "common"), pct))
+    left = able.groupBy("tok").agg(F.count("*").alias("left"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    able = able.join(left.select("tok", "left"), "tok")
+    blocks = F.ceil(F.col("left") / SMALL).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    r = rows.select("tok", "rep", "n", "comp", mine.alias("mine"), other.alias("other"))
-    return _bucket_pairs(r.select(F.struct("tok", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("key"), "rep", "n", "comp"), pct)
+    r = able.select("tok", "rep", "n", "common", "comp", mine.alias("mine"), other.alias("other"))
+    key = F.struct("tok", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return _bucket_pairs(r.select(key.alias("key"), "rep", "n", "common", "comp"), pct)
 
 
 def _meeting(pairs: DataFrame, prefixes: DataFrame, orders: int) -> DataFrame:
     """Pairs whose prefixes meet under every order."""
-    cols = [f"p{i}" for i in range(1, orders)]
-    if not cols:
-        return pairs
+    cols = [f"p{i}" for i in range(1, orders + 1)]
     left = prefixes.select(F.col("rep").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
     right = prefixes.select(F.col("rep").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
     j = pairs.join(left, "a").join(right, "b")
