@@ -1,11 +1,11 @@
-"""Edit distance for long texts: bit-parallel Levenshtein in an Arrow UDF.
+"""Edit distance: bit-parallel Levenshtein in an Arrow UDF for all but short texts.
 
 Spark's ``levenshtein`` fills the full n*m table (and its thresholded form is
-not banded).  For short texts that is the fastest option and stays in the JVM;
-for long ones (thousands of characters) the bit-vector recurrence of Myers /
-Hyyro computes the same distance with one word-parallel step per character of
-the second string.  The UDF receives NULL for short rows, so they cost only a
-null in the Arrow batch.
+not banded).  Up to about a hundred characters that is the fastest option and
+stays in the JVM; beyond, the bit-vector recurrence of Myers / Hyyro computes
+the same distance with one word-parallel step per character of the second
+string, after equal ends are cut off.  The UDF receives NULL for short rows and
+for rows that a bound has already decided, so they cost a null in the batch.
 """
 
 from __future__ import annotations
@@ -16,11 +16,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 # Texts up to this many characters use the JVM built-in.
-LONG_TEXT_CHARS = 2000
+LONG_TEXT_CHARS = 100
 
 
-def bitparallel_levenshtein(a: str, b: str) -> int:
-    """Levenshtein distance (unit costs, code points), O(len(b) * len(a) / w)."""
+def common_ends(a: str, b: str) -> tuple[int, int]:
+    """Lengths of the equal beginning and, in what is left, of the equal end."""
+    n = min(len(a), len(b))
+
+    def same(x, y, most):                  # halving: slices compare at memory speed
+        lo, hi = 0, most
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            if x(lo, mid) == y(lo, mid):
+                lo = mid
+            else:
+                hi = mid - 1
+        return lo
+
+    head = same(lambda i, j: a[i:j], lambda i, j: b[i:j], n)
+    tail = same(lambda i, j: a[len(a) - j:len(a) - i], lambda i, j: b[len(b) - j:len(b) - i], n - head)
+    return head, tail
+
+
+def bitparallel_levenshtein(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance (unit costs, code points), O(len(b) * len(a) / w).
+
+    With ``most``, any number above it may stand for a distance above it.
+    """
+    head, tail = common_ends(a, b)
+    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
     m = len(a)
     if m == 0:
         return len(b)
@@ -30,7 +54,9 @@ def bitparallel_levenshtein(a: str, b: str) -> int:
     mask = (1 << m) - 1
     high = 1 << (m - 1)
     pv, mv, score = mask, 0, m
+    left = len(b)
     for ch in b:
+        left -= 1
         eq = peq.get(ch, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -44,17 +70,26 @@ def bitparallel_levenshtein(a: str, b: str) -> int:
         mh = (mh << 1) & mask
         pv = mh | (~(xv | ph) & mask)
         mv = ph & xv
+        if most is not None and score - left > most:      # each step lowers it by one at most
+            return score - left
     return score
 
 
 @F.pandas_udf(LongType())
-def _levenshtein_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = [None if x is None or y is None else bitparallel_levenshtein(x, y) for x, y in zip(a, b)]
+def _levenshtein_udf(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    out = [None if x is None or y is None else bitparallel_levenshtein(x, y, None if pd.isna(k) else int(k)) for x, y, k in zip(a, b, most)]
     return pd.Series(out, dtype="Int64")
 
 
-def levenshtein(left: Column, right: Column, long_chars: int = LONG_TEXT_CHARS) -> Column:
-    """Levenshtein distance: JVM for short rows, bit-parallel UDF for long rows."""
+def levenshtein(left: Column, right: Column, long_chars: int = LONG_TEXT_CHARS, most: Column | None = None,
+                needed: Column | None = None) -> Column:
+    """Levenshtein distance: JVM for short rows, bit-parallel UDF for long rows.
+
+    ``most``: distances above it need not be exact (they stay above it).
+    ``needed``: rows where it does not hold get NULL and cost nothing.
+    """
     is_long = F.greatest(F.length(left), F.length(right)) > F.lit(long_chars)
-    udf_d = _levenshtein_udf(F.when(is_long, left), F.when(is_long, right))
-    return F.when(is_long, udf_d).otherwise(F.levenshtein(left, right).cast("long"))
+    needed = F.lit(True) if needed is None else F.coalesce(needed, F.lit(False))
+    go = is_long & needed
+    udf_d = _levenshtein_udf(F.when(go, left), F.when(go, right), F.lit(None).cast("long") if most is None else most.cast("long"))
+    return F.when(go, udf_d).when(needed, F.levenshtein(left, right).cast("long"))

@@ -53,17 +53,16 @@ def edit_ratio(original, corrected) -> Column:
 def within_edit_ratio(original, corrected, threshold: float = 0.30) -> Column:
     """``edit_ratio(o, c) <= threshold`` (inclusive, double division) (F2).
 
-    Two cheap rejections run first -- the length difference and the folded
-    length difference are lower bounds of the distance -- so only pairs that
-    can pass pay for the distance; long texts use the bit-parallel form
-    (``functions.distance``).  Spark's thresholded ``levenshtein`` is not
-    banded and measured slower than the plain form.
+    The folded length difference is a lower bound of the distance; pairs beyond
+    it are rejected before the distance is computed (they reach the UDF as
+    NULL), and the distance stops counting above the threshold.  NULL, hence
+    not kept, when both sides are empty.
     """
+    from .distance import levenshtein
     o, c = _c(original), _c(corrected)
-    mx = F.greatest(F.length(o), F.length(c)).cast("double")
+    mx = F.nullif(F.greatest(F.length(o), F.length(c)), F.lit(0)).cast("double")
     t = F.lit(float(threshold))
     lo, lc = F.lower(o), F.lower(c)
     bound_ok = (F.abs(F.length(lo) - F.length(lc)).cast("double") / mx) <= t
-    from .distance import levenshtein
-    exact = levenshtein(lo, lc).cast("double") / F.nullif(mx, F.lit(0.0)) <= t
+    exact = levenshtein(lo, lc, most=F.ceil(mx * t), needed=bound_ok).cast("double") / mx <= t
     return F.when(bound_ok, exact).otherwise(F.lit(False))

@@ -1,4 +1,9 @@
-"""Size-checked joins and lineage cuts shared by the operators."""
+"""Lineage cuts and dense ids shared by the operators.
+
+Joins carry no broadcast hint: tables come written (``materialize``), so Spark
+knows their bytes and broadcasts below its own threshold only; beyond it the
+join is a shuffle join that adaptive execution re-plans and un-skews.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root, scratch_path
-
-# Largest dimension table (rows) we hand to a broadcast hint.  Above it the
-# join stays a shuffle join and AQE decides at runtime (skew splitting on).
-BROADCAST_MAX_ROWS = 2_000_000
-
+from ..session import scratch_path
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
@@ -25,29 +25,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def ensure_parallelism(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
-    """Spread CPU-heavy rows over the cluster when the scan gave too few splits.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt evenly by ``keys`` (near-unique, so no hot key), written once.
 
-    A big table arrives in many splits and passes through untouched (no
-    shuffle, no write).  A small but compute-heavy input (one Parquet row
-    group) would otherwise run every row in one task: it is hash-partitioned
-    on ``keys`` (near-unique, e.g. a line id, so no hot key) and checkpointed
-    to the shared checkpoint folder.  The checkpoint matters: Catalyst pushes
-    filters through a repartition, which would put the expensive predicate
-    back into the single-split scan stage.
+    For CPU-heavy work on inputs that arrive in few splits.  Written, because
+    Catalyst pushes filters through a repartition, which would put an expensive
+    predicate back into the scan's stage.
     """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    checkpoint_root(spark)
-    return df.repartition(target, *keys).checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after checking the row count (df should be materialized)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    return materialize(df.repartition(*[F.col(k) for k in keys]), "spread")
 
 
 def dense_index(df: DataFrame, col: str, id_col: str, name: str = "dense") -> DataFrame:

@@ -1,6 +1,7 @@
 """Seeded train/validation split.
 
-Rows are ordered by ``md5(seed|key)`` (tie-break ``key``); the first
+Rows are ordered by ``md5(seed|key)`` (then ``key``, then the md5 of the row; rows
+alike in every column are interchangeable); the first
 ``floor(n * val_split)`` form the validation split.  Exact and reproducible on
 any partitioning.
 
@@ -13,8 +14,6 @@ that single cut-off row -- no join, no global sort.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ PREFIX_HEX = 5  # 20-bit buckets
 
 def _hashed(df: DataFrame, key: str, seed: int) -> DataFrame:
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    return (df.withColumn("_h", h)
+    return (df.withColumn("_h", h).withColumn("_t", F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))
               .withColumn("_b", F.conv(F.substring(h, 1, PREFIX_HEX), 16, 10).cast("int")))
 
 
@@ -46,13 +45,24 @@ def with_split(df: DataFrame, val_split: float | None = 0.05, seed: int = 42,
     need = k - before
     counts.unpersist()
     edge = (hashed.where(F.col("_b") == b)
-            .select("_h", key, F.row_number().over(Window.orderBy("_h", key)).alias("_r"))
-            .where(F.col("_r") == need).first())
-    last = F.struct(F.lit(edge["_h"]).alias("h"), F.lit(edge[key]).alias("k"))
-    cur = F.struct(F.col("_h").alias("h"), F.col(key).alias("k"))
-    is_val = (F.col("_b") < b) | ((F.col("_b") == b) & (cur <= last))
+            .groupBy("_h", key, "_t").agg(F.count("*").alias("_n"))
+            .select("_h", key, "_t", "_n", F.sum("_n").over(Window.orderBy("_h", key, "_t")).alias("_r"))
+            .where(F.col("_r") >= need).orderBy("_r").first())
+    at = lambda r: F.struct(F.lit(r["_h"]).alias("h"), F.lit(r[key]).alias("k"), F.lit(r["_t"]).alias("t"))
+    cur = F.struct(F.col("_h").alias("h"), F.col(key).alias("k"), F.col("_t").alias("t"))
+    is_val = (F.col("_b") < b) | ((F.col("_b") == b) & (cur < at(edge)))
+    over = edge["_r"] - need
+    if not over:
+        is_val = is_val | (cur == at(edge))
+    else:  # rows equal in every column stand at the cut: number those alone
+        twin = hashed.where((F.col("_b") == b) & (cur == at(edge)))
+        rest = hashed.where(~((F.col("_b") == b) & (cur == at(edge))))
+        nth = F.row_number().over(Window.partitionBy("_t").orderBy("_t"))
+        side = lambda c: F.when(c, F.lit("validation")).otherwise(F.lit("train"))
+        return (rest.withColumn(col, side(is_val)).drop("_h", "_b", "_t")
+                .unionByName(twin.withColumn(col, side(nth <= edge["_n"] - over)).drop("_h", "_b", "_t")))
     return (hashed.withColumn(col, F.when(is_val, F.lit("validation")).otherwise(F.lit("train")))
-                  .drop("_h", "_b"))
+                  .drop("_h", "_b", "_t"))
 
 
 def split_train_validation(df: DataFrame, val_split: float | None = 0.05, seed: int = 42,
@@ -65,9 +75,3 @@ def split_train_validation(df: DataFrame, val_split: float | None = 0.05, seed:
 def split_complement(all_rows: DataFrame, validation: DataFrame, key: str = "pair_id") -> DataFrame:
     """Train = all rows not in validation (left anti join on the key, X2)."""
     return all_rows.join(validation.select(key), key, "left_anti")
-
-
-def expected_validation_size(n: int, val_split: float | None) -> int:
-    if not val_split or not 0 < val_split < 1.0:
-        return 0
-    return int(math.floor(n * val_split))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import KEEP, apply_tags
 from ..functions.text import py_strip, tokenize
-from .joins import broadcast_if_small, materialize
+from .joins import materialize
 from .vocab import encode_tags, vocab_ids
 
 DIST_TYPE = "array<struct<tag_id:int,tag:string,prob:double,logit:double>>"
@@ -77,14 +77,14 @@ def _default_dist(keep_id: int):
 
 
 def score_tokens(long_tokens: DataFrame, model: DataFrame, vocab: DataFrame,
-                 token: str = "token") -> DataFrame:
+                 token: str = "token", ids: dict | None = None) -> DataFrame:
     """Attach the tag distribution to every token occurrence.
 
-    A left join on the exact token; broadcast when the model passes the size
-    check, otherwise a shuffle join whose hot tokens AQE splits.
+    A left join on the exact token: broadcast if the model's bytes allow,
+    otherwise a shuffle join whose hot tokens adaptive execution splits.
     """
-    keep_id = vocab_ids(vocab)[KEEP]
-    m = broadcast_if_small(model.select(F.col("token").alias("_mtok"), F.col("dist").alias("_dist")))
+    keep_id = (ids or vocab_ids(vocab))[KEEP]
+    m = model.select(F.col("token").alias("_mtok"), F.col("dist").alias("_dist"))
     j = long_tokens.join(m, F.col(token) == F.col("_mtok"), "left")
     # Default decided on the join key, not by coalesce(_dist, ...): Spark 4.1
     # pushes an extraction of coalesce(...) into the nullable side of the outer

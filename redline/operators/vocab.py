@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import BASE_TAGS, DELETE, KEEP
-from .joins import broadcast_if_small, dense_index, materialize
+from .joins import dense_index, materialize
 
 
 def build_tag_vocab(tagged: DataFrame, tags: str = "tags") -> DataFrame:
@@ -29,37 +29,43 @@ def vocab_ids(vocab: DataFrame) -> dict:
     return {KEEP: ids[KEEP], DELETE: ids[DELETE]}
 
 
-def encode_tags(long_tags: DataFrame, vocab: DataFrame, tag: str = "tag",
-                out: str = "tag_id") -> DataFrame:
+def encode_tags(long_tags: DataFrame, vocab: DataFrame, tag: str = "tag", out: str = "tag_id",
+                ids: dict | None = None) -> DataFrame:
     """Tag -> id; out-of-vocabulary tags get KEEP's id.
 
     The two base tags (the hot keys: most tokens are KEEP) are resolved by a
-    literal comparison; only the other tags go through the join, which is a
-    broadcast when the vocabulary passes the size check.
+    literal comparison.  In the join they carry a key of their own that matches
+    nothing and differs from row to row, so a shuffle join deals them evenly.
+    ``ids`` (from ``vocab_ids``) saves the lookup when the caller has it.
     """
-    ids = vocab_ids(vocab)
-    v = broadcast_if_small(vocab.where(~F.col("tag").isin(*BASE_TAGS))
-                           .select(F.col("tag").alias("_vtag"), F.col("tag_id").alias("_vid")))
+    ids = ids or vocab_ids(vocab)
+    v = vocab.where(~F.col("tag").isin(*BASE_TAGS)).select(F.col("tag").alias("_vtag"), F.col("tag_id").alias("_vid"))
     t = F.col(tag)
-    j = long_tags.join(v, (t == F.col("_vtag")) & ~t.isin(*BASE_TAGS), "left")
+    stray = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in long_tags.columns]).cast("string"))
+    j = (long_tags.withColumn("_key", F.when(t.isin(*BASE_TAGS) | t.isNull(), stray).otherwise(t))
+         .join(v, F.col("_key") == F.col("_vtag"), "left"))
     enc = (F.when(t == KEEP, F.lit(ids[KEEP])).when(t == DELETE, F.lit(ids[DELETE]))
             .otherwise(F.coalesce(F.col("_vid"), F.lit(ids[KEEP]))))
-    return j.withColumn(out, enc.cast("int")).drop("_vtag", "_vid")
+    return j.withColumn(out, enc.cast("int")).drop("_key", "_vtag", "_vid")
 
 
 def decode_tags(long_ids: DataFrame, vocab: DataFrame, tag_id: str = "tag_id",
                 out: str = "tag") -> DataFrame:
     """Id -> tag (inner join on id, J2)."""
-    v = broadcast_if_small(vocab.select(F.col("tag_id").alias("_vid"), F.col("tag").alias(out)))
+    v = vocab.select(F.col("tag_id").alias("_vid"), F.col("tag").alias(out))
     return long_ids.join(v, F.col(tag_id) == F.col("_vid"), "inner").drop("_vid")
 
 
-def vocab_json(vocab: DataFrame) -> DataFrame:
-    """One-row ``json`` column: the vocabulary as a JSON object in id order (K2).
+def vocab_lines(vocab: DataFrame) -> DataFrame:
+    """``(tag_id, line)``: lines that make one JSON object in id order (K2).
 
-    The whole vocabulary goes into one row by definition of the format; it is
-    the only operator that does so, and only for writing the artifact.
+    The first line opens the object and the last closes it, so the lines can be
+    written by as many tasks as the vocabulary needs.
     """
-    entries = F.array_sort(F.collect_list(F.struct("tag_id", "tag")))
-    m = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["tag"], e["tag_id"])))
-    return vocab.agg(F.to_json(m).alias("json"))
+    last = vocab.agg(F.max("tag_id").alias("_last"))
+    entry = F.concat(F.lit(" "), F.to_json(F.array("tag")).substr(F.lit(2), F.length(F.to_json(F.array("tag"))) - 2),
+                     F.lit(": "), F.col("tag_id").cast("string"))
+    # one row: the closing line's id
+    return vocab.crossJoin(F.broadcast(last)).select("tag_id", F.concat(
+        F.when(F.col("tag_id") == 0, F.lit("{")).otherwise(F.lit("")), entry,
+        F.when(F.col("tag_id") == F.col("_last"), F.lit("}")).otherwise(F.lit(","))).alias("line"))

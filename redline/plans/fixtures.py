@@ -1,10 +1,11 @@
 """Derived pair corpus built from the ``documents`` table.
 
-English lines are tokenised on spaces; tokens from a frequency-ranked lexicon
-get deterministic noise keyed by an md5 bucket of ``doc_id|line_no|pos``.  The
-corrected side is the clean line, the original side the noisy one.
+All non-blank lines of all languages are tokenised on spaces; tokens from a
+frequency-ranked lexicon get deterministic noise keyed by an md5 bucket of
+``doc_id|line_no|pos``.  The corrected side is the clean line, the original side
+the noisy one.
 
-Plan: one scan of ``documents`` (``lang`` pushed down, two columns read), a
+Plan: one scan of ``documents`` (two columns read), a
 partial-aggregated count for the lexicon (top 200: a bounded result), and a
 per-row array transform for the noise -- no shuffle of the lines themselves.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import ensure_parallelism
+from ..operators.joins import spread
 
 # Fixed values of the fixture rules.
 LEXICON_SIZE = 200
@@ -23,13 +24,11 @@ NULL_ORIGINAL_MOD, NULL_ORIGINAL_REM = 50, 7
 REVERSED_MOD = 20
 
 
-def english_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, line_no, tokens)`` for printable-ASCII, non-blank English lines."""
-    docs = (spark.read.parquet(f"{sf_dir}/documents.parquet")
-            .where(F.col("lang") == "en").select("doc_id", "text"))
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, line_no, tokens)`` for every non-blank line."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.col("line").rlike(r"^[ -~]*\z") & F.col("line").rlike("[^ ]"))
-    lines = ensure_parallelism(lines, "doc_id", "line_no")
+    lines = spread(lines.where(F.col("line").rlike("[^ ]")), "doc_id", "line_no")
     return lines.select("doc_id", "line_no",
                         F.filter(F.split("line", " "), lambda t: t != F.lit("")).alias("tokens"))
 
@@ -63,7 +62,7 @@ def _noisy(t, h):
 
 def derived_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(pair_id, original_text, corrected_text)`` from the documents table."""
-    lines = english_lines(spark, sf_dir)
+    lines = document_lines(spark, sf_dir)
     # Bounded by LEXICON_SIZE: safe to inline as an IN-set (hash lookup).
     lex = [r["token"] for r in lexicon(lines).collect()]
     doc, ln = F.col("doc_id"), F.col("line_no")
@@ -84,8 +83,8 @@ lines AS (
     SELECT doc_id,
            unnest(string_split(text, chr(10))) AS line,
            generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
-    FROM documents WHERE lang = 'en')
-  WHERE regexp_full_match(line, '[ -~]*') AND regexp_matches(line, '[^ ]')
+    FROM documents)
+  WHERE regexp_matches(line, '[^ ]')
 ),
 toklines AS (
   SELECT doc_id, line_no, list_filter(string_split(line, ' '), lambda x: x <> '') AS tokens FROM lines

@@ -127,13 +127,31 @@ def apply_one_sql(token: str, tag: str) -> str:
             f"WHEN starts_with({tag}, 'REPLACE_') THEN substr({tag}, 9) ELSE {token} END")
 
 
+# The letters beyond ASCII in the tables, in lower case.
+LETTERS = "éóèñçüêäößí"
+
+
+def fold_sql(expr: str) -> str:
+    """Lower case with each letter beyond ASCII re-coded to one byte: DuckDB's ``levenshtein`` counts bytes."""
+    codes = " || ".join(f"chr({i + 1})" for i in range(len(LETTERS)))
+    return f"translate(lower({expr}), '{LETTERS}', {codes})"
+
+
+def distance_sql(a: str, b: str, fold: bool = True) -> str:
+    if fold:
+        return f"levenshtein({fold_sql(a)}, {fold_sql(b)})"
+    both = LETTERS + LETTERS.upper().replace("SS", "")
+    codes = " || ".join(f"chr({i + 1 + (i > 7) * 6})" for i in range(len(both)))
+    return f"levenshtein(translate({a}, '{both}', {codes}), translate({b}, '{both}', {codes}))"
+
+
 def corpus_ctes() -> str:
     from .fixtures import DERIVED_PAIRS_SQL
     return "WITH RECURSIVE " + DERIVED_PAIRS_SQL + f""",
 f1 AS (SELECT * FROM pairs WHERE original_text IS NOT NULL AND corrected_text IS NOT NULL),
 f2 AS (
   SELECT * FROM f1
-  WHERE levenshtein(lower(original_text), lower(corrected_text))::DOUBLE
+  WHERE {distance_sql('original_text', 'corrected_text')}::DOUBLE
         / nullif(greatest(length(original_text), length(corrected_text)), 0)::DOUBLE <= 0.30::DOUBLE),
 tok AS (SELECT pair_id, {tokenize_sql('original_text')} AS o, {tokenize_sql('corrected_text')} AS c FROM f2),
 {alignment_ctes("SELECT pair_id, o, c FROM tok")},
@@ -188,7 +206,7 @@ val_sent AS (
 ORACLES = {
     "derived_pairs": "SELECT pair_id, original_text, corrected_text FROM pairs",
     "drop_null_pairs": "SELECT pair_id, original_text, corrected_text FROM f1",
-    "edit_ratio": """SELECT pair_id, round(levenshtein(lower(original_text), lower(corrected_text))::DOUBLE
+    "edit_ratio": f"""SELECT pair_id, round({distance_sql('original_text', 'corrected_text')}::DOUBLE
         / nullif(greatest(length(original_text), length(corrected_text)), 0)::DOUBLE, 6) AS edit_ratio FROM f1""",
     "minimal_edit_filter": "SELECT pair_id, original_text, corrected_text FROM f2",
     "tokenize": """
@@ -265,8 +283,8 @@ ORACLES = {
                round(count_if(pred = label)::DOUBLE / nullif(count(*), 0)::DOUBLE, 6) AS token_accuracy,
                round((SELECT avg(loss) FROM val_loss), 6) AS cross_entropy
         FROM val_scored""",
-    "sentence_metrics": """
-        SELECT round(sum(levenshtein(corrected, reference))::DOUBLE / sum(length(reference))::DOUBLE, 6) AS cer,
+    "sentence_metrics": f"""
+        SELECT round(sum({distance_sql('corrected', 'reference', fold=False)})::DOUBLE / sum(length(reference))::DOUBLE, 6) AS cer,
                round(avg(len(list_filter(string_split(corrected, ' '), lambda t: t <> ''))), 6) AS gen_len,
                round(avg(CASE WHEN corrected = reference THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS sentence_accuracy,
                count(*) AS n_sentences

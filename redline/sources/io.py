@@ -1,7 +1,7 @@
 """Readers and writers.
 
-All readers take explicit schemas (no inference); all writers go through the
-DataFrame writer, so they are distributed and atomic per job.
+Readers take string or stated schemas (no type inference); writers go through
+the DataFrame writer, so they are distributed and atomic per job.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.vocab import vocab_json
+from ..functions.text import is_blank, py_strip
+from ..operators.vocab import vocab_lines
 
 # The words pandas reads as missing by default.
 NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -28,9 +29,16 @@ def read_pairs_csv(spark: SparkSession, path: str, original: str = "original_tex
                    corrected: str = "corrected_text") -> DataFrame:
     """Pair CSV with header (S1): quoted fields, doubled quotes, embedded newlines;
     every column read as string; pandas' missing words become NULL on the two
-    text columns.  Other columns are carried unchanged."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("inferSchema", False).option("mode", "FAILFAST").csv(path))
+    text columns.  Other columns are carried unchanged.
+
+    The files' columns must come in one order: a file whose header differs from
+    the first one's fails the read (columns are never taken by position alone).
+    Embedded newlines make a file one task; rows are dealt out after the read.
+    """
+    opts = dict(header=True, multiLine=True, escape='"', mode="FAILFAST")
+    names = spark.read.options(**opts, inferSchema=False).csv(path).columns
+    schema = ", ".join(f"`{n}` string" for n in names)
+    df = spark.read.options(**opts, enforceSchema=False).schema(schema).csv(path)
     return df.withColumn(original, na_to_null(original)).withColumn(corrected, na_to_null(corrected))
 
 
@@ -40,14 +48,23 @@ def write_pairs_csv(df: DataFrame, path: str) -> None:
        .option("quoteAll", True).option("nullValue", "").csv(path))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(at, value)`` of every line; ``at`` orders by file name, block and line.
+
+    Spark packs splits by size, so its own row order does not follow the files.
+    """
+    m = F.col("_metadata")
+    at = F.struct(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(at.alias("at"), "value")
+
+
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
     """One sentence per line (S2): ``(line_id, sentence)``; blank lines kept.
 
-    ``line_id`` grows with file order (partition index, then offset), so
-    ordering by it restores the input order without a global numbering pass.
+    Ordering by ``line_id`` (file, block, line) restores the input order; part
+    files count in the order of their names.
     """
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"),
-                                        F.col("value").alias("sentence"))
+    return _lines(spark, path).select(F.col("at").alias("line_id"), F.col("value").alias("sentence"))
 
 
 def write_sentences(df: DataFrame, path: str, col: str = "sentence", order: str | None = None) -> None:
@@ -81,22 +98,25 @@ def read_verbose_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tag_vocab(vocab: DataFrame, path: str) -> None:
-    """The vocabulary as one JSON object in id order, non-ASCII kept (K2)."""
-    vocab_json(vocab).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+    """The vocabulary as one JSON object in id order, non-ASCII kept (K2).
+
+    The object is the part files in order of their names, one entry a line.
+    """
+    vocab_lines(vocab).orderBy("tag_id").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def read_tag_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """JSON object ``tag -> id`` back to ``(tag, tag_id)``."""
-    raw = spark.read.option("wholetext", True).text(path)
-    m = F.from_json(F.col("value"), "map<string,int>")
+    """JSON object ``tag -> id`` back to ``(tag, tag_id)`` (S4): one line, or one entry a line."""
+    raw = spark.read.text(path).where(~is_blank(F.col("value")))
+    body = F.regexp_replace(py_strip(F.col("value")), r"^\{|[,}]\z", "")
+    m = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), "map<string,int>")
     return raw.select(F.explode(m).alias("tag", "tag_id"))
 
 
 def read_term_list(spark: SparkSession, path: str) -> DataFrame:
     """Term lines (S5) with ``str.splitlines`` breaks: ``(line_no, line)``."""
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("_id"), "value")
-    parts = raw.select("_id", F.posexplode(F.split("value", EXTRA_LINE_BREAKS, -1)).alias("_k", "line"))
-    return parts.select(F.struct("_id", "_k").alias("line_no"), "line")
+    parts = _lines(spark, path).select("at", F.posexplode(F.split("value", EXTRA_LINE_BREAKS, -1)).alias("_k", "line"))
+    return parts.select(F.struct("at", "_k").alias("line_no"), "line")
 
 
 def write_term_dict(dictionary: DataFrame, path: str) -> None:
