@@ -18,6 +18,8 @@ cut; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 
 import numpy as np
@@ -70,6 +72,10 @@ class _Words(dict):
         self.tok = Tokenizer.from_file(path)
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("the tokenizer has more ids than 16 bits hold")
+        mark = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix")
+        self.closes = np.zeros(1 << 16, bool)
+        if mark:
+            self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith(mark)]] = True
 
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, "<u2").tobytes()
@@ -79,9 +85,24 @@ class _Words(dict):
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             new = list(words)
+        rest = []
         for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+            part = [(w, w.decode()) for w in new[lo:lo + 4096]]
+            plain = [(w, t) for w, t in part if t.isalpha()]
+            rest += [(w, t) for w, t in part if not t.isalpha()]
+            # a word of letters is one piece, which its only token with an end mark closes
+            ids = np.array(self.tok.encode_batch_fast([" ".join(t for _, t in plain)], add_special_tokens=False)[0].ids, "<u2")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(plain):
+                raw, at = ids.tobytes(), 0
+                for (w, _), e in zip(plain, (2 * ends).tolist()):
+                    self[w] = raw[at:e]
+                    at = e
+            else:
+                rest += plain
+        for lo in range(0, len(rest), 4096):
+            part = rest[lo:lo + 4096]
+            for (w, _), e in zip(part, self.tok.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
                 self[w] = np.array(e.ids, "<u2").tobytes()
 
     def texts(self, buf: np.ndarray, off: np.ndarray):
@@ -97,9 +118,15 @@ class _Words(dict):
                 yield self.whole(text)
 
 
+@functools.lru_cache(1)
+def _words_of(path: str) -> _Words:
+    """One cache a worker process, shared by its tasks."""
+    return _Words(path)
+
+
 def _tokenize(path: str, end_id: int, slice_len: int):
     def run(batches):
-        cache = _Words(path)
+        cache = _words_of(path)
         end = np.array([end_id], "<u2").tobytes()
         for b in batches:
             buf, off = text_bytes(b.column(1))
