@@ -14,8 +14,9 @@ of distinct shingles.  The steps lose no link:
    the order by frequency, and under each of the orders by salted hash
    (``ORDERS``).  Candidates come from the buckets of the first order and are
    kept if they also meet under the others; only then whole sets are compared.
-   A pair can share no more than the tokens that each side has in common with
-   anyone, which bounds its similarity before any set is read.
+   In the bucket of a pair's first common token the sides share no more than
+   what each has from there on, which bounds the similarity before any set is
+   read (tokens of one document come first, so they count against it).
 4. Components grow from the verified links.  A bucket needs no pair inside one
    component, so buckets are worked in rounds: at first everyone meets the
    bucket's pivot alone (the member with the fewest tokens of its own), later
@@ -45,6 +46,8 @@ THRESHOLD_PCT = 85
 ORDERS = (101, 202)
 #: Members of a bucket that may meet pairwise.
 SMALL = 32
+#: Members of a block of a larger bucket.
+BLOCK_MEMBERS = 128
 #: Rounds in which large buckets meet a pivot before they are cut to blocks.
 PIVOT_ROUNDS = 3
 #: Text whose tokens are counted together before they are sent.
@@ -324,16 +327,18 @@ def similar_links(classes: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS) -
     """Verified links ``(a, b)`` between classes, enough to span every component, and the components ``(node, component)``."""
     ranked = ranked_classes(classes, pct, orders)
     prefixes = ranked.drop("toks")
-    tokens = prefixes.select("rep", "n", "common", F.explode("p0").alias("tok"))
+    # can: the tokens from this one on, in the order by frequency
+    tokens = (prefixes.select("rep", "n", "common", F.posexplode("p0").alias("i", "tok"))
+              .select("rep", "n", (F.col("common") - F.col("i")).alias("can"), "tok"))
     many = tokens.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1").select("tok")
     bucket, _ = write_table(tokens.join(many, "tok"), "join_buckets")
     links, tested, label, rounds = None, None, None, 0
     while True:
         cur = bucket.withColumn("comp", F.col("rep")) if label is None else (
             bucket.join(label, bucket["rep"] == label["node"], "left").select(*bucket.columns, F.coalesce("component", "rep").alias("comp")))
-        rank = (F.col("n") - F.col("common")) if rounds == 0 else F.xxhash64(F.lit(rounds), "rep")
+        rank = (F.col("n") - F.col("can")) if rounds == 0 else F.xxhash64(F.lit(rounds), "rep")
         shape = cur.groupBy("tok").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"),
-                                       F.min(F.struct(rank.alias("r"), "rep", "n", "common", "comp")).alias("pivot"))
+                                       F.min(F.struct(rank.alias("r"), "rep", "n", "can", "comp")).alias("pivot"))
         mixed, path = write_table(cur.join(shape.where("c0 <> c1").drop("c0", "c1"), "tok"), "join_mixed")
         small, large = mixed.where(F.col("size") <= SMALL), mixed.where(F.col("size") > SMALL)
         pairs = _bucket_pairs(small.withColumnRenamed("tok", "key"), pct) if rounds else _pivot_pairs(small, pct)
@@ -356,22 +361,22 @@ def similar_links(classes: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS) -
 
 
 def _may_link(an, ac, bn, bc, pct):
-    """Whether sets of these sizes, sharing at most their common tokens, can reach the threshold."""
+    """Whether sets of these sizes, sharing at most so many tokens, can reach the threshold."""
     most = F.least(ac, bc)
     return F.lit(100) * most >= F.lit(pct) * (an + bn - most)
 
 
 def _pivot_pairs(rows: DataFrame, pct: int) -> DataFrame:
     p = lambda c: F.col(f"pivot.{c}")
-    return (rows.where((F.col("comp") != p("comp")) & _may_link(F.col("n"), F.col("common"), p("n"), p("common"), pct))
+    return (rows.where((F.col("comp") != p("comp")) & _may_link(F.col("n"), F.col("can"), p("n"), p("can"), pct))
             .select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")))
 
 
 def _bucket_pairs(rows: DataFrame, pct: int) -> DataFrame:
     """Pairs of different components within buckets of a bounded number of members."""
-    m = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "common", "comp"))).alias("g"))
+    m = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "can", "comp"))).alias("g"))
     pair = F.flatten(F.transform("g", lambda x, i: F.transform(
-        F.filter(F.slice(F.col("g"), i + 2, F.size("g")), lambda y: (x["comp"] != y["comp"]) & _may_link(x["n"], x["common"], y["n"], y["common"], pct)),
+        F.filter(F.slice(F.col("g"), i + 2, F.size("g")), lambda y: (x["comp"] != y["comp"]) & _may_link(x["n"], x["can"], y["n"], y["can"], pct)),
         lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
     return m.select(F.explode(pair).alias("p")).select("p.a", "p.b")
 
@@ -381,15 +386,15 @@ def _block_pairs(rows: DataFrame, pct: int) -> DataFrame:
 
     Members that cannot reach the threshold with any size found in the bucket stay out.
     """
-    able = rows.where(_may_link(F.col("n"), F.col("common"), F.greatest("n0", "common"), F.greatest("n0", "common"), pct))
+    able = rows.where(_may_link(F.col("n"), F.col("can"), F.greatest("n0", "can"), F.greatest("n0", "can"), pct))
     left = able.groupBy("tok").agg(F.count("*").alias("left"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
     able = able.join(left.select("tok", "left"), "tok")
-    blocks = F.ceil(F.col("left") / SMALL).cast("int")
+    blocks = F.ceil(F.col("left") / BLOCK_MEMBERS).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    r = able.select("tok", "rep", "n", "common", "comp", mine.alias("mine"), other.alias("other"))
+    r = able.select("tok", "rep", "n", "can", "comp", mine.alias("mine"), other.alias("other"))
     key = F.struct("tok", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    return _bucket_pairs(r.select(key.alias("key"), "rep", "n", "common", "comp"), pct)
+    return _bucket_pairs(r.select(key.alias("key"), "rep", "n", "can", "comp"), pct)
 
 
 def _meeting(pairs: DataFrame, prefixes: DataFrame, orders: int) -> DataFrame:

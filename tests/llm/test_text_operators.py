@@ -62,6 +62,7 @@ def test_suffix_dedup_equals_counting_windows(spark, monkeypatch, split_bytes):
 
 def test_ngram_join_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(nj, "SMALL", 3)                     # large buckets: pivots, then blocks
+    monkeypatch.setattr(nj, "BLOCK_MEMBERS", 3)
     monkeypatch.setattr(nj, "PIVOT_ROUNDS", 1)
     rows = _texts(5) + [(70 + i, " ".join(f"w{j}" for j in range(i, i + 60))) for i in range(12)]   # a chain of links
     sets = {d: shingles(t) for d, t in rows}
