@@ -5,6 +5,8 @@ connected components.
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,30 @@ def drop_tables(spark: SparkSession, *paths: str) -> None:
         hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
 
 
+def release() -> None:
+    """Give a worker's freed memory back; idle workers are kept and would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):                 # another C library
+        pass
+
+
+def released(f):
+    """``f``, a function over batches or a table, followed by ``release``."""
+    if inspect.isgeneratorfunction(f):
+        def each(batches):
+            yield from f(batches)
+            release()
+        return each
+
+    def whole(table):
+        out = f(table)
+        release()
+        return out
+    return whole
+
+
 # --------------------------------------------------------------------------
 # text batches as byte arrays
 # --------------------------------------------------------------------------

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, connected_components, drop_tables, mix, row_chunks, text_bytes, window_hash, words_of, write_table
+from .common import U64, connected_components, drop_tables, mix, released, row_chunks, text_bytes, window_hash, words_of, write_table
 
 SHINGLE = 4
 THRESHOLD_PCT = 85
@@ -51,7 +51,9 @@ BLOCK_MEMBERS = 128
 #: Rounds in which large buckets meet a pivot before they are cut to blocks.
 PIVOT_ROUNDS = 3
 #: Text whose tokens are counted together before they are sent.
-COUNT_BYTES = 8 << 20
+COUNT_BYTES = 4 << 20
+#: Text, or tokens of classes, to one hash range.
+RANGE_BYTES = 8 << 20
 #: Tokens of classes that are counted together.
 BLOCK_BYTES = 2 << 20
 
@@ -289,12 +291,12 @@ def ranked_classes(classes: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS)
     """``rep, n, common, toks, p0, p1 ...``: ``p0`` the prefix under the order by frequency."""
     blocks, blocks_at = write_table(classes.mapInArrow(_class_blocks, "uid long, reps binary, sizes binary, toks binary"), "join_blocks", "lz4")
     total = blocks.agg(F.sum(F.octet_length("toks"))).first()[0] or 0
-    ranges = int(max(2 * classes.sparkSession.sparkContext.defaultParallelism, total // (32 << 20) + 1))
-    freq = (blocks.select("uid", "toks").mapInArrow(_token_counts(ranges), "rng int, uid long, vals binary, cnt binary")
-            .groupBy("rng").applyInArrow(_frequencies, "uid long, rng int, freq binary"))
+    ranges = int(max(2 * classes.sparkSession.sparkContext.defaultParallelism, total // RANGE_BYTES + 1))
+    freq = (blocks.select("uid", "toks").mapInArrow(released(_token_counts(ranges)), "rng int, uid long, vals binary, cnt binary")
+            .groupBy("rng").applyInArrow(released(_frequencies), "uid long, rng int, freq binary"))
     marks = freq.groupBy("uid").agg(F.collect_list(F.struct("rng", "freq")).alias("marks"))
     schema = "rep long, n long, common long, toks array<long>" + "".join(f", p{i} array<long>" for i in range(len(orders) + 1))
-    ranked, _ = write_table(blocks.join(marks, "uid", "left").mapInArrow(_ranked(ranges, pct, orders), schema), "join_ranked", "lz4")
+    ranked, _ = write_table(blocks.join(marks, "uid", "left").mapInArrow(released(_ranked(ranges, pct, orders)), schema), "join_ranked", "lz4")
     drop_tables(classes.sparkSession, blocks_at)
     return ranked
 
@@ -307,13 +309,13 @@ def shingle_classes(docs: DataFrame, k: int = SHINGLE, pct: int = THRESHOLD_PCT,
     spark = docs.sparkSession
     rows = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = int(max(2 * spark.sparkContext.defaultParallelism, total // (32 << 20) + 1))
-    told = (rows.mapInArrow(_count_rows(k, ranges), "rng int, uid long, vals binary, docs binary, meta binary")
-            .groupBy("rng").applyInArrow(_alone, "uid long, docs binary, meta binary, shared binary"))
+    ranges = int(max(2 * spark.sparkContext.defaultParallelism, total // RANGE_BYTES + 1))
+    told = (rows.mapInArrow(released(_count_rows(k, ranges)), "rng int, uid long, vals binary, docs binary, meta binary")
+            .groupBy("rng").applyInArrow(released(_alone), "uid long, docs binary, meta binary, shared binary"))
     counted, _ = write_table(told.groupBy("uid").applyInArrow(_counted, "doc_id long, n long, alone long"), "join_counts")
     maybe = counted.where((F.col("n") > 0) & (100 * (F.col("n") - F.col("alone")) >= pct * F.col("n"))).select("doc_id").distinct()
     sets = (rows.join(maybe.hint("shuffle_hash"), "doc_id", "left_semi")
-            .mapInArrow(_class_rows(k), "doc_id long, c1 long, c2 long, n long, toks array<long>"))
+            .mapInArrow(released(_class_rows(k)), "doc_id long, c1 long, c2 long, n long, toks array<long>"))
     sets, sets_at = write_table(sets, "join_sets", "lz4")
     reps = sets.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
     known, _ = write_table(sets.join(reps, ["c1", "c2", "n"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("toks")).alias("toks")), "join_known", "lz4")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_chunks, text_bytes
+from .common import released, row_chunks, text_bytes
 
 SEQ_LEN = 2048
 END_ID = 1
@@ -245,8 +245,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_
     # a token is three to four bytes long; a group needs its size only roughly
     n = rows.agg(F.sum(F.octet_length("text") + 4)).first()[0] or 0
     groups = int(n // (3 * group_tokens) + 1)
-    tokens = rows.mapInArrow(_tokenize(tokenizer, end_id, slice_len), "doc_id long, start long, doc_tokens long, ids binary")
+    tokens = rows.mapInArrow(released(_tokenize(tokenizer, end_id, slice_len)), "doc_id long, start long, doc_tokens long, ids binary")
     # identical rows of one id spread by where they lie in their partition
     dealt = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.monotonically_increasing_id()), F.lit(groups))
     return (tokens.withColumn("grp", dealt).groupBy("grp").applyInArrow(
-        _pack(seq_len), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"))
+        released(_pack(seq_len)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"))

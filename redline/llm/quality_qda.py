@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_chunks, text_bytes, write_table
+from .common import released, row_chunks, text_bytes, write_table
 from .text_stats import TextStats
 
 #: Share of the pooled covariance in each class's covariance.
@@ -148,7 +148,7 @@ def fit_quality(feature_rows: DataFrame, labels: DataFrame, pooled: float = POOL
 def text_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, x)``: one pass over the texts, written once for fitting and scoring."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return write_table(rows.mapInArrow(_features, "doc_id long, x array<double>"), "qda_features")[0]
+    return write_table(rows.mapInArrow(released(_features), "doc_id long, x array<double>"), "qda_features")[0]
 
 
 def quality_scores(feature_rows: DataFrame, model: QuadraticModel, threshold: float = THRESHOLD) -> DataFrame:
