@@ -33,20 +33,22 @@ ALIGN_SCHEMA = StructType([StructField("tags", ArrayType(StringType())),
 
 
 def align_tokens(orig: list, corr: list) -> tuple[list, list]:
-    """Per-row helper: tags and gap tags for one pair of token lists."""
-    tags: list[str] = []
+    """Per-row helper: tags and gap tags for one pair of token lists.
+
+    Between two matching blocks lies a span of each side: spans of equal length
+    replace each other word by word; any others are deleted here and inserted
+    in the gap behind them.
+    """
+    tags: list[str] = [T.DELETE] * len(orig)
     gaps = [T.KEEP_GAP] * (len(orig) + 1)
-    sm = difflib.SequenceMatcher(None, orig, corr)
-    for op, i1, i2, j1, j2 in sm.get_opcodes():
-        if op == "equal":
-            tags += [T.KEEP] * (i2 - i1)
-        elif op == "delete":
-            tags += [T.DELETE] * (i2 - i1)
-        elif op == "replace" and (i2 - i1) == (j2 - j1):
-            tags += [T.REPLACE + w for w in corr[j1:j2]]
-        else:  # unequal replace or insert: inserts go to the gap after the span
-            tags += [T.DELETE] * (i2 - i1)
-            gaps[len(tags)] = " ".join(T.INSERT + w for w in corr[j1:j2])
+    at, to = 0, 0
+    for i, j, n in difflib.SequenceMatcher(None, orig, corr).get_matching_blocks():
+        if i - at == j - to:
+            tags[at:i] = [T.REPLACE + w for w in corr[to:j]]
+        elif j > to:
+            gaps[i] = " ".join(T.INSERT + w for w in corr[to:j])
+        tags[i:i + n] = [T.KEEP] * n
+        at, to = i + n, j + n
     return tags, gaps
 
 

@@ -10,9 +10,9 @@ then right-padded; the label sits on the first piece of every word (its tag
 id), -100 elsewhere (specials, continuation pieces, padding); the mask is 1 on
 real positions (specials included), 0 on padding.
 
-Plan: explode to one row per word (narrow), encode the tag through the
-size-checked vocabulary join, build each word's pieces/ids/labels as arrays,
-and regroup once by example -- a single shuffle, bounded groups.
+Plan: ids, masks and label places are array expressions on the example's own
+row.  Only its REPLACE tags need the vocabulary: the distinct ones are looked up
+in one join and come back as a small map, so the tokens are never shuffled.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tagger import token_tags
-from .vocab import encode_tags
+from ..functions.tags import BASE_TAGS, DELETE, KEEP
+from .joins import materialize
+from .vocab import vocab_ids
 
 # Special token ids of the encoding.
-BOS_ID, PAD_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
+BOS_ID, PAD_ID, EOS_ID = 0, 1, 2
 FIRST_PIECE_ID = 4
 PIECE_BUCKETS = 50261          # piece ids fall in [4, 50265)
 PIECE_CHARS = 4
@@ -65,23 +66,24 @@ def is_first_subtoken(subtokens: DataFrame, key: str = "ex_id", order: str = "su
 
 
 def encode_examples(tagged: DataFrame, vocab: DataFrame, key: str = "pair_id",
-                    max_length: int = MAX_LENGTH, subword_fn=subword_pieces) -> DataFrame:
-    """``(key, input_ids, attention_mask, labels)``, each ``array<int>`` of ``max_length``."""
-    words = encode_tags(token_tags(tagged, key), vocab, "tag", "tag_id")
-    pieces = subword_fn(F.col("token"))
-    per_word = words.select(
-        key, "pos",
-        F.transform(pieces, piece_id).alias("ids"),
-        F.transform(pieces, lambda p, k: F.when(k == 0, F.col("tag_id")).otherwise(F.lit(IGNORE)))
-        .alias("labs"))
-    item = F.struct("pos", "ids", "labs")
-    ex = per_word.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("w"))
-    # examples whose original side has no token still get an encoding
-    ex = tagged.select(key).join(ex.withColumn("_hit", F.lit(True)), key, "left")
-    empty = F.array().cast("array<int>")
-    ids = F.when(F.col("_hit").isNull(), empty).otherwise(F.flatten(F.col("w.ids")))
-    labs = F.when(F.col("_hit").isNull(), empty).otherwise(F.flatten(F.col("w.labs")))
-    return ex.select(key, *pad_truncate(ids, labs, max_length))
+                    max_length: int = MAX_LENGTH, subword_fn=subword_pieces, carry=()) -> DataFrame:
+    """``(key, input_ids, attention_mask, labels, *carry)``, arrays of ``max_length`` ints, one row a row."""
+    ids = vocab_ids(vocab)
+    rows = materialize(tagged.select(key, "orig_tokens", "tags", *carry).withColumn("_id", F.monotonically_increasing_id()), "examples")
+    words = rows.select("_id", F.explode(F.array_distinct(F.filter("tags", lambda t: ~t.isin(*BASE_TAGS)))).alias("_tag"))
+    known = (words.join(vocab.select(F.col("tag").alias("_tag"), "tag_id"), "_tag").groupBy("_id")
+             .agg(F.map_from_entries(F.collect_list(F.struct("_tag", "tag_id"))).alias("_ids")))
+    j = rows.join(known, "_id", "left")
+    tag_id = lambda t: (F.when(t == KEEP, F.lit(ids[KEEP])).when(t == DELETE, F.lit(ids[DELETE]))
+                        .otherwise(F.coalesce(F.col("_ids")[t], F.lit(ids[KEEP]))))
+    # no word beyond max_length - 2 can leave a piece: bind the words' pieces before the label step
+    some = F.slice(F.arrays_zip(F.col("orig_tokens").alias("w"), F.col("tags").alias("t")), 1, max_length)
+    j = j.select(key, *carry, F.transform(some, lambda e: F.struct(
+        F.transform(subword_fn(e["w"]), piece_id).alias("ids"), tag_id(e["t"]).alias("lab"))).alias("_w"))
+    pieces = F.flatten(F.transform("_w", lambda e: e["ids"]))
+    labels = F.flatten(F.transform("_w", lambda e: F.transform(e["ids"], lambda p, k: F.when(k == 0, e["lab"]).otherwise(F.lit(IGNORE)))))
+    j = j.select(key, *carry, pieces.alias("_p"), labels.alias("_l"))
+    return j.select(key, *pad_truncate(F.col("_p"), F.col("_l"), max_length), *carry)
 
 
 def pad_truncate(ids, labels, max_length: int = MAX_LENGTH):

@@ -4,16 +4,19 @@ A request is a JSON body ``{"sentence": str, "top_k": int}``.  Parsing uses
 the VARIANT type, which tells a missing field, a JSON null, a string and a
 number apart.  Routing follows the service's order of checks:
 
+0. no model loaded -> 503 ``Model not available``, whatever the body;
 1. body: malformed, or not a JSON object -> treated as ``{}``;
 2. ``top_k`` (default 3): numbers truncate toward zero, integer strings
    parse, booleans are 1/0; anything else -> 400 ``top_k must be an integer``
    (the reference crashes there; this is a deliberate, documented deviation);
+   numbers of any size are clamped later, so they saturate here;
 3. ``sentence`` (default ``""``) present but not a string -> 400;
 4. blank sentence -> 200, empty result, ``Input sentence was empty.``;
 5. otherwise scored -> 200, ``Typos checked successfully.``
 
-Everything is a per-row expression until scoring: one broadcast (size-checked)
-model join and one regroup by request, with the routing fields carried along.
+A request is a row: requests alike in every column (a redelivered body) get a
+response each.  Everything is a per-row expression until scoring: one model join
+and one regroup by request, with the routing fields carried along.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, py_strip
+from .joins import materialize
 from .tagger import correct_verbose
 
 # Fixed values of the service contract.
@@ -31,41 +35,12 @@ MSG_OK = "Typos checked successfully."
 MSG_EMPTY = "Input sentence was empty."
 ERR_SENTENCE = "'sentence' must be a string"
 ERR_TOP_K = "top_k must be an integer"
+ERR_MODEL = "Model not available"
+#: A number this large or larger means all tags.
+TOP_K_LIMIT = 1 << 31
 
 NUMERIC_PREFIXES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
 
-# Request variants derived from the conversations table (by conv_id % 10).
-VARIANT_MOD = 10
-
-
-def requests_from_conversations(conv: DataFrame) -> DataFrame:
-    """``(conv_id, turn, body)``: one JSON request per user turn.
-
-    ``top_k = 1 + turn % 5``; ``conv_id % 10`` picks a variant: 0 malformed,
-    1 no sentence, 2 null sentence, 3 numeric sentence, 4 blank sentence,
-    5 string top_k, 6 fractional top_k, 7 non-integer top_k, 8 JSON array,
-    otherwise a well-formed request.
-    """
-    k = (F.lit(1) + F.col("turn") % 5).cast("int")
-    text = F.col("text")
-    obj = lambda *kv: F.to_json(F.struct(*kv))
-    v = F.col("conv_id") % VARIANT_MOD
-    whole = obj(text.alias("sentence"), k.alias("top_k"))
-    body = (F.when(v == 0, F.expr("substring(to_json(named_struct('sentence', text)), 1, "
-                                  "length(to_json(named_struct('sentence', text))) - 1)"))
-             .when(v == 1, obj(k.alias("top_k")))
-             .when(v == 2, F.concat(F.lit('{"sentence": null, "top_k": '), k.cast("string"), F.lit("}")))
-             .when(v == 3, F.concat(F.lit('{"sentence": '), F.col("conv_id").cast("string"),
-                                    F.lit(', "top_k": '), k.cast("string"), F.lit("}")))
-             .when(v == 4, obj(F.lit("   ").alias("sentence"), k.alias("top_k")))
-             .when(v == 5, obj(text.alias("sentence"), k.cast("string").alias("top_k")))
-             .when(v == 6, obj(text.alias("sentence"), (k.cast("double") + 0.7).alias("top_k")))
-             .when(v == 7, obj(text.alias("sentence"), F.lit("x").alias("top_k")))
-             .when(v == 8, F.lit("[1, 2]"))
-             .otherwise(whole))
-    return conv.where(F.col("role") == "user").select("conv_id", "turn", body.alias("body"))
-
-
 def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``sentence_type``, ``sentence``, ``top_k``, ``top_k_ok`` (S3)."""
     v = F.try_parse_json(F.col(body))
@@ -78,11 +53,14 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     is_num = F.lit(False)
     for p in NUMERIC_PREFIXES:
         is_num = is_num | ttype.startswith(p)
-    tstr = F.trim(F.try_variant_get(tv, "$", "string"))
+    tstr = py_strip(F.try_variant_get(tv, "$", "string"))
+    limit = F.lit(float(TOP_K_LIMIT))
+    whole = lambda d: F.greatest(-limit, F.least(limit, d)).cast("long")
+    digits = tstr.rlike(r"^[+-]?[0-9]+(_[0-9]+)*\z")
     top_k = (F.when(tv.isNull(), F.lit(DEFAULT_TOP_K).cast("long"))
-              .when(is_num, F.try_variant_get(tv, "$", "double").cast("long"))
+              .when(is_num, whole(F.try_variant_get(tv, "$", "double")))
               .when(ttype == "BOOLEAN", F.when(F.try_variant_get(tv, "$", "boolean"), 1).otherwise(0).cast("long"))
-              .when((ttype == "STRING") & tstr.rlike(r"^[+-]?[0-9]+\z"), tstr.cast("long")))
+              .when((ttype == "STRING") & digits, whole(F.replace(tstr, F.lit("_"), F.lit("")).try_cast("double"))))
     return df.select(
         "*",
         F.when(sv.isNull(), F.lit("MISSING")).otherwise(stype).alias("sentence_type"),
@@ -91,15 +69,16 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
         top_k.alias("top_k"))
 
 
-def route_requests(parsed: DataFrame) -> DataFrame:
+def route_requests(parsed: DataFrame, model_ready: bool = True) -> DataFrame:
     """Add ``status``, ``error``, ``message``, ``route``."""
     bad_k = F.col("top_k").isNull()
     bad_s = ~F.col("sentence_type").isin("STRING", "MISSING")
     blank = is_blank(F.col("sentence"))
-    route = (F.when(bad_k, F.lit("bad_top_k")).when(bad_s, F.lit("bad_sentence"))
+    route = (F.when(F.lit(not model_ready), F.lit("no_model")).when(bad_k, F.lit("bad_top_k")).when(bad_s, F.lit("bad_sentence"))
               .when(blank, F.lit("empty")).otherwise(F.lit("score")))
-    status = F.when(route.isin("bad_top_k", "bad_sentence"), F.lit(400)).otherwise(F.lit(200))
-    error = (F.when(route == "bad_top_k", F.lit(ERR_TOP_K))
+    status = (F.when(route == "no_model", F.lit(503)).when(route.isin("bad_top_k", "bad_sentence"), F.lit(400))
+               .otherwise(F.lit(200)))
+    error = (F.when(route == "no_model", F.lit(ERR_MODEL)).when(route == "bad_top_k", F.lit(ERR_TOP_K))
               .when(route == "bad_sentence", F.lit(ERR_SENTENCE)))
     message = (F.when(route == "empty", F.lit(MSG_EMPTY))
                 .when(route == "score", F.lit(MSG_OK)))
@@ -108,24 +87,29 @@ def route_requests(parsed: DataFrame) -> DataFrame:
 
 
 def check_typos(routed: DataFrame, model: DataFrame, vocab: DataFrame,
-                keys=("conv_id", "turn")) -> DataFrame:
+                keys=("conv_id", "turn"), num_tags: int | None = None, ids: dict | None = None) -> DataFrame:
     """Responses for routed requests (P16, P17): scored rows get the corrected
     sentence and token details; blank rows the empty result; errors only
     ``status`` and ``error``.  ``processing_time_ms`` is filled per micro-batch
     by the stream (T2); a per-row wall time has no meaning in a batch plan.
+
+    ``keys`` are carried, not grouped by: every row is a request of its own.
+    ``num_tags`` and ``ids`` save lookups on the vocabulary when given.
     """
     keys = list(keys)
+    # written first, so that the row ids hold if a task runs again
+    routed = materialize(routed.withColumn("_id", F.monotonically_increasing_id()), "requests")
     # Every request goes through one regroup: non-scored ones with an empty
     # text (no tokens, one row), their routing fields carried along -- no join
     # of requests back onto their scores.
     is_score_in = F.col("route") == "score"
     req = routed.select(
-        F.struct(*keys).alias("_key"),
+        F.struct("_id", *keys).alias("_key"),
         F.when(is_score_in, F.col("sentence")).otherwise(F.lit("")).alias("_s"),
         F.coalesce(F.col("top_k"), F.lit(DEFAULT_TOP_K).cast("long")).alias("_k"),
         F.struct("status", "error", "message", "route", "sentence").alias("_req"))
     scored = correct_verbose(req, model, vocab, key="_key", text="_s", top_k_col="_k",
-                             pass_through="_req")
+                             pass_through="_req", num_tags=num_tags, ids=ids)
     j = scored.select(*[F.col("_key." + k).alias(k) for k in keys],
                       "_req.status", "_req.error", "_req.message", "_req.route", "_req.sentence",
                       F.col("corrected").alias("_corrected"),
@@ -145,17 +129,12 @@ def check_typos(routed: DataFrame, model: DataFrame, vocab: DataFrame,
 
 
 def response_json(responses: DataFrame) -> DataFrame:
-    """One JSON document per response (P17 wire form)."""
+    """One JSON document per response (P17 wire form); a missing time is written as null."""
     ok = F.to_json(F.struct(
         "original_sentence", "corrected_sentence",
         F.transform("token_details", lambda d: F.struct(
             d["token"].alias("token"), d["pred_tag"].alias("pred_tag"),
             d["top_probs"].alias("top_probs"))).alias("token_details"),
-        "model_name", "processing_time_ms", "corrections_made", "message"))
+        "model_name", "processing_time_ms", "corrections_made", "message"), {"ignoreNullFields": "false"})
     err = F.to_json(F.struct("error"))
     return responses.select("*", F.when(F.col("status") == 200, ok).otherwise(err).alias("json"))
-
-
-def corrections_made(corrected, sentence):
-    """``strip(corrected) != strip(sentence)``."""
-    return py_strip(corrected) != py_strip(sentence)

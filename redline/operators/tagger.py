@@ -13,8 +13,6 @@ expressions on the joined row -- no per-tag explode, no second shuffle for them.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,28 +141,50 @@ def correct_batch(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
                   key: str = "line_no", text: str = "sentence") -> DataFrame:
     """``(key, sentence, corrected)`` (M3): tokenise, score, argmax, apply tags.
 
-    Exchanges: the model join (broadcast when it passes the size check) and
-    one regroup by ``key`` (a group is one sentence's tokens).
+    Only tokens whose best tag is not KEEP can change a sentence, so the model
+    is cut to those before the join and only matching tokens travel; their tags
+    come back to the sentence as a small map from position to tag.  Every row of
+    ``sentences`` is a sentence of its own, also where keys repeat.
+    """
+    best = argmax_tag().getField("tag")
+    change = model.select(F.col("token").alias("_mtok"), best.alias("_tag")).where(F.col("_tag") != KEEP)
+    rows = materialize(sentences.select(key, text).withColumn("_id", F.monotonically_increasing_id()), "sentences")
+    toks = rows.select("_id", F.posexplode(tokenize(text)).alias("pos", "token"))
+    hits = (toks.join(change, F.col("token") == F.col("_mtok")).groupBy("_id")
+            .agg(F.map_from_entries(F.collect_list(F.struct("pos", "_tag"))).alias("_hits")))
+    t = tokenize(text)
+    tags = F.transform(F.col("_t"), lambda x, i: F.coalesce(F.col("_hits")[i], F.lit(KEEP)))
+    j = rows.join(hits, "_id", "left").withColumn("_t", t)
+    fixed = F.when(F.col("_hits").isNull(), F.array_join("_t", " ")).otherwise(apply_tags(F.col("_t"), tags))
+    return j.select(key, text, fixed.alias("corrected"))
+
+
+def full_distribution(sentences: DataFrame, model: DataFrame, vocab: DataFrame, key: str = "line_no",
+                      text: str = "sentence") -> DataFrame:
+    """``(key, pos, token, tag_id, tag, prob)``: every tag of the vocabulary for every token, 0 where never seen.
+
+    The result has tokens x tags rows by definition: meant for requested sentences.
     """
-    toks = sentence_tokens(sentences, key, text)
-    scored = score_tokens(toks, model, vocab)
-    item = F.when(F.col("pos").isNotNull(),
-                  F.struct("pos", "token", argmax_tag().getField("tag").alias("tag")))
-    per = scored.groupBy(key).agg(F.max("_text").alias(text),
-                                  F.array_sort(F.collect_list(item)).alias("items"))
-    return per.select(key, text, apply_tags(F.col("items.token"), F.col("items.tag")).alias("corrected"))
+    scored = score_tokens(sentence_tokens(sentences, key, text).where("pos is not null"), model, vocab)
+    seen = F.map_from_entries(F.transform("dist", lambda e: F.struct(e["tag_id"], e["prob"])))
+    every = vocab.agg(F.array_sort(F.collect_list(F.struct("tag_id", "tag"))).alias("_tags"))  # one row, the vocabulary
+    rows = scored.select(key, "pos", "token", seen.alias("_seen")).join(F.broadcast(every), F.lit(True))
+    return (rows.select(key, "pos", "token", "_seen", F.inline("_tags"))
+            .select(key, "pos", "token", "tag_id", "tag", F.coalesce(F.col("_seen")[F.col("tag_id")], F.lit(0.0)).alias("prob")))
 
 
 def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
                     key: str = "line_no", text: str = "sentence", top_k_col=None,
-                    default_k: int = 3, clamp: bool = True, pass_through: str | None = None) -> DataFrame:
+                    default_k: int = 3, clamp: bool = True, pass_through: str | None = None,
+                    num_tags: int | None = None, ids: dict | None = None) -> DataFrame:
     """As ``correct_batch`` plus per-token details.
 
     ``token_details`` = array of ``struct(token, pred_tag, top_probs map, top
     array)`` in token order; ``top`` keeps the ranked order the map loses.
     ``top_k`` (per row, or ``default_k``) is clamped to [1, vocabulary size].
     """
-    num_tags = vocab.count() if clamp else None
+    if clamp and num_tags is None:
+        num_tags = vocab.count()
     full = not top_k_col and not default_k
     k_col = (F.col(top_k_col) if top_k_col else F.lit(default_k or 0)).alias("_k")
     carry = [k_col] + ([F.col(pass_through).alias("_pass")] if pass_through else [])
@@ -172,7 +192,7 @@ def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
     if pass_through:  # like the text: one copy per sentence, back with the regroup
         first = F.col("pos").isNull() | (F.col("pos") == 0)
         toks = toks.withColumn("_pass", F.when(first, F.col("_pass")))
-    scored = score_tokens(toks, model, vocab)
+    scored = score_tokens(toks, model, vocab, ids=ids)
     top = top_k("dist", None if full else F.col("_k"), num_tags)
     # maps are not orderable: collect the ranked array, build the map after sorting
     entry = F.struct(
@@ -189,7 +209,3 @@ def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
                      apply_tags(F.col("items.token"), F.col("items.pred_tag")).alias("corrected"),
                      details.alias("token_details"))
     return out.withColumn("corrections_made", py_strip("corrected") != py_strip(text))
-
-
-def missing_logit(eps: float = 1e-12) -> float:
-    return math.log(eps)

@@ -11,7 +11,6 @@ rather than on an external tokenizer (documented deviation).
 * ROUGE-1/2: mean over pairs of the n-gram overlap F1.
 * ROUGE-L: mean over pairs of the LCS F1; the LCS uses a bit-parallel
   recurrence in an Arrow UDF (one big-int step per reference token).
-  ROUGE-Lsum equals ROUGE-L for single-line texts (all texts here).
 
 Plan: n-grams are exploded once and counted by (pair, n, gram) -- a partial
 aggregation keyed by the pair, so no group outgrows one sentence -- then a
@@ -140,9 +139,9 @@ def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def rouge_l(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """Mean ROUGE-L F1 over pairs (and Lsum, equal for single-line texts)."""
+    """Mean ROUGE-L F1 over pairs."""
     df = df.select(tokenize(pred).alias("_p"), tokenize(ref).alias("_r"))
     p, r = F.col("_p"), F.col("_r")
     lcs = _lcs_udf(p, r)
     f = F.when(lcs == 0, F.lit(0.0)).otherwise(2 * lcs / (F.size(p) + F.size(r)))
-    return df.agg(F.avg(f).alias("rougeL"), F.avg(f).alias("rougeLsum"))
+    return df.agg(F.avg(f).alias("rougeL"))

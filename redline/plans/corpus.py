@@ -1,16 +1,17 @@
-"""End-to-end plans over the driver tables: corpus build, fit, evaluate."""
+"""Dataset build from any pair table: filter, tag, vocabulary, splits, encoding, statistics."""
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.align import diff_to_tags
+from ..operators.encode import MAX_LENGTH, encode_examples, subword_pieces
 from ..operators.joins import materialize
 from ..operators.metrics import evaluate_tagger
-from ..operators.pairs import tagged_pairs
+from ..operators.pairs import drop_null_pairs, minimal_edit_filter, tokenize_pairs
 from ..operators.split import with_split
 from ..operators.tagger import fit_count_tagger
 from ..operators.vocab import build_tag_vocab
@@ -19,81 +20,56 @@ from .fixtures import derived_pairs
 
 @dataclass
 class Corpus:
-    tagged: DataFrame   # pair_id, orig_tokens, corr_tokens, tags, gap_tags, split
+    """A built dataset; the caller holds it, the tables lie in the shared folder."""
+
+    tagged: DataFrame   # key, orig_tokens, corr_tokens, tags, gap_tags, split
     vocab: DataFrame    # tag, tag_id
+    n_pairs: int        # pairs read, before any filter
+    key: str = "pair_id"
 
     def split(self, name: str) -> DataFrame:
         return self.tagged.where(F.col("split") == name).drop("split")
 
+    def encoded(self, max_length: int = MAX_LENGTH, subword_fn=subword_pieces) -> DataFrame:
+        """``key, input_ids, attention_mask, labels, split`` of every pair."""
+        return encode_examples(self.tagged, self.vocab, self.key, max_length, subword_fn, carry=("split",))
 
-# Built corpora, keyed by input signature and parameters.  The values are
-# Parquet paths under the shared checkpoint folder, so every later step reads
-# the written tables (as a training job reads a finished data build) instead
-# of re-deriving them.  A missing table simply triggers a rebuild.
-_CORPUS_CACHE: dict = {}
-_MODEL_CACHE: dict = {}
+    def stats(self) -> DataFrame:
+        """One row: pairs read and kept, vocabulary size, split sizes (A5)."""
+        return self.tagged.agg(
+            F.lit(self.n_pairs).cast("long").alias("n_pairs"), F.count("*").alias("n_kept"),
+            F.count_if(F.col("split") == "train").alias("n_train"),
+            F.count_if(F.col("split") == "validation").alias("n_validation"),
+            F.lit(self.vocab.count()).cast("long").alias("n_tags"))
 
 
-def _signature(sf_dir: str) -> tuple:
-    p = f"{sf_dir}/documents.parquet"
-    try:
-        st = os.stat(p)
-        return (p, st.st_size, int(st.st_mtime))
-    except OSError:  # remote file systems: key on the path only
-        return (p,)
+def build_dataset(pairs: DataFrame, threshold: float = 0.30, val_split: float | None = 0.05, seed: int = 42,
+                  key: str = "pair_id") -> Corpus:
+    """Pairs (``key, original_text, corrected_text``) -> F1 -> F2 -> L2 -> P1 -> P3; vocabulary over all kept pairs (A1).
 
+    The filter, the costly step, runs once: kept pairs are written, the split's
+    cut-off is found from their keys, and the tagged rows are written once with
+    their split in place.
+    """
+    kept = materialize(minimal_edit_filter(drop_null_pairs(pairs), threshold)
+                       .select(key, "original_text", "corrected_text"), "kept_pairs")
+    toks = tokenize_pairs(with_split(kept, val_split, seed, key)).select(key, "orig_tokens", "corr_tokens", "split")
+    tagged = materialize(diff_to_tags(toks), "tagged")
+    return Corpus(tagged, build_tag_vocab(tagged), pairs.count(), key)
 
-def _build(spark: SparkSession, sf_dir: str, threshold: float, val_split, seed: int) -> Corpus:
-    tagged = materialize(tagged_pairs(derived_pairs(spark, sf_dir), threshold), "tagged")
-    tagged = materialize(with_split(tagged, val_split, seed), "tagged_split")
-    return Corpus(tagged, build_tag_vocab(tagged))
 
+def build_corpus(spark: SparkSession, sf_dir: str, threshold: float = 0.30, val_split: float | None = 0.05,
+                 seed: int = 42) -> Corpus:
+    """The dataset of the pairs derived from the documents table."""
+    return build_dataset(materialize(derived_pairs(spark, sf_dir), "pairs"), threshold, val_split, seed)
 
-def build_corpus(spark: SparkSession, sf_dir: str, threshold: float = 0.30,
-                 val_split: float | None = 0.05, seed: int = 42, reuse: bool = True) -> Corpus:
-    """Derived pairs -> F1 -> F2 -> P1 -> P3 -> L2, vocabulary over all pairs (A1).
 
-    The tagged corpus is written once (it feeds the vocabulary, the split and
-    every later step), so the alignment -- the one Python step -- runs once.
-    """
-    key = (_signature(sf_dir), threshold, val_split, seed)
-    hit = _CORPUS_CACHE.get(key) if reuse else None
-    if hit:
-        try:
-            c = Corpus(spark.read.parquet(hit[0]), spark.read.parquet(hit[1]))
-            c.tagged.schema, c.vocab.schema  # noqa: B018 - fails if files are gone
-            return c
-        except Exception:  # noqa: BLE001
-            _CORPUS_CACHE.pop(key, None)
-    c = _build(spark, sf_dir, threshold, val_split, seed)
-    _CORPUS_CACHE[key] = (_dir_of(c.tagged), _dir_of(c.vocab))
-    return c
-
-
-def _dir_of(df: DataFrame) -> str:
-    files = df.inputFiles()
-    return os.path.dirname(files[0]) if files else ""
-
-
-def count_tagger(spark: SparkSession, sf_dir: str, corpus: Corpus | None = None) -> DataFrame:
-    """Count tagger fitted on the train split of ``build_corpus`` (cached like it)."""
-    key = _signature(sf_dir)
-    c = corpus or build_corpus(spark, sf_dir)
-    path = _MODEL_CACHE.get(key)
-    if path:
-        try:
-            m = spark.read.parquet(path)
-            m.schema  # noqa: B018
-            return m
-        except Exception:  # noqa: BLE001
-            _MODEL_CACHE.pop(key, None)
-    m = fit_count_tagger(c.split("train"), c.vocab)
-    _MODEL_CACHE[key] = _dir_of(m)
-    return m
+def count_tagger(corpus: Corpus) -> DataFrame:
+    """Count tagger fitted on the corpus's train split."""
+    return fit_count_tagger(corpus.split("train"), corpus.vocab)
 
 
 def fit_and_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: build, fit the count tagger on train, evaluate on validation."""
     c = build_corpus(spark, sf_dir)
-    model = count_tagger(spark, sf_dir, c)
-    return evaluate_tagger(c.split("validation"), model, c.vocab)
+    return evaluate_tagger(c.split("validation"), count_tagger(c), c.vocab)

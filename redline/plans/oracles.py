@@ -22,6 +22,7 @@ segment's end.
 from __future__ import annotations
 
 from ..functions.text import WS_RUN
+from ..sources.io import NA_WORDS
 
 def tokenize_sql(expr: str) -> str:
     """DuckDB twin of ``functions.text.tokenize``."""
@@ -292,8 +293,6 @@ ORACLES = {
 }
 
 
-def oracle(name: str) -> str:
-    return corpus_ctes() + ORACLES[name]
 
 
 # --- requests -------------------------------------------------------------
@@ -376,12 +375,14 @@ responses AS (
               THEN {strip_sql("coalesce(s.corrected, '')")} <> {strip_sql('r.sentence')}
               WHEN r.route = 'empty' THEN false END AS corrections_made,
          CASE WHEN r.status = 200 THEN 'redline-count-tagger' END AS model_name,
-         CASE WHEN r.route = 'score' THEN coalesce(s.details, '') WHEN r.route = 'empty' THEN '' END AS details
+         CASE WHEN r.route = 'score' THEN coalesce(s.details, '') WHEN r.route = 'empty' THEN '' END AS details,
+         CASE WHEN r.route = 'score' THEN coalesce(s.plain, '') WHEN r.route = 'empty' THEN '' END AS plain_details
   FROM routed2 r
   LEFT JOIN (
     SELECT conv_id, turn,
            string_agg({apply_one_sql('token', 'pred_tag')}, ' ' ORDER BY pos) AS corrected,
-           string_agg(token || '|' || pred_tag || '|' || topk, ' ; ' ORDER BY pos) AS details
+           string_agg(token || '|' || pred_tag || '|' || topk, ' ; ' ORDER BY pos) AS details,
+           string_agg(token || '|' || pred_tag, ' ; ' ORDER BY pos) AS plain
     FROM rq_scored GROUP BY conv_id, turn) s
   ON s.conv_id = r.conv_id AND s.turn = r.turn)
 """
@@ -403,11 +404,6 @@ _REQUEST_ORACLES = {"parse_requests", "route_requests", "check_typos", "correct_
                     "render_token_table"}
 
 
-def oracle(name: str) -> str:  # noqa: F811 - extends the corpus-only version
-    base = corpus_ctes()
-    if name in _REQUEST_ORACLES:
-        base = base + "," + REQUESTS_SQL
-    return base + ORACLES[name]
 
 
 # --- term lists and round trips ------------------------------------------
@@ -441,23 +437,22 @@ term_dict AS (
          arg_min(term_no, line_no * 1000 + term_no)::INTEGER AS first_term_no
   FROM tl_terms WHERE term <> '' GROUP BY term),
 bench_lines AS (
-  SELECT item_id, unnest(string_split(text, chr(10))) AS sentence FROM benchmark),
+  SELECT item_id, unnest(string_split(text, chr(10))) AS sentence,
+         generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM benchmark),
 bl_tok AS (
   SELECT b.*, unnest({tokenize_sql('sentence')}) AS token,
          generate_subscripts({tokenize_sql('sentence')}, 1) - 1 AS pos
-  FROM (SELECT row_number() OVER () AS lid, sentence FROM bench_lines) b),
+  FROM (SELECT row_number() OVER (ORDER BY item_id, ln) AS lid, sentence FROM bench_lines) b),
 bl_corr AS (
   SELECT b.lid, b.sentence,
          coalesce((SELECT string_agg({apply_one_sql('t.token', "coalesce(m.tag, 'KEEP')")}, ' ' ORDER BY t.pos)
                    FROM bl_tok t LEFT JOIN model m ON m.token = t.token AND m.rk = 1
                    WHERE t.lid = b.lid), '') AS corrected,
          len({tokenize_sql('b.sentence')}) AS n_tokens
-  FROM (SELECT row_number() OVER () AS lid, sentence FROM bench_lines) b)
+  FROM (SELECT row_number() OVER (ORDER BY item_id, ln) AS lid, sentence FROM bench_lines) b)
 """
 
-_NA = ", ".join("'" + w + "'" for w in (
-    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
-    "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"))
+_NA = ", ".join("'" + w + "'" for w in NA_WORDS)
 
 ORACLES.update({
     "term_dictionary": "SELECT term, freq, first_line, first_term_no FROM term_dict",
@@ -468,23 +463,24 @@ ORACLES.update({
                CASE WHEN corrected_text IN ({_NA}) THEN NULL ELSE corrected_text END AS corrected_text
         FROM pairs""",
     "vocab_json_roundtrip": "SELECT tag, tag_id FROM vocab",
-    "encoded_roundtrip": "SELECT e.pair_id, e.input_ids, e.labels FROM (" + ORACLES["encode_examples"]
-                         + ") e JOIN splits s USING (pair_id) WHERE s.split = 'validation'",
-    "sentences_roundtrip": "SELECT corrected FROM bl_corr",
-    "verbose_jsonl_roundtrip": "SELECT sentence AS original, corrected, n_tokens::INTEGER AS n_tokens FROM bl_corr",
+    "encoded_roundtrip": "SELECT e.pair_id, s.split, e.input_ids, e.attention_mask, e.labels FROM (" + ORACLES["encode_examples"]
+                         + ") e JOIN splits s USING (pair_id)",
+    "sentences_roundtrip": "SELECT lid::INTEGER AS line_no, corrected FROM bl_corr",
+    "verbose_jsonl_roundtrip": """
+        SELECT b.sentence AS original, b.corrected,
+               coalesce((SELECT string_agg(t.token || '|' || coalesce(m.tag, 'KEEP') || '|' ||
+                    coalesce((SELECT string_agg(x.tag || '=' || CAST(round(x.prob * 1000000) AS BIGINT)::VARCHAR, ','
+                                ORDER BY CAST(round(x.prob * 1000000) AS BIGINT) DESC, x.tag)
+                              FROM model x WHERE x.token = t.token AND x.rk <= 5), 'KEEP=1000000'), ' ; ' ORDER BY t.pos)
+                 FROM bl_tok t LEFT JOIN model m ON m.token = t.token AND m.rk = 1 WHERE t.lid = b.lid), '') AS tokens
+        FROM bl_corr b""",
+    "dataset_from_csv": ORACLES["token_accuracy"],
     "model_roundtrip": ORACLES["token_accuracy"],
 })
 
 _TERM_ORACLES = {"term_dictionary", "term_list_roundtrip", "sentences_roundtrip", "verbose_jsonl_roundtrip"}
 
 
-def oracle(name: str) -> str:  # noqa: F811 - final dispatcher
-    base = corpus_ctes()
-    if name in _REQUEST_ORACLES:
-        base = base + "," + REQUESTS_SQL
-    if name in _TERM_ORACLES:
-        base = base + "," + TERMS_SQL
-    return base + ORACLES[name]
 
 
 # --- sequence metrics -----------------------------------------------------
@@ -522,15 +518,6 @@ ORACLES.update({
 _NGRAM_ORACLES = {"corpus_bleu", "rouge_n"}
 
 
-def oracle(name: str) -> str:  # noqa: F811 - final dispatcher
-    base = corpus_ctes()
-    if name in _REQUEST_ORACLES:
-        base = base + "," + REQUESTS_SQL
-    if name in _TERM_ORACLES:
-        base = base + "," + TERMS_SQL
-    if name in _NGRAM_ORACLES:
-        base = base + "," + NGRAMS_SQL
-    return base + ORACLES[name]
 
 
 ORACLES.update({
@@ -547,3 +534,33 @@ ORACLES.update({
               WHERE s.split = 'validation')
         WHERE before + 1 <= 126""",
 })
+
+ORACLES.update({
+    "corpus_stats": """
+        SELECT (SELECT count(*) FROM pairs) AS n_pairs, count(*) AS n_kept, count_if(split = 'train') AS n_train,
+               count_if(split = 'validation') AS n_validation, (SELECT count(*) FROM vocab) AS n_tags FROM splits""",
+    "softmax": """
+        SELECT token, rk::INTEGER AS rk, round(exp(logit) / sum(exp(logit)) OVER (PARTITION BY token), 12) AS p FROM model""",
+    "full_distribution": """
+        SELECT v.pair_id, v.pos::INTEGER AS pos, (SELECT count(*) FROM vocab) AS n_tags,
+               coalesce(m.n, 1) AS n_seen, round(coalesce(m.total, 1.0), 6) AS total, round(coalesce(m.best, 1.0), 6) AS best
+        FROM val_tags v LEFT JOIN (SELECT token, count(*) AS n, sum(prob) AS total, max(prob) AS best FROM model GROUP BY token) m USING (token)""",
+    "stream_latency": "SELECT count(*) AS n_requests, 0 AS n_untimed FROM responses",
+    "response_json": """
+        SELECT conv_id, turn, CASE WHEN status = 200 THEN 7 ELSE 1 END AS n_fields, error, original_sentence, corrected_sentence,
+               message, model_name, corrections_made, plain_details AS details FROM responses""",
+    "fit_linear_tagger": "SELECT count(*) AS n_positions, true AS beats_keep FROM val_tags",
+})
+_REQUEST_ORACLES |= {"stream_latency", "response_json"}
+
+
+def oracle(name: str) -> str:
+    """The SQL of a query, with the chain of steps it stands on."""
+    base = corpus_ctes()
+    if name in _REQUEST_ORACLES:
+        base = base + "," + REQUESTS_SQL
+    if name in _TERM_ORACLES:
+        base = base + "," + TERMS_SQL
+    if name in _NGRAM_ORACLES:
+        base = base + "," + NGRAMS_SQL
+    return base + ORACLES[name]

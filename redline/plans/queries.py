@@ -6,15 +6,16 @@ columns are named and rounded exactly like the DuckDB twins in ``oracle_sql``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags as TG
 from ..operators import align, encode, metrics, pairs, split, tagger, vocab
-from .corpus import build_corpus, count_tagger, fit_and_evaluate
-from .fixtures import derived_pairs
+from .corpus import build_corpus, build_dataset, count_tagger, fit_and_evaluate
+from .fixtures import derived_pairs, requests_from_conversations
 
 R = 6  # decimals kept on floating outputs
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
 
 
 def _dp(spark, sf):
@@ -26,7 +27,7 @@ def _kept(spark, sf):
 
 
 def _tagged(spark, sf):
-    """Tagged F2 pairs: the written corpus table (built on first use)."""
+    """Tagged F2 pairs."""
     return build_corpus(spark, sf).tagged.drop("split")
 
 
@@ -134,7 +135,7 @@ def q_encode_examples(spark, sf):
 
 def q_fit_count_tagger(spark, sf):
     c = build_corpus(spark, sf)
-    m = count_tagger(spark, sf, c)
+    m = count_tagger(c)
     e = m.select("token", "n_total", F.posexplode("dist").alias("rk", "d"))
     return e.select("token", "n_total", (F.col("rk") + 1).alias("rk"), "d.tag_id", "d.tag",
                     F.round("d.prob", R).alias("prob"), F.round("d.logit", R).alias("logit"))
@@ -147,13 +148,13 @@ def _validation_sentences(c):
 
 def q_correct_batch(spark, sf):
     c = build_corpus(spark, sf)
-    m = count_tagger(spark, sf, c)
+    m = count_tagger(c)
     return tagger.correct_batch(_validation_sentences(c), m, c.vocab, key="pair_id")
 
 
 def q_correct_verbose(spark, sf):
     c = build_corpus(spark, sf)
-    m = count_tagger(spark, sf, c)
+    m = count_tagger(c)
     v = tagger.correct_verbose(_validation_sentences(c), m, c.vocab, key="pair_id")
     d = v.select("pair_id", "corrected", "corrections_made",
                  F.posexplode("token_details").alias("pos", "t"))
@@ -171,20 +172,30 @@ def q_token_accuracy(spark, sf):
 
 def q_sentence_metrics(spark, sf):
     c = build_corpus(spark, sf)
-    m = count_tagger(spark, sf, c)
+    m = count_tagger(c)
     val = c.split("validation").select("pair_id", F.array_join("orig_tokens", " ").alias("sentence"),
                                        F.array_join("corr_tokens", " ").alias("reference"))
     pred = tagger.correct_batch(val.select("pair_id", "sentence"), m, c.vocab, key="pair_id")
     j = pred.join(val.select("pair_id", "reference"), "pair_id").withColumnRenamed("corrected", "prediction")
-    j = j.withColumn("pred_tokens", F.split("prediction", " "))
-    out = j.agg(
-        (F.sum(F.levenshtein("prediction", "reference")).cast("double")
-         / F.sum(F.length("reference")).cast("double")).alias("cer"),
-        F.avg(F.size(F.filter("pred_tokens", lambda t: t != ""))).alias("gen_len"),
-        F.avg((F.col("prediction") == F.col("reference")).cast("double")).alias("sentence_accuracy"),
-        F.count(F.lit(1)).alias("n_sentences"))
-    return out.select(*[F.round(x, R).alias(x) for x in ("cer", "gen_len", "sentence_accuracy")],
-                      "n_sentences")
+    out = metrics.sentence_metrics(j)
+    return out.select(*[F.round(x, R).alias(x) for x in ("cer", "gen_len", "sentence_accuracy")], "n_sentences")
+
+
+def q_corpus_stats(spark, sf):
+    return build_corpus(spark, sf).stats()
+
+
+def q_softmax(spark, sf):
+    m = count_tagger(build_corpus(spark, sf))
+    p = m.select("token", tagger.softmax(F.transform("dist", lambda e: e["logit"])).alias("p"))
+    return p.select("token", F.posexplode("p").alias("rk", "p")).select("token", (F.col("rk") + 1).alias("rk"), F.round("p", 12).alias("p"))
+
+
+def q_full_distribution(spark, sf):
+    c = build_corpus(spark, sf)
+    d = tagger.full_distribution(_validation_sentences(c), count_tagger(c), c.vocab, key="pair_id")
+    return d.groupBy("pair_id", "pos").agg(F.count("*").alias("n_tags"), F.count_if(F.col("prob") > 0).alias("n_seen"),
+                                           F.round(F.sum("prob"), R).alias("total"), F.round(F.max("prob"), R).alias("best"))
 
 
 QUERIES = {
@@ -211,9 +222,11 @@ QUERIES = {
     "correct_verbose": q_correct_verbose,
     "token_accuracy": q_token_accuracy,
     "sentence_metrics": q_sentence_metrics,
+    "corpus_stats": q_corpus_stats,
+    "softmax": q_softmax,
+    "full_distribution": q_full_distribution,
 }
 
-__all__ = ["QUERIES", "metrics"]
 
 
 # ---------------------------------------------------------------------------
@@ -221,8 +234,7 @@ __all__ = ["QUERIES", "metrics"]
 # ---------------------------------------------------------------------------
 
 def _conversations(spark, sf):
-    from ..streaming.correct_stream import CONVERSATION_SCHEMA
-    return spark.read.schema(CONVERSATION_SCHEMA).parquet(f"{sf}/conversations.parquet")
+    return spark.read.schema(CONVERSATIONS).parquet(f"{sf}/conversations.parquet")
 
 
 def _kind(t):
@@ -235,13 +247,13 @@ def _kind(t):
 
 
 def q_parse_requests(spark, sf):
-    from ..operators.requests import parse_requests, requests_from_conversations
+    from ..operators.requests import parse_requests
     p = parse_requests(requests_from_conversations(_conversations(spark, sf)))
     return p.select("conv_id", "turn", "sentence", "top_k", _kind(F.col("sentence_type")).alias("sentence_kind"))
 
 
 def q_route_requests(spark, sf):
-    from ..operators.requests import parse_requests, requests_from_conversations, route_requests
+    from ..operators.requests import parse_requests, route_requests
     r = route_requests(parse_requests(requests_from_conversations(_conversations(spark, sf))))
     return r.select("conv_id", "turn", "status", "error", "message")
 
@@ -262,38 +274,52 @@ def _response_cols(df):
 def q_check_typos(spark, sf):
     from ..streaming.correct_stream import respond
     c = build_corpus(spark, sf)
-    return _response_cols(respond(_conversations(spark, sf), count_tagger(spark, sf, c), c.vocab))
+    return _response_cols(respond(requests_from_conversations(_conversations(spark, sf)), count_tagger(c), c.vocab))
 
 
-def q_correct_stream(spark, sf):
+def _stream(spark, sf, c):
     from ..streaming.correct_stream import run_correct_stream
+    return run_correct_stream(spark, f"{sf}/conversations*.parquet", count_tagger(c), c.vocab, schema=CONVERSATIONS,
+                              keys=("conv_id", "turn"), to_requests=requests_from_conversations, file_format="parquet")
+
+
+def q_correct_stream(spark, sf):
     c = build_corpus(spark, sf)
-    responses, _ = run_correct_stream(spark, f"{sf}/conversations*.parquet",
-                                      count_tagger(spark, sf, c), c.vocab)
+    responses, _ = _stream(spark, sf, c)
     return _response_cols(responses)
 
 
 def q_stream_latency(spark, sf):
-    from ..streaming.correct_stream import run_correct_stream, with_latency
+    from ..streaming.correct_stream import with_latency
     c = build_corpus(spark, sf)
-    responses, latency = run_correct_stream(spark, f"{sf}/conversations*.parquet",
-                                            count_tagger(spark, sf, c), c.vocab)
+    responses, latency = _stream(spark, sf, c)
     r = with_latency(responses, latency)
-    return r.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_requests"),
-                                     F.max("processing_time_ms").alias("ms_per_request"))
+    # no row of a scored or empty request may lack its time
+    return r.agg(F.count("*").alias("n_requests"), F.count_if((F.col("status") == 200) & F.col("processing_time_ms").isNull()).alias("n_untimed"))
+
+
+def q_response_json(spark, sf):
+    from ..operators.requests import response_json
+    from ..streaming.correct_stream import respond
+    c = build_corpus(spark, sf)
+    r = respond(requests_from_conversations(_conversations(spark, sf)), count_tagger(c), c.vocab)
+    j = response_json(r).select("conv_id", "turn", "status", F.from_json("json", "original_sentence string, corrected_sentence string, "
+                                "token_details array<struct<token:string,pred_tag:string,top_probs:map<string,double>>>, model_name string, "
+                                "processing_time_ms double, corrections_made boolean, message string, error string").alias("j"),
+                                F.size(F.json_object_keys("json")).alias("n_fields"))
+    return j.select("conv_id", "turn", "n_fields", "j.error", "j.original_sentence", "j.corrected_sentence", "j.message", "j.model_name",
+                    "j.corrections_made", F.array_join(F.transform("j.token_details", lambda d: F.concat_ws("|", d["token"], d["pred_tag"])), " ; ").alias("details"))
 
 
 def q_render_token_table(spark, sf):
     from ..streaming.correct_stream import respond
     c = build_corpus(spark, sf)
-    r = respond(_conversations(spark, sf), count_tagger(spark, sf, c), c.vocab)
+    r = respond(requests_from_conversations(_conversations(spark, sf)), count_tagger(c), c.vocab)
     r = r.where(F.col("message") == "Typos checked successfully.")
     e = r.select("conv_id", "turn", F.posexplode("token_details").alias("i", "d"))
-    tenth = F.round(F.col("p") * 1000).cast("long")
     pct = lambda e_: F.concat(e_["tag"], F.lit(": "), (F.round(e_["prob"] * 1000).cast("long") / 10)
                               .cast("long").cast("string"), F.lit("."),
                               (F.round(e_["prob"] * 1000).cast("long") % 10).cast("string"), F.lit("%"))
-    del tenth
     return e.select("conv_id", "turn", (F.col("i") + 1).alias("row_no"), F.col("d.token").alias("token"),
                     F.col("d.pred_tag").alias("pred_tag"),
                     F.array_join(F.transform("d.top", pct), " | ").alias("top_probs"))
@@ -305,6 +331,7 @@ QUERIES.update({
     "check_typos": q_check_typos,
     "correct_stream": q_correct_stream,
     "stream_latency": q_stream_latency,
+    "response_json": q_response_json,
     "render_token_table": q_render_token_table,
 })
 
@@ -355,11 +382,10 @@ def q_encoded_roundtrip(spark, sf):
     from ..session import scratch_path
     c = build_corpus(spark, sf)
     path = scratch_path(spark, "encoded")
-    enc = encode.encode_examples(c.tagged, c.vocab).join(c.tagged.select("pair_id", "split"), "pair_id")
-    encode.write_encoded(enc, path)
-    back = encode.read_encoded(spark, path, "validation")
+    encode.write_encoded(c.encoded(), path)
+    back = encode.read_encoded(spark, path)
     j = lambda col: F.array_join(F.transform(col, lambda x: x.cast("string")), " ")
-    return back.select("pair_id", j("input_ids").alias("input_ids"), j("labels").alias("labels"))
+    return back.select("pair_id", "split", j("input_ids").alias("input_ids"), j("attention_mask").alias("attention_mask"), j("labels").alias("labels"))
 
 
 def _benchmark_lines(spark, sf):
@@ -372,11 +398,14 @@ def q_sentences_roundtrip(spark, sf):
     from ..sources import io
     c = build_corpus(spark, sf)
     src, dst = scratch_path(spark, "sentences"), scratch_path(spark, "corrected")
-    io.write_sentences(_benchmark_lines(spark, sf), src, order=None)
+    lines = _benchmark_lines(spark, sf)
+    io.write_sentences(lines, src, order=["item_id", "ln"])
     s = io.read_sentences(spark, src)
-    out = tagger.correct_batch(s, count_tagger(spark, sf, c), c.vocab, key="line_id")
+    out = tagger.correct_batch(s, count_tagger(c), c.vocab, key="line_id")
     io.write_corrected(out, dst)
-    return spark.read.text(dst).select(F.col("value").alias("corrected"))
+    # line numbers of what was written (a report of a few hundred lines)
+    back = io.read_sentences(spark, dst)
+    return back.select(F.row_number().over(Window.orderBy("line_id")).alias("line_no"), F.col("sentence").alias("corrected"))
 
 
 def q_verbose_jsonl_roundtrip(spark, sf):
@@ -385,10 +414,27 @@ def q_verbose_jsonl_roundtrip(spark, sf):
     c = build_corpus(spark, sf)
     path = scratch_path(spark, "verbose")
     s = _benchmark_lines(spark, sf).select(F.struct("item_id", "ln").alias("k"), "sentence")
-    v = tagger.correct_verbose(s, count_tagger(spark, sf, c), c.vocab, key="k", default_k=5)
+    v = tagger.correct_verbose(s, count_tagger(c), c.vocab, key="k", default_k=5)
     io.write_verbose_jsonl(v, path)
     back = io.read_verbose_jsonl(spark, path)
-    return back.select("original", "corrected", F.size("tokens").alias("n_tokens"))
+    # maps have no order: entries by probability, then tag
+    probs = lambda m: F.array_join(F.transform(F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(
+        (-F.round(e["value"] * 1000000).cast("long")).alias("p"), e["key"].alias("k")))), lambda e: F.concat(e["k"], F.lit("="), (-e["p"]).cast("string"))), ",")
+    t = F.array_join(F.transform("tokens", lambda d: F.concat_ws("|", d["token"], d["tag"], probs(d["probs"]))), " ; ")
+    return back.select("original", "corrected", t.alias("tokens"))
+
+
+def q_dataset_from_csv(spark, sf):
+    """Pairs written as CSV, read back, built into a dataset, fitted and evaluated."""
+    from ..session import scratch_path
+    from ..sources import io
+    path = scratch_path(spark, "pairs_csv")
+    io.write_pairs_csv(_dp(spark, sf), path)
+    p = io.read_pairs_csv(spark, path).withColumn("pair_id", F.col("pair_id").cast("long"))
+    c = build_dataset(p)
+    r = metrics.evaluate_tagger(c.split("validation"), count_tagger(c), c.vocab)
+    return r.select("n_correct", "n_positions", F.round("token_accuracy", R).alias("token_accuracy"),
+                    F.round("cross_entropy", R).alias("cross_entropy"))
 
 
 def q_model_roundtrip(spark, sf):
@@ -396,7 +442,7 @@ def q_model_roundtrip(spark, sf):
     from ..sources import io
     c = build_corpus(spark, sf)
     path = scratch_path(spark, "model")
-    io.save_model(count_tagger(spark, sf, c), c.vocab, path)
+    io.save_model(count_tagger(c), c.vocab, path)
     m, v = io.load_model(spark, path)
     r = metrics.evaluate_tagger(c.split("validation"), m, v)
     return r.select("n_correct", "n_positions", F.round("token_accuracy", R).alias("token_accuracy"),
@@ -412,6 +458,7 @@ QUERIES.update({
     "sentences_roundtrip": q_sentences_roundtrip,
     "verbose_jsonl_roundtrip": q_verbose_jsonl_roundtrip,
     "model_roundtrip": q_model_roundtrip,
+    "dataset_from_csv": q_dataset_from_csv,
 })
 
 
@@ -423,7 +470,7 @@ def _pred_ref(spark, sf):
     c = build_corpus(spark, sf)
     val = c.split("validation").select("pair_id", F.array_join("orig_tokens", " ").alias("sentence"),
                                        F.array_join("corr_tokens", " ").alias("reference"))
-    pred = tagger.correct_batch(val.select("pair_id", "sentence"), count_tagger(spark, sf, c), c.vocab,
+    pred = tagger.correct_batch(val.select("pair_id", "sentence"), count_tagger(c), c.vocab,
                                 key="pair_id")
     return pred.join(val.select("pair_id", "reference"), "pair_id").withColumnRenamed("corrected", "prediction")
 
@@ -448,7 +495,7 @@ def q_rouge_n(spark, sf):
 def q_rouge_l(spark, sf):
     from ..operators.textmetrics import rouge_l
     r = rouge_l(_pred_ref(spark, sf))
-    return r.select(F.round("rougeL", R).alias("rougeL"), F.round("rougeLsum", R).alias("rougeLsum"))
+    return r.select(F.round("rougeL", R).alias("rougeL"))
 
 
 QUERIES.update({
@@ -471,7 +518,7 @@ def q_external_scorer_eval(spark, sf):
     keep_id = vocab.vocab_ids(c.vocab)[KEEP]
     enc = encode.encode_examples(c.split("validation"), c.vocab)
     scored = external.external_model_scorer(enc, external.keep_baseline_model(num_tags, keep_id), num_tags)
-    r = external.external_eval(external.score_positions(scored, num_tags))
+    r = external.external_eval(external.score_positions(scored))
     return r.select("n_positions", "n_correct", F.round("token_accuracy", R).alias("token_accuracy"),
                     F.round("cross_entropy", R).alias("cross_entropy"))
 
@@ -491,8 +538,9 @@ def q_fit_linear_tagger(spark, sf):
     model = external.load_pipeline(path)
     pred = model.transform(words("validation"))
     hit = F.col("prediction").cast("int") == F.col("label")
-    return pred.agg(F.count(F.lit(1)).alias("n_positions"), F.count_if(hit).alias("n_correct"),
-                    F.round(F.count_if(hit) / F.count(F.lit(1)), R).alias("token_accuracy"))
+    keep = vocab.vocab_ids(c.vocab)["KEEP"]
+    # against always keeping the token
+    return pred.agg(F.count(F.lit(1)).alias("n_positions"), (F.count_if(hit) >= F.count_if(F.col("label") == keep)).alias("beats_keep"))
 
 
 QUERIES.update({

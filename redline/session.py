@@ -8,9 +8,13 @@ platform and only the SQL settings below are applied.
 
 from __future__ import annotations
 
+import atexit
 import os
+import pathlib
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -41,6 +45,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -53,26 +58,35 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system or object store).  Only when the session has none -- local
-    tests -- do we create one, under the system temp folder.
+    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared file
+    system or object store); without one there is an error, since a folder of
+    the driver's own machine would lose the executors' files.  Only a local
+    session gets a folder of its own, removed when the process ends.
     """
     sc = spark.sparkContext
-    cp = None
-    try:
-        cp = sc.getCheckpointDir()
-    except Exception:  # pragma: no cover - older API surface
-        cp = None
-    if not cp:
-        cp = spark.conf.get("spark.checkpoint.dir", None)
+    cp = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not cp:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         cp = tempfile.mkdtemp(prefix="redline-ckpt-")
+        atexit.register(shutil.rmtree, cp, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", cp)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(cp)
     return cp.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for sessions started where it is not installed."""
+    root = pathlib.Path(__file__).resolve().parent
+    out = pathlib.Path(tempfile.mkdtemp(prefix="redline-pkg-")) / "redline_pkg.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(out))
+    atexit.register(shutil.rmtree, out.parent, ignore_errors=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique directory name under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
