@@ -287,8 +287,8 @@ def _ranked_batch(rows):
                                       ["rep", "n", "common", "toks", *(f"p{i}" for i in range(len(cols) - 4))])
 
 
-def ranked_classes(classes: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS) -> DataFrame:
-    """``rep, n, common, toks, p0, p1 ...``: ``p0`` the prefix under the order by frequency."""
+def ranked_classes(classes: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS) -> tuple[DataFrame, str]:
+    """``rep, n, common, toks, p0, p1 ...`` and its path: ``p0`` the prefix under the order by frequency."""
     blocks, blocks_at = write_table(classes.mapInArrow(_class_blocks, "uid long, reps binary, sizes binary, toks binary"), "join_blocks", "lz4")
     total = blocks.agg(F.sum(F.octet_length("toks"))).first()[0] or 0
     ranges = int(max(2 * classes.sparkSession.sparkContext.defaultParallelism, total // RANGE_BYTES + 1))
@@ -296,13 +296,13 @@ def ranked_classes(classes: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS)
             .groupBy("rng").applyInArrow(released(_frequencies), "uid long, rng int, freq binary"))
     marks = freq.groupBy("uid").agg(F.collect_list(F.struct("rng", "freq")).alias("marks"))
     schema = "rep long, n long, common long, toks array<long>" + "".join(f", p{i} array<long>" for i in range(len(orders) + 1))
-    ranked, _ = write_table(blocks.join(marks, "uid", "left").mapInArrow(released(_ranked(ranges, pct, orders)), schema), "join_ranked", "lz4")
+    ranked, ranked_at = write_table(blocks.join(marks, "uid", "left").mapInArrow(released(_ranked(ranges, pct, orders)), schema), "join_ranked", "lz4")
     drop_tables(classes.sparkSession, blocks_at)
-    return ranked
+    return ranked, ranked_at
 
 
 def shingle_classes(docs: DataFrame, k: int = SHINGLE, pct: int = THRESHOLD_PCT, doc_id: str = "doc_id", text: str = "text"):
-    """``(documents (doc_id, n), members (doc_id, rep), classes (rep, n, toks))``.
+    """``(documents (doc_id, n), members (doc_id, rep), classes (rep, n, toks), path of classes)``.
 
     ``classes`` leaves out the documents that cannot have a partner.
     """
@@ -318,16 +318,16 @@ def shingle_classes(docs: DataFrame, k: int = SHINGLE, pct: int = THRESHOLD_PCT,
             .mapInArrow(released(_class_rows(k)), "doc_id long, c1 long, c2 long, n long, toks array<long>"))
     sets, sets_at = write_table(sets, "join_sets", "lz4")
     reps = sets.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
-    known, _ = write_table(sets.join(reps, ["c1", "c2", "n"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("toks")).alias("toks")), "join_known", "lz4")
-    members = known.select("doc_id", "rep")
+    known, known_at = write_table(sets.join(reps, ["c1", "c2", "n"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("toks")).alias("toks")), "join_known", "lz4")
+    members, _ = write_table(known.select("doc_id", "rep"), "join_members")
     classes = known.where("toks is not null").select("rep", "n", "toks").dropDuplicates(["rep"])
     drop_tables(spark, sets_at)
-    return counted.groupBy("doc_id").agg(F.max("n").alias("n")), members, classes
+    return counted.groupBy("doc_id").agg(F.max("n").alias("n")), members, classes, known_at
 
 
-def similar_links(classes: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS) -> tuple[DataFrame, DataFrame | None]:
+def similar_links(ranked: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS) -> tuple[DataFrame, DataFrame | None]:
     """Verified links ``(a, b)`` between classes, enough to span every component, and the components ``(node, component)``."""
-    ranked = ranked_classes(classes, pct, orders)
+    spark = ranked.sparkSession
     prefixes = ranked.drop("toks")
     # can: the tokens from this one on, in the order by frequency
     tokens = (prefixes.select("rep", "n", "common", F.posexplode("p0").alias("i", "tok"))
@@ -350,7 +350,7 @@ def similar_links(classes: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS) -
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs, at = write_table(pairs, "join_pairs")
         fresh = pairs.isEmpty()
-        drop_tables(classes.sparkSession, path)
+        drop_tables(spark, path)
         if not fresh:
             good, _ = write_table(_verified(_meeting(pairs, prefixes, len(orders)), ranked, pct), "join_links")
             tested = pairs if tested is None else tested.unionByName(pairs)
@@ -420,8 +420,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
 
 def ngram_join(docs: DataFrame, k: int = SHINGLE, pct: int = THRESHOLD_PCT, orders=ORDERS, doc_id: str = "doc_id", text: str = "text"):
     """``doc_id, n_shingles, component_id`` of every document."""
-    sizes, members, classes = shingle_classes(docs, k, pct, doc_id, text)
-    _, label = similar_links(classes, pct, orders)
+    sizes, members, classes, classes_at = shingle_classes(docs, k, pct, doc_id, text)
+    ranked, ranked_at = ranked_classes(classes, pct, orders)
+    drop_tables(docs.sparkSession, classes_at)
+    _, label = similar_links(ranked, pct, orders)
+    drop_tables(docs.sparkSession, ranked_at)         # what follows reads documents, members and components
     found = members.select("doc_id", F.col("rep").alias("c"))
     if label is not None:
         found = members.join(label, members["rep"] == label["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
