@@ -95,7 +95,7 @@ def _judge(rules):
                 base = base_failed(t)
                 by = np.full(t.n, -1)
                 inn = np.flatnonzero(~base)
-                left, last = t.rows(inn) if len(inn) < t.n else t, None
+                left = t.rows(inn) if len(inn) < t.n else t
                 for i, r in enumerate(rules):
                     if not len(inn):
                         break
@@ -103,7 +103,6 @@ def _judge(rules):
                     by[inn[out]] = i
                     if out.any():
                         inn, left = inn[~out], left.rows(np.flatnonzero(~out))
-                del last
                 kept = np.zeros(t.n, bool)
                 kept[inn] = True
                 for c, v in zip(cols, (*(getattr(t, n) for n in _COUNTS), base, kept, by)):
