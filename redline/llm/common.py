@@ -40,6 +40,15 @@ def drop_tables(spark: SparkSession, *paths: str) -> None:
         hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that nothing refers to any more.
+
+    The context cleaner learns of them by the driver's garbage collection, which
+    an idle driver may put off until the executors' disks are full.
+    """
+    spark._jvm.System.gc()
+
+
 def release() -> None:
     """Give a worker's freed memory back; idle workers are kept and would hold it."""
     pa.default_memory_pool().release_unused()

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, connected_components, drop_tables, mix, released, row_chunks, text_bytes, window_hash, words_of, write_table
+from .common import U64, connected_components, drop_tables, forget_shuffles, mix, released, row_chunks, text_bytes, window_hash, words_of, write_table
 
 SHINGLE = 4
 THRESHOLD_PCT = 85
@@ -298,6 +298,7 @@ def ranked_classes(classes: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS)
     schema = "rep long, n long, common long, toks array<long>" + "".join(f", p{i} array<long>" for i in range(len(orders) + 1))
     ranked, ranked_at = write_table(blocks.join(marks, "uid", "left").mapInArrow(released(_ranked(ranges, pct, orders)), schema), "join_ranked", "lz4")
     drop_tables(classes.sparkSession, blocks_at)
+    forget_shuffles(classes.sparkSession)
     return ranked, ranked_at
 
 
@@ -313,6 +314,7 @@ def shingle_classes(docs: DataFrame, k: int = SHINGLE, pct: int = THRESHOLD_PCT,
     told = (rows.mapInArrow(released(_count_rows(k, ranges)), "rng int, uid long, vals binary, docs binary, meta binary")
             .groupBy("rng").applyInArrow(released(_alone), "uid long, docs binary, meta binary, shared binary"))
     counted, _ = write_table(told.groupBy("uid").applyInArrow(_counted, "doc_id long, n long, alone long"), "join_counts")
+    forget_shuffles(spark)
     maybe = counted.where((F.col("n") > 0) & (100 * (F.col("n") - F.col("alone")) >= pct * F.col("n"))).select("doc_id").distinct()
     sets = (rows.join(maybe.hint("shuffle_hash"), "doc_id", "left_semi")
             .mapInArrow(released(_class_rows(k)), "doc_id long, c1 long, c2 long, n long, toks array<long>"))
@@ -322,6 +324,7 @@ def shingle_classes(docs: DataFrame, k: int = SHINGLE, pct: int = THRESHOLD_PCT,
     members, _ = write_table(known.select("doc_id", "rep"), "join_members")
     classes = known.where("toks is not null").select("rep", "n", "toks").dropDuplicates(["rep"])
     drop_tables(spark, sets_at)
+    forget_shuffles(spark)
     return counted.groupBy("doc_id").agg(F.max("n").alias("n")), members, classes, known_at
 
 
