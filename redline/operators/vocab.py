@@ -62,10 +62,9 @@ def vocab_lines(vocab: DataFrame) -> DataFrame:
     The first line opens the object and the last closes it, so the lines can be
     written by as many tasks as the vocabulary needs.
     """
-    last = vocab.agg(F.max("tag_id").alias("_last"))
+    last = vocab.agg(F.max("tag_id")).first()[0]
     entry = F.concat(F.lit(" "), F.to_json(F.array("tag")).substr(F.lit(2), F.length(F.to_json(F.array("tag"))) - 2),
                      F.lit(": "), F.col("tag_id").cast("string"))
-    # one row: the closing line's id
-    return vocab.crossJoin(F.broadcast(last)).select("tag_id", F.concat(
+    return vocab.select("tag_id", F.concat(
         F.when(F.col("tag_id") == 0, F.lit("{")).otherwise(F.lit("")), entry,
-        F.when(F.col("tag_id") == F.col("_last"), F.lit("}")).otherwise(F.lit(","))).alias("line"))
+        F.when(F.col("tag_id") == F.lit(last), F.lit("}")).otherwise(F.lit(","))).alias("line"))
