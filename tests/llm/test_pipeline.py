@@ -126,3 +126,19 @@ def test_run_is_the_stages_in_order(spark, folder, stages):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeats", "mix", "pack"]
     got, want = key(corpus_pipeline.run(spark, folder)), key(stages[-1][1])
     assert sum(n for _, _, n, _ in got) == sum(n for _, _, n, _ in want)
+
+
+def test_near_duplicates_link_on_five_words_and_80_percent(spark, tmp_path):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("aeinorst") for _ in range(9))
+    texts = []
+    for more in range(0, 40, 3):                      # 96 of 96 + more shingles: linked up to 24 words more
+        base = [word() for _ in range(100)]
+        texts += [" ".join(base), " ".join(base + [word() for _ in range(more)])]
+    base = [word() for _ in range(100)]
+    texts += [" ".join(base), " ".join(base + [word() for _ in range(20)])]
+    spark.createDataFrame([(i, t, "xx", "a", len(t)) for i, t in enumerate(texts)], COLUMNS).write.parquet(f"{tmp_path}/d")
+    comp = components({i: shingles(t, 5) for i, t in enumerate(texts)}, 80)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect()}
+    assert got == {i for i, c in comp.items() if i == c}
+    assert len(texts) - 1 not in got
