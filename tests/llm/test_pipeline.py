@@ -142,3 +142,26 @@ def test_near_duplicates_link_on_five_words_and_80_percent(spark, tmp_path):
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect()}
     assert got == {i for i, c in comp.items() if i == c}
     assert len(texts) - 1 not in got
+
+
+def test_repeats_keep_rows_together_when_the_splits_change(spark, tmp_path):
+    rnd = random.Random(5)
+    prose = lambda n: " ".join("".join(rnd.choice("aeinorst") for _ in range(6)) for _ in range(n))
+    passage = prose(60)
+    rows = [(i, None if i == 9 else f"{prose(30)} {passage if i % 4 == 0 else prose(60)} {prose(30)}", "xx", f"s{i}", 0) for i in range(48)]
+    rows += [(100, passage, "xx", "s100", 0), (None, prose(50), "xx", "sNone", 0)]
+    spark.createDataFrame(rows, COLUMNS).repartition(5).write.parquet(f"{tmp_path}/d")
+    parts = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    made = corpus_pipeline.repeats(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path))
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")  # as if executors had gone before the last scan
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = made.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        if parts is not None:
+            spark.conf.set("spark.sql.files.minPartitionNum", parts)
+    plain = repeated_bytes([(r[3], r[1]) for r in rows], 200)
+    want = {s: (d, None if t is None else plain[s][3].decode()) for d, t, _, s, _ in rows if plain[s][3] or not plain[s][1]}
+    assert {r.source: (r.doc_id, r.text) for r in got} == want and len(got) == len(want) == 49
