@@ -33,11 +33,13 @@ def op1_chat_collapse(spark, sf):
     return chat_documents(_table(spark, sf, "conversations"))
 
 
-def quality_model(documents: DataFrame, labels: DataFrame):
-    """``(features, model)``: fitted on the labels of the training rows."""
+def quality_model(documents: DataFrame, labels: DataFrame, row: str = "doc_id"):
+    """``(features, model)``: fitted on the labels of the training rows; features go by the column ``row``, a number."""
     from .quality_qda import fit_quality, text_features
-    x = text_features(documents)
+    x = text_features(documents, doc_id=row)
     seen = labels.where(_remainder("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("label"))
+    if row != "doc_id":
+        seen = documents.select("doc_id", row).join(seen, "doc_id").select(F.col(row).alias("doc_id"), "label")
     return x, fit_quality(x, seen)
 
 

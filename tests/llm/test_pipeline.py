@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from redline.llm.queries import quality_model
@@ -165,3 +166,39 @@ def test_repeats_keep_rows_together_when_the_splits_change(spark, tmp_path):
     plain = repeated_bytes([(r[3], r[1]) for r in rows], 200)
     want = {s: (d, None if t is None else plain[s][3].decode()) for d, t, _, s, _ in rows if plain[s][3] or not plain[s][1]}
     assert {r.source: (r.doc_id, r.text) for r in got} == want and len(got) == len(want) == 49
+
+
+def test_row_numbers_do_not_follow_the_splits(spark, folder):
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    for df in (plain, plain.withColumn("doc_id", F.explode(F.array("doc_id", "doc_id")))):
+        rows = corpus_pipeline.numbered(df)
+        assert rows.columns == [*df.columns, "_row"]
+        seen = [{r._row: (r.doc_id, r.text) for r in rows.collect()}]
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            seen.append({r._row: (r.doc_id, r.text) for r in rows.select("*").collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+        assert seen[0] == seen[1] and len(seen[0]) == df.count()
+
+
+def test_rows_are_judged_by_row_with_repeated_and_missing_ids(spark, folder, tmp_path):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("aeinorst") for _ in range(rnd.randint(2, 8)))
+    good = [" ".join(word() for _ in range(100)) for _ in range(5)]
+    junk = [" ".join(word().upper() + "!!" for _ in range(100)) for _ in range(2)]
+    more = [(9001, good[0]), (9001, good[0]), (None, good[1]), (None, good[2]), (None, good[2]), (9002, good[3]), (9002, junk[0]), (None, junk[1]), (9002, good[4])]
+    spark.read.parquet(f"{folder}/documents.parquet").unionByName(
+        spark.createDataFrame([(i, t, "xx", "new", len(t)) for i, t in more], COLUMNS)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    new = lambda df: Counter((r.doc_id, r.text) for r in df.where("source = 'new'").collect())
+    df, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        df = spark.read.parquet(f"{tmp_path}/{name}")
+        seen.append(new(df))
+    assert seen[0] == Counter((i, t) for i, t in more if t not in junk)
+    assert seen[1] == Counter({(i, t) for i, t in more if t not in junk})
+    assert seen[2] == seen[1]
