@@ -182,16 +182,19 @@ def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
     ``token_details`` = array of ``struct(token, pred_tag, top_probs map, top
     array)`` in token order; ``top`` keeps the ranked order the map loses.
     ``top_k`` (per row, or ``default_k``) is clamped to [1, vocabulary size].
+    As there, every row of ``sentences`` is a sentence of its own.
     """
     if clamp and num_tags is None:
         num_tags = vocab.count()
     full = not top_k_col and not default_k
     k_col = (F.col(top_k_col) if top_k_col else F.lit(default_k or 0)).alias("_k")
-    carry = [k_col] + ([F.col(pass_through).alias("_pass")] if pass_through else [])
-    toks = sentence_tokens(sentences, key, text, *carry)
-    if pass_through:  # like the text: one copy per sentence, back with the regroup
-        first = F.col("pos").isNull() | (F.col("pos") == 0)
-        toks = toks.withColumn("_pass", F.when(first, F.col("_pass")))
+    carry = [k_col, F.col(key).alias("_name")] + ([F.col(pass_through).alias("_pass")] if pass_through else [])
+    cols = dict.fromkeys(c for c in (key, text, top_k_col, pass_through) if c)
+    rows = materialize(sentences.select(*cols).withColumn("_sid", F.monotonically_increasing_id()), "sentences")
+    toks = sentence_tokens(rows, "_sid", text, *carry)
+    first = F.col("pos").isNull() | (F.col("pos") == 0)
+    for c in ["_name"] + ["_pass"] * bool(pass_through):  # like the text: one copy per sentence, back with the regroup
+        toks = toks.withColumn(c, F.when(first, F.col(c)))
     scored = score_tokens(toks, model, vocab, ids=ids)
     top = top_k("dist", None if full else F.col("_k"), num_tags)
     # maps are not orderable: collect the ranked array, build the map after sorting
@@ -199,8 +202,8 @@ def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
         F.col("pos"), F.col("token"), argmax_tag().getField("tag").alias("pred_tag"),
         F.transform(top, lambda e: F.struct(e["tag"].alias("tag"), e["prob"].alias("prob"))).alias("top"))
     extra = [F.max("_pass").alias(pass_through)] if pass_through else []
-    per = scored.groupBy(key).agg(
-        F.max("_text").alias(text), *extra,
+    per = scored.groupBy("_sid").agg(
+        F.max("_name").alias(key), F.max("_text").alias(text), *extra,
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("items"))
     details = F.transform("items", lambda e: F.struct(
         e["token"].alias("token"), e["pred_tag"].alias("pred_tag"),

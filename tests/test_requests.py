@@ -78,3 +78,10 @@ def test_correct_batch_with_repeated_keys_and_full_distribution(spark, fitted):
     sums = d.groupBy("sentence" if "sentence" in d.columns else "token").agg(F.sum("prob").alias("p"), F.count("*").alias("n")).collect()
     assert all(abs(r.p - round(r.p)) < 1e-9 for r in sums)
     assert {r.n % fitted[1].count() for r in sums} == {0}
+
+
+def test_correct_verbose_with_repeated_and_missing_keys(spark, fitted):
+    s = spark.createDataFrame([(1, "teh cat"), (1, "a  teh"), (2, " "), (None, "teh"), (None, "x teh")], "k int, sentence string")
+    rows = tagger.correct_verbose(s, *fitted, key="k").collect()
+    got = sorted((r.k or 0, r.sentence, r.corrected, len(r.token_details)) for r in rows)
+    assert got == [(0, "teh", "the", 1), (0, "x teh", "x the", 2), (1, "a  teh", "a the", 2), (1, "teh cat", "the cat", 2), (2, " ", "", 0)]
