@@ -145,3 +145,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 14 * n_words
        OR 2 * n_upper > n_upper + n_lower OR 5 * n_marks > n_words OR 10 * n_alpha < 7 * n_words) AS kept
 FROM b"""
+
+
+# CRC-32 by its polynomial; the cheapest edits by grammar state, a row a step of
+# the recursion, each state with up to two inserts before the row's own edit.
+ORACLES["op13_structure_repair"] = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS chars FROM conversations),
+c AS (SELECT conv_id, turn, role, text, xor(list_reduce([4294967295::BIGINT] || list_transform(chars, lambda x: ascii(x)::BIGINT),
+             lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) % 20 AS d FROM k, tab),
+g AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, d FROM c WHERE d <> 0),
+r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+      FROM (SELECT * FROM g UNION ALL SELECT * FROM g WHERE d = 3)),
+e AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+             left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM r),
+f AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN again THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM e),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank,
+             count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+nxt(q, x, z) AS (VALUES ('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+ins(q, z, c, a) AS (VALUES ('0', '0', 0, ''), ('0', 'u', 5, 'I'), ('0', 'a', 10, 'II'), ('s', 's', 0, ''), ('s', 'u', 5, 'I'), ('s', 'a', 10, 'II'),
+                           ('u', 'u', 0, ''), ('u', 'a', 5, 'I'), ('a', 'a', 0, ''), ('a', 'u', 5, 'I')),
+act AS (SELECT conv_id, i, 'D' AS a, 2 AS c, x, fault FROM f
+        UNION ALL SELECT conv_id, i, 'R', CASE WHEN fault = 't' THEN 6 ELSE 1 END, x, fault FROM f WHERE fault IN ('', 't')
+        UNION ALL SELECT conv_id, i, 'K', CASE WHEN fault = 't' THEN 5 ELSE 0 END, x, fault FROM f WHERE fault IN ('', 't')),
+dp AS (SELECT conv_id, 0::BIGINT AS i, '0' AS q, {'c': 0::BIGINT, 'a': ''} AS v FROM counts
+       UNION ALL
+       SELECT p.conv_id, p.i + 1, CASE act.a WHEN 'D' THEN ins.z WHEN 'R' THEN CASE WHEN ins.z = 'u' THEN 'a' ELSE 'u' END ELSE nxt.z END AS z,
+              min({'c': (p.v.c + ins.c + act.c)::BIGINT, 'a': p.v.a || ins.a || act.a})
+       FROM dp p JOIN ins ON ins.q = p.q JOIN act ON act.conv_id IS NOT DISTINCT FROM p.conv_id AND act.i = p.i + 1
+       LEFT JOIN nxt ON nxt.q = ins.z AND nxt.x = act.x WHERE act.a <> 'K' OR nxt.z IS NOT NULL GROUP BY ALL),
+best AS (SELECT n.conv_id, min({'c': (p.v.c + ins.c)::BIGINT, 'a': p.v.a || ins.a}) AS v
+         FROM dp p JOIN counts n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.n = p.i JOIN ins ON ins.q = p.q AND ins.z IN ('0', 'a') GROUP BY n.conv_id),
+l AS (SELECT conv_id, j, v.a[j] AS a, j - len(replace(v.a[:j], 'I', '')) AS inserts, len(replace(v.a[:j], 'D', '')) AS o
+      FROM (SELECT conv_id, v, unnest(range(1, len(v.a) + 1)) AS j FROM best)),
+m AS (SELECT l.conv_id, l.j, l.a, l.o, f.role, f.text, l.a = 'K' AND l.o = 1 AND f.x = 's' AS leads
+      FROM l LEFT JOIN f ON l.a <> 'I' AND f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.j - l.inserts WHERE l.a <> 'D'),
+w AS (SELECT *, max(leads::INT) OVER (PARTITION BY conv_id) AS shift FROM m),
+t AS (SELECT conv_id, string_agg(CASE WHEN a = 'K' THEN role WHEN (o - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END
+             || ':' || CASE WHEN a = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS body FROM w GROUP BY conv_id)
+SELECT o.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated,
+       coalesce(n.illegal, 0) AS illegal, coalesce(b.v.c, 0) AS cost, coalesce(b.v.a, '') AS audit, sha256(coalesce(t.body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM o.conv_id"""

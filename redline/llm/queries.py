@@ -100,6 +100,11 @@ def op10_quality_cascade(spark, sf):
     return quality_cascade(_table(spark, sf, "documents")).drop("rejected_by")
 
 
+def op13_structure_repair(spark, sf):
+    from .structure_repair import repaired_conversations
+    return repaired_conversations(_table(spark, sf, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_collapse, op2_quality_qda, op3_suffix_dedup, op4_toxicity_pu, op5_pack_ffd, op6_host_reputation,
-    op7_bsi_topk, op8_ngram_join, op9_mix_sources, op10_quality_cascade)}
+    op7_bsi_topk, op8_ngram_join, op9_mix_sources, op10_quality_cascade, op13_structure_repair)}
