@@ -100,6 +100,14 @@ def op10_quality_cascade(spark, sf):
     return quality_cascade(_table(spark, sf, "documents")).drop("rejected_by")
 
 
+def op12_language_id(spark, sf):
+    from .language_id import fit_languages, predict_languages
+    docs = _table(spark, sf, "documents")
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+    p = predict_languages(docs, fit_languages(docs, training=remainder != 1))
+    return p.select("doc_id", (remainder == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op13_structure_repair(spark, sf):
     from .structure_repair import repaired_conversations
     return repaired_conversations(_table(spark, sf, "conversations"))
@@ -107,4 +115,5 @@ def op13_structure_repair(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_collapse, op2_quality_qda, op3_suffix_dedup, op4_toxicity_pu, op5_pack_ffd, op6_host_reputation,
-    op7_bsi_topk, op8_ngram_join, op9_mix_sources, op10_quality_cascade, op13_structure_repair)}
+    op7_bsi_topk, op8_ngram_join, op9_mix_sources, op10_quality_cascade, op12_language_id,
+    op13_structure_repair)}
