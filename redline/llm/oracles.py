@@ -146,6 +146,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        OR 2 * n_upper > n_upper + n_lower OR 5 * n_marks > n_words OR 10 * n_alpha < 7 * n_words) AS kept
 FROM b"""
 
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same,
+             coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda z: coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.nth ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.nth <= 5 AND s.anchor_id = p.anchor_id AND NOT s.same
+           AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
 
 # CRC-32 by its polynomial; the cheapest edits by grammar state, a row a step of
 # the recursion, each state with up to two inserts before the row's own edit.

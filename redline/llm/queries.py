@@ -100,6 +100,13 @@ def op10_quality_cascade(spark, sf):
     return quality_cascade(_table(spark, sf, "documents")).drop("rejected_by")
 
 
+def op11_hard_negatives(spark, sf):
+    from .hard_negatives import labelled_vectors, mine_negatives
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    v = labelled_vectors(_table(spark, sf, "embeddings"), label)
+    return mine_negatives(v.where(F.col("vec_id") % QUERY_STEP == 0), v)
+
+
 def op12_language_id(spark, sf):
     from .language_id import fit_languages, predict_languages
     docs = _table(spark, sf, "documents")
@@ -115,5 +122,5 @@ def op13_structure_repair(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_collapse, op2_quality_qda, op3_suffix_dedup, op4_toxicity_pu, op5_pack_ffd, op6_host_reputation,
-    op7_bsi_topk, op8_ngram_join, op9_mix_sources, op10_quality_cascade, op12_language_id,
-    op13_structure_repair)}
+    op7_bsi_topk, op8_ngram_join, op9_mix_sources, op10_quality_cascade, op11_hard_negatives,
+    op12_language_id, op13_structure_repair)}
