@@ -12,52 +12,30 @@ last slice have equal scores and are resolved by id.
 ``coarse_bits`` low digits can be left out of the sums; rows within the error
 that this allows around the k-th score are then scored exactly.
 
-Work is dealt as (query chunk, block) pairs; the partial best rows are merged
-per query.
-
-Cases: vectors that are null, hold a null or non-finite component, or one
-beyond ``2**25`` after scaling take no part, nor do rows without an id; shorter
-vectors count as zero in the missing dimensions; a query's own row is every row
-with its id; of repeated query ids the smallest vector asks; repeated rows are
-candidates as often as they occur; fewer than ``k`` candidates give fewer
-results; ties go to the smaller id; an empty table gives an empty result; other
-columns are not read.
+A task holds one block, builds its slices once and streams the queries past it;
+the partial best rows are merged per query.
+
+Cases: vectors that are null or hold a null or non-finite component take no
+part, nor do rows without an id; any finite component is kept: sums beyond a
+long are added in Python integers, and a score that a long cannot hold is an
+error; shorter vectors count as zero in the missing dimensions; a query's own
+row is every row with its id; of repeated query ids the smallest vector asks;
+repeated rows are candidates as often as they occur; fewer than ``k`` candidates
+give fewer results; ties go to the smaller id; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, write_table
+from .common import U64
+from .vectors import BLOCK_ROWS, CHUNK_ROWS, Piece, as_longs, block_search, integer_vectors, product_bound  # noqa: F401
 
 K = 5
-SCALE = 256
-BLOCK_ROWS = 16_384
-CHUNK_ROWS = 128
 COARSE_BITS = 4
-_LIMIT = 1 << 25
-
-
-def integer_vectors(vectors: DataFrame, scale: int = SCALE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``(vec_id, v array<int>)`` of the rows that take part."""
-    x = F.transform(F.col(embedding), lambda c: F.floor(c.cast("double") * scale))
-    fine = F.forall(F.col(embedding), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) * scale < _LIMIT))
-    return (vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & fine)
-            .select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: c.cast("int")).alias("v")))
-
-
-def _matrix(col: pa.Array, dims: int) -> np.ndarray:
-    """Rows of an ``array<int>`` column, filled with zeros to ``dims``."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    out = np.zeros((len(col), dims), np.int64)
-    lens = np.diff(col.offsets.to_numpy())
-    at = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-    out[np.repeat(np.arange(len(col)), lens), at] = col.flatten().to_numpy(zero_copy_only=False)
-    return out
 
 
 class SlicedBlock:
@@ -65,13 +43,15 @@ class SlicedBlock:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x, self.n = ids, x, len(ids)
+        if product_bound(x, x) >= 1 << 62:            # differences of components may not fit a long
+            x = x.astype(object)
         self.low = x.min(axis=0) if len(x) else np.zeros(x.shape[1], np.int64)
-        self.digits = [int(d) for d in np.array([int(v).bit_length() for v in (x - self.low).max(axis=0)])] if len(x) else []
+        self.digits = [int(v).bit_length() for v in (x - self.low).max(axis=0)] if len(x) else []
         words = (self.n + 63) // 64
         self.slices = []
         for j, n in enumerate(self.digits):
             u = x[:, j] - self.low[j]
-            bits = ((u[None, :] >> np.arange(n)[:, None]) & 1).astype(np.uint8)
+            bits = np.stack([(u >> d) & 1 for d in range(n)]).astype(np.uint8) if n else np.zeros((0, self.n), np.uint8)
             packed = np.zeros((n, words * 8), np.uint8)
             packed[:, : (self.n + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
             self.slices.append(packed.view(U64))
@@ -143,7 +123,8 @@ class SlicedBlock:
             # rows whose bound lies within the error of the k-th may still belong
             floor = max(0, kth - (slack >> coarse) - 1)
             rows = self._rows(_at_least(slices, floor, live))
-        scores = self.x[rows] @ q
+        wide = product_bound(self.x, q[None, :]) >= 1 << 62
+        scores = self.x[rows].astype(object) @ q.astype(object) if wide else self.x[rows] @ q
         order = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows][order], scores[order]
 
@@ -161,72 +142,24 @@ def _at_least(slices: list[np.ndarray], value: int, live: np.ndarray) -> np.ndar
     return above | equal
 
 
-def _pieces(dims: int, rows: int):
-    """Batches regrouped to pieces of ``rows`` rows: ids and flat components as bytes."""
-    def run(batches):
-        ids, xs, n = [], [], 0
-
-        def piece(i, x):
-            return pa.RecordBatch.from_arrays([pa.array([i.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<i4").tobytes()], pa.binary())], ["ids", "x"])
-
-        for b in batches:
-            ids.append(b.column(0).to_numpy(zero_copy_only=False))
-            xs.append(_matrix(b.column(1), dims))
-            n += b.num_rows
-            while n >= rows:
-                i, x = np.concatenate(ids), np.concatenate(xs)
-                yield piece(i[:rows], x[:rows])
-                ids, xs, n = [i[rows:]], [x[rows:]], n - rows
-        if n:
-            yield piece(np.concatenate(ids), np.concatenate(xs))
-    return run
-
-
-def _search(dims: int, k: int, coarse: int):
-    def one(col):
-        return np.frombuffer(col[0].as_buffer(), "<i8")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple = ([], [], [])
-        if left.num_rows and right.num_rows:
-            ids = one(left.column("ids"))
-            x = np.frombuffer(left.column("x")[0].as_buffer(), "<i4").reshape(len(ids), dims).astype(np.int64)
-            by = np.argsort(ids, kind="stable")
-            block = SlicedBlock(ids[by], x[by])
-            qids = one(right.column("ids"))
-            q = np.frombuffer(right.column("x")[0].as_buffer(), "<i4").reshape(len(qids), dims).astype(np.int64)
-            for own, w in zip(qids.tolist(), q):
-                i, s = block.best(w, own, k, coarse)
-                out[0].append(np.full(len(i), own))
-                out[1].append(i)
-                out[2].append(s)
-        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-        return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("query_id", "vec_id", "score"), cols)})
-    return run
+def _index(piece: Piece) -> SlicedBlock:
+    by = np.argsort(piece.ids, kind="stable")
+    return SlicedBlock(piece.ids[by], piece.x[by])
+
+
+def _best(k: int, coarse: int):
+    def answer(block: SlicedBlock, chunk: Piece):
+        found = [(own, *block.best(w, own, k, coarse)) for own, w in zip(chunk.ids.tolist(), chunk.x)]
+        return (np.concatenate([np.full(len(i), own) for own, i, _ in found]), np.concatenate([i for _, i, _ in found]),
+                np.concatenate([as_longs(s) for _, _, s in found]))
+    return answer
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, coarse_bits: int = COARSE_BITS, block_rows: int = BLOCK_ROWS,
           chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``query_id, rank, vec_id, score``; both inputs are ``(vec_id, v array<int>)``."""
-    dims, n = candidates.agg(F.max(F.size("v")), F.count("*")).first()
-    qdims, m = queries.agg(F.max(F.size("v")), F.count("*")).first()
-    dims = max(dims or 0, qdims or 0, 1)
-    spread = candidates.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-n // block_rows), min(spread, n // 2048))
-    chunks = max(1, -(-m // chunk_rows))
-    number = Window.orderBy("place")                  # over blocks and chunks, not rows
-
-    def table(df, parts, rows, name):
-        t, _ = write_table(df.repartition(parts).mapInArrow(_pieces(dims, rows), "ids binary, x binary").withColumn("place", F.monotonically_increasing_id()), name)
-        places = t.select("place").withColumn("no", F.row_number().over(number) - 1)
-        return t.join(F.broadcast(places), "place").drop("place"), t.count()
-
-    left, n_blocks = table(candidates, blocks, block_rows, "bsi_blocks")
-    right, n_chunks = table(queries.groupBy("vec_id").agg(F.min("v").alias("v")), chunks, chunk_rows, "bsi_queries")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1)))
-    left = left.withColumnRenamed("no", "block").withColumn("chunk", every(n_chunks))
-    right = right.withColumnRenamed("no", "chunk").withColumn("block", every(n_blocks))
-    part = (left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
-            .applyInArrow(_search(dims, k, coarse_bits), "query_id long, vec_id long, score long"))
+    """``query_id, rank, vec_id, score``; both inputs are ``(vec_id, v array<long>)``."""
+    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    part = block_search(candidates, asked, _index, _best(k, coarse_bits), "query_id long, vec_id long, score long", "bsi",
+                        block_rows=block_rows, chunk_rows=chunk_rows)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -132,17 +132,22 @@ def test_top_k_over_blocks(spark):
     rows = [(i, [float(v) for v in rng.normal(0, 0.4, 6)], 1, 2) for i in range(150)]
     rows += [(i + 1000, rows[3][1], 1, 2) for i in range(9)]                                # ties
     rows += [(2000, None, 1, 2), (2001, [1.0, None], 1, 2), (2002, [float("nan")] * 6, 1, 2), (2003, [float("inf")], 1, 2), (None, [0.1] * 6, 1, 2), (2004, [], 1, 2), (2005, [0.5], 1, 2),
-             (2006, [1e30], 1, 2)]
+             (2006, [1e6, -2.0], 1, 2), (2007, [200000.0, 1.0], 1, 2), (2050, [-1e6, 1e6, 3e5], 1, 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, rank int").repartition(3)
     v = integer_vectors(df)
     got = defaultdict(list)
     for r in top_k(v.where("vec_id % 50 = 0"), v, block_rows=40, chunk_rows=2).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
-    data = {i: [int(np.floor(256 * c)) for c in e] for i, e, _, _ in rows if i is not None and i not in (2000, 2001, 2002, 2003, 2006)}
+    data = {i: [int(np.floor(256 * c)) for c in e] for i, e, _, _ in rows if i is not None and i not in (2000, 2001, 2002, 2003)}
     for q in (i for i in data if i % 50 == 0):
         want = sorted((-sum(a * b for a, b in zip(data[q], e)), i) for i, e in data.items() if i != q)[:5]
         assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in want]
         assert [r for r, _, _ in sorted(got[q])] == [1, 2, 3, 4, 5]
+    wide = integer_vectors(spark.createDataFrame([(i, [c * 1e7 for c in rows[i][1][:3]]) for i in range(40)], "vec_id long, embedding array<double>"))
+    exact = {i: [int(np.floor(256 * c * 1e7)) for c in rows[i][1][:3]] for i in range(40)}
+    assert max(abs(c) for e in exact.values() for c in e) ** 2 * 3 > 2**62
+    assert sorted((r.rank, r.vec_id) for r in top_k(wide.where("vec_id = 0"), wide).collect()) == [
+        (n + 1, i) for n, (_, i) in enumerate(sorted((-sum(a * b for a, b in zip(exact[0], e)), i) for i, e in exact.items() if i)[:5])]
     assert top_k(v.where("false"), v).count() == 0 and top_k(v.where("vec_id = 0"), v.where("vec_id = 0")).count() == 0
 
 
