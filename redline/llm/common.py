@@ -140,6 +140,44 @@ def range_hash(p: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((p[e] - p[s]) * powers(len(p), _INVERSE)[s])
 
 
+def hash_ranges(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """``range_hash`` of ascending ranges that do not overlap, in memory that a long ``buf`` does not raise.
+
+    The hash is a sum over bytes, so a range that a cut falls into adds up from its parts.
+    """
+    if len(buf) <= 2 * CHUNK_BYTES:
+        return range_hash(prefix_hash(buf), s, e)
+    total = np.zeros(len(s), U64)
+    for a in range(0, len(buf), CHUNK_BYTES):
+        b = min(a + CHUNK_BYTES, len(buf))
+        lo, hi = int(np.searchsorted(e, a, "right")), int(np.searchsorted(s, b, "left"))
+        if lo >= hi:
+            continue
+        p = prefix_hash(buf[a:b])
+        ss, ee = np.maximum(s[lo:hi], a) - a, np.minimum(e[lo:hi], b) - a
+        raw = (p[ee] - p[ss]) * powers(len(p), _INVERSE)[ss]
+        if s[lo] < a:                                 # the one range that began before this part
+            raw[0] *= U64(pow(_BASE, a - int(s[lo]), 1 << 64))
+        total[lo:hi] += raw
+    return mix(total)
+
+
+def text_parts(buf: np.ndarray, off: np.ndarray, parts_words: np.ndarray, limit: int = CHUNK_BYTES):
+    """``(bytes, offsets, row numbers)`` of about ``limit`` bytes; a longer row comes in several, cut after bytes that part words."""
+    for lo, hi in row_chunks(off, limit):
+        a, end = int(off[lo]), int(off[hi])
+        if end - a <= 2 * limit:
+            yield buf[a:end], off[lo:hi + 1] - off[lo], np.arange(lo, hi)
+            continue
+        while a < end:                                # one long row
+            b = min(a + limit, end)
+            while b < end and not parts_words[buf[b - 1]]:
+                ahead = np.flatnonzero(parts_words[buf[b:b + limit]])
+                b = b + int(ahead[0]) + 1 if len(ahead) else min(b + limit, end)
+            yield buf[a:b], np.array([0, b - a]), np.array([lo])
+            a = b
+
+
 # The characters that separate words in the contracts.
 WORD_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SPACE = np.zeros(256, bool)
@@ -169,7 +207,7 @@ def words_of(buf: np.ndarray, off: np.ndarray, lower: bool = False):
     starts = np.flatnonzero(head & ~sp)
     ends = np.flatnonzero(tail & ~sp) + 1
     rows = np.searchsorted(off, starts, "right") - 1
-    return range_hash(prefix_hash(buf), starts, ends), rows, starts, ends
+    return hash_ranges(buf, starts, ends), rows, starts, ends
 
 
 def window_hash(words: np.ndarray, rows: np.ndarray, k: int):

@@ -12,8 +12,9 @@ size and the excess is shared again by weight until no source is above: the
 water level at which the capped shares add up to the budget.
 
 Cases: a null source is a source of its own, last in order; null text has size
-0 and takes 0; equal keys are ordered by document id and size, and identical
-rows by partition order (they are interchangeable); a hot source is split over
+0 and takes 0; keys come from id and text, so rows without an id or with a
+common one are in random order as well; identical rows share a key and are
+interchangeable; a hot source, or a row that repeats without end, is split over
 many range partitions; an empty table gives an empty result; other columns are
 not read by the plan and are carried by ``mixed_documents``.
 """
@@ -70,9 +71,12 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, budget_pct: int = BUDGET_PCT, max
              doc_id: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` (and ``row``, if named) for every document."""
     extra = [F.col(row).alias("row")] if row else []
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), *extra)
-    rows = rows.withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))))
-    ranged = rows.repartitionByRange("source", "key", "doc_id", "size").sortWithinPartitions("source", "key", "doc_id", "size")
+    # the text is part of the key: rows without an id, or with a common one, are in random order too
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(doc_id).cast("long").cast("string"), F.md5(F.col(text).cast("binary"))))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), key.alias("key"), *extra)
+    # equal rows share a key; the place lets them spread over partitions, and which of them is taken makes no difference
+    order = ["source", "key", "doc_id", "size", "place"]
+    ranged = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     ranged, _ = write_table(ranged.withColumn("part", F.spark_partition_id()), "mix_sorted")
 
     parts = ranged.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
@@ -82,7 +86,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, budget_pct: int = BUDGET_PCT, max
     parts = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
     parts = (parts.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source"))
              .select("p.source", "p.part", "p.ahead", "t.source_size", "t.target"))
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "place").rowsBetween(Window.unboundedPreceding, -1)
     run = ranged.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     j = run.alias("d").join(parts.alias("p"), F.expr("d.part = p.part and d.source <=> p.source"))
     budget = F.floor("target")
@@ -99,19 +103,22 @@ def _first_words(text: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([t[:e] for t, e in zip(text, ends)])
 
 
-def mixed_documents(docs: DataFrame, row: str = "_row", **options) -> DataFrame:
-    """The mix itself: whole copies of each document, then the words of its part; columns as in ``docs``.
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The mix itself: whole copies of each document, then the words of its part; columns as in ``docs``, whatever their names.
 
     ``n_chars`` of a part, if present, is that of its text.  ``docs`` is written
     once under a row number, so that repeated ids stay apart.
     """
-    text = options.get("text", "text")
-    numbered, _ = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "mix_rows")
-    plan = mix_plan(numbered, row=row, **options).where("taken > 0").select(F.col("row").alias(row), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    copies = numbered.join(plan, row)
-    whole = (copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_taken") / F.col("_size")).cast("int"))))
-             .where("_taken >= _size").drop("_copy"))
-    cut = copies.withColumn("_words", F.col("_taken") % F.col("_size")).where("_words > 0").withColumn(text, _first_words(text, "_words"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(cut.select(*docs.columns))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    whole_row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in at.items()]).alias("d")
+    numbered, _ = write_table(docs.select(whole_row, F.monotonically_increasing_id().alias("row")), "mix_rows")
+    named = numbered.select("row", *[F.col(f"d.{at[c]}").alias(n) for c, n in ((doc_id, "doc_id"), (source, "source"), (text, "text"))])
+    plan = mix_plan(named, row="row", **options).where("taken > 0").select("row", "size", "taken")
+    copies = numbered.join(plan, "row")
+    whole = copies.where("taken >= size").select("d", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+    part = copies.withColumn("left", F.col("taken") % F.col("size")).where("left > 0").withColumn("cut", _first_words(f"d.{at[text]}", "left"))
+    new = {text: F.col("cut")}
+    if "n_chars" in at:
+        new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
+    return whole.select(*[F.col(f"d.{n}").alias(c) for c, n in at.items()]).unionByName(
+        part.select(*[new.get(c, F.col(f"d.{n}")).alias(c) for c, n in at.items()]))

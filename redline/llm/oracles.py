@@ -110,7 +110,7 @@ SELECT doc_id, len(s) AS n_shingles, (SELECT min(c) FROM reach WHERE node = doc_
 
 ORACLES["op9_mix_sources"] = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{W}')), 0)::BIGINT AS size,
-                  md5(concat_ws('|', '7', doc_id::VARCHAR)) AS key FROM documents),
+                  md5(concat_ws('|', '7', doc_id::VARCHAR, md5(text))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] ::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 r AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total, sum(w) OVER () AS total_w,

@@ -60,10 +60,20 @@ def _spaced(buf: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
     return np.insert(low, at, 32).tobytes(), off + np.searchsorted(at, off, "right")
 
 
+# The rules of tokenizers for which ``_spaced`` and encoding by words change no id.
+BY_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+
+
 class _Words(dict):
     """Little-endian 16-bit ids of words (UTF-8, parted by ASCII white space), by the tokenizer.
 
-    No token crosses ASCII white space, so a text's ids are its words' ids in a row.
+    Under the rules of ``BY_WORDS`` no token crosses ASCII white space, so a text's
+    ids are its words' ids in a row; under other rules every text is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -72,7 +82,10 @@ class _Words(dict):
         self.tok = Tokenizer.from_file(path)
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("the tokenizer has more ids than 16 bits hold")
-        mark = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix")
+        rules = json.loads(self.tok.to_str())
+        special = [t["content"] for t in rules.get("added_tokens") or ()]
+        self.by_words = (rules.get("normalizer"), rules.get("pre_tokenizer")) == BY_WORDS and all("<|" in t for t in special)
+        mark = rules["model"].get("end_of_word_suffix")
         self.closes = np.zeros(1 << 16, bool)
         if mark:
             self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith(mark)]] = True
@@ -107,6 +120,9 @@ class _Words(dict):
 
     def texts(self, buf: np.ndarray, off: np.ndarray):
         """Ids of every text of a chunk."""
+        if not self.by_words:
+            yield from (self.whole(buf[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist()))
+            return
         raw, at = _spaced(buf, off)
         plain = b"<|" not in raw                      # may begin a special token, which signs and case are part of
         words = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]

@@ -20,7 +20,8 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _remainder(col: str, parts: int):
-    return F.crc32(F.col(col).cast("string").cast("binary")) % parts
+    """CRC-32 of the id as text; a missing id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -110,7 +111,7 @@ def op11_hard_negatives(spark, sf):
 def op12_language_id(spark, sf):
     from .language_id import fit_languages, predict_languages
     docs = _table(spark, sf, "documents")
-    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+    remainder = _remainder("doc_id", 3)
     p = predict_languages(docs, fit_languages(docs, training=remainder != 1))
     return p.select("doc_id", (remainder == 1).alias("held_out"), "lang_pred", "score")
 

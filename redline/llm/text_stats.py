@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import U64, _SPACE, mix, prefix_hash, range_hash, window_hash, words_of
+from .common import U64, _SPACE, hash_ranges, mix, window_hash, words_of
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -45,16 +45,28 @@ class TextStats:
         self._made: dict = {}
 
     def rows(self, keep: np.ndarray) -> "TextStats":
-        """The chosen rows alone; their text is copied, nothing of the others is read."""
+        """The chosen rows alone, with the parts of what was computed already; nothing is split or hashed again."""
         lens = np.diff(self.off)[keep]
         off = np.concatenate([[0], np.cumsum(lens)])
-        at = np.repeat(self.off[:-1][keep] - off[:-1], lens) + np.arange(off[-1])
-        return TextStats(self.buf[at], off)
+        shift = self.off[:-1][keep] - off[:-1]
+        out = TextStats(self.buf[np.repeat(shift, lens) + np.arange(off[-1])], off)
+        place = np.full(self.n, -1)
+        place[keep] = np.arange(len(keep))
+        for name, v in self._made.items():
+            if name in ("words", "lines"):            # (hash, row[, start, end]) of each
+                mine = np.flatnonzero(place[v[1]] >= 0)
+                row = place[v[1][mine]]
+                out._made[name] = (v[0][mine], row, *(x[mine] - shift[row] for x in v[2:]))
+            else:
+                out._made[name] = v[keep]
+        return out
 
     def count(self, table: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(self.buf) + 1, np.int64)
-        np.cumsum(table[self.buf], out=total[1:])
-        return np.diff(total[self.off])
+        out = np.zeros(self.n, np.int64)
+        full = np.flatnonzero(np.diff(self.off))      # empty rows hold no bytes between their neighbours
+        if len(full):
+            out[full] = np.add.reduceat(table[self.buf].view(np.uint8), self.off[full], dtype=np.int64)
+        return out
 
     def __getattr__(self, name):
         if name.startswith("_"):
@@ -107,11 +119,9 @@ class TextStats:
         starts = starts[starts < n]
         ends = np.concatenate([starts[1:], [n]])
         ends = ends - (self.buf[ends - 1] == 10)      # the feed is no part of the line
-        full = np.zeros(n + 1, np.int64)
-        np.cumsum(~_SPACE[self.buf], out=full[1:])
-        keep = full[ends] > full[starts]
+        keep = np.add.reduceat((~_SPACE[self.buf]).view(np.uint8), starts, dtype=np.int64) > 0     # the feed is a space
         starts, ends = starts[keep], ends[keep]
-        return range_hash(prefix_hash(self.buf), starts, ends), np.searchsorted(self.off, starts, "right") - 1
+        return hash_ranges(self.buf, starts, ends), np.searchsorted(self.off, starts, "right") - 1
 
     def _get_n_lines(self):
         return np.bincount(self.lines[1], minlength=self.n)
@@ -134,16 +144,19 @@ class TextStats:
 
     def _get_n_distinct(self):
         h, rows, _, _ = self.words
-        x = np.sort(mix(h ^ mix(rows.astype(U64), 3)))
+        x = mix(h ^ mix(rows.astype(U64), 3))
         # distinct words are counted by row through their first copy
-        order = np.argsort(mix(h ^ mix(rows.astype(U64), 3)), kind="stable")
+        order = np.argsort(x, kind="stable")
+        x = x[order]
         first = np.ones(len(x), bool)
         first[1:] = x[1:] != x[:-1]
         return np.bincount(rows[order[first]], minlength=self.n)
 
     def _get_n_alpha_words(self):
         """Words that hold a letter (any byte beyond ASCII counts as one)."""
-        _, rows, s, e = self.words
-        total = np.zeros(len(self.buf) + 1, np.int64)
-        np.cumsum((_UPPER | _LOWERCASE | _WIDE)[self.buf], out=total[1:])
-        return np.bincount(rows[total[e] > total[s]], minlength=self.n)
+        _, rows, s, _ = self.words
+        if not len(s):
+            return np.zeros(self.n, np.int64)
+        # from one word to the next there are only spaces besides
+        letters = np.add.reduceat((_UPPER | _LOWERCASE | _WIDE)[self.buf].view(np.uint8), s, dtype=np.int64)
+        return np.bincount(rows[letters > 0], minlength=self.n)

@@ -12,13 +12,17 @@ The model is linear over the presence of terms (words, and runs of four and five
 bytes inside words, so that inflected or joined forms count), hashed to
 ``2**BUCKET_BITS`` buckets and picked by how much oftener they occur in P than
 in U.  It is fitted in numpy on bounded samples (``max_positive``,
-``max_unlabelled`` rows of at most ``max_chars`` characters); scoring reads
-every whole text.
+``max_unlabelled`` rows, whole texts of any length): the executors turn texts
+into term sets, which stay in a table, and count the terms; the driver sees the
+picked terms and, for each sampled row, which of them it holds.  Scoring reads
+every whole text, a long one in parts cut between words.
 
 Cases: null text counts as empty and gets the score of a text without any of
 the words; labels that are null, or of documents outside the training rows, are
 not read; without positives every score is the prior (0 if unknown); repeated
-rows get equal scores; an empty table gives an empty result.
+rows get equal scores, and of several texts under one id one is learned from; a
+null id counts as the empty text in the split and has no label; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,11 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, prefix_hash, range_hash, row_chunks, text_bytes, words_of
+from .common import U64, drop_tables, mix, prefix_hash, range_hash, text_bytes, text_parts, words_of, write_table
 
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
-MAX_CHARS = 20_000
 MAX_TERMS = 192
 BUCKET_BITS = 22
 GRAMS = (4, 5)
@@ -49,6 +52,7 @@ _FOLD[48:58] = np.arange(48, 58)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[0x80:] = np.arange(0x80, 256)
+_PARTS = _FOLD == 32
 
 
 def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,35 +91,32 @@ class PUModel:
             if not hasattr(self, "_slot"):
                 self._slot = np.full(1 << BUCKET_BITS, -1, np.int32)
                 self._slot[self.buckets] = np.arange(m)
-            rows, b = terms(buf, off)
-            slot = self._slot[b]
-            hit = slot >= 0
-            cell = np.unique(rows[hit] * m + slot[hit])
+            cells = []
+            for part, at, who in text_parts(buf, off, _PARTS):
+                rows, b = terms(part, at)
+                slot = self._slot[b]
+                hit = slot >= 0
+                cells.append(np.unique(who[rows[hit]] * m + slot[hit]))
+            cell = np.unique(np.concatenate(cells))   # a term counts once a text, in whichever parts it stands
             g += np.bincount(cell // m, weights=self.weights[cell % m], minlength=n)
         return 1.0 / (1.0 + np.exp(-np.clip(g, -700, 700)))
 
 
-def pick_terms(pos: list[np.ndarray], unl: list[np.ndarray], limit: int = MAX_TERMS, z_min: float = 5.0) -> tuple[np.ndarray, float]:
+def pick_terms(sets: DataFrame, n_pos: int, n_unl: int, limit: int = MAX_TERMS, z_min: float = 5.0) -> tuple[np.ndarray, float]:
     """Buckets twice as frequent in P as in U, by ``z_min`` standard errors at least; the ``limit`` strongest.
 
     Also the share of P in U that the ten strongest suggest: a term of toxic
     texts alone is ``prior`` times as frequent in U as in P.
     """
-    size = 1 << BUCKET_BITS
-    count = lambda sets: sum((np.bincount(s, minlength=size).astype(np.float32) for s in _joined(sets)), np.zeros(size, np.float32))
-    p, u = count(pos) / len(pos), count(unl) / max(1, len(unl))
-    both = (p * len(pos) + u * len(unl)) / (len(pos) + len(unl))
-    z = (p - u) / np.sqrt(both * (1 - both) * (1 / len(pos) + 1 / max(1, len(unl))) + 1e-12)
-    z[p < 2 * u] = 0
-    best = np.argsort(-z, kind="stable")[:limit]
-    best = best[z[best] >= z_min]
+    m = max(1, n_unl)
+    counts = (sets.mapInArrow(_term_counts, "kind int, bucket int, n long").groupBy("bucket")
+              .agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("np"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("nu")))
+    both = (F.col("np") + F.col("nu")) / (n_pos + n_unl)
+    z = (F.col("p") - F.col("u")) / F.sqrt(both * (1 - both) * (1 / n_pos + 1 / m) + 1e-12)
+    best = (counts.withColumn("p", F.col("np") / n_pos).withColumn("u", F.col("nu") / m).where("p >= 2 * u").withColumn("z", z)
+            .where(F.col("z") >= z_min).orderBy(F.desc("z"), "bucket").limit(limit).select("bucket", "p", "u").collect())
     top = best[:10]
-    return np.sort(best), float(u[top].sum() / p[top].sum()) if len(top) else 1.0
-
-
-def _joined(sets, many: int = 256):
-    for lo in range(0, len(sets), many):
-        yield np.concatenate(sets[lo:lo + many]) if sets else np.zeros(0, np.int64)
+    return np.sort(np.array([r["bucket"] for r in best], np.int64)), sum(r["u"] for r in top) / sum(r["p"] for r in top) if top else 1.0
 
 
 def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4,
@@ -140,31 +141,47 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rat
     return w, b
 
 
-def _presence(sets: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
-    slot = np.full(1 << BUCKET_BITS, -1, np.int32)
-    slot[buckets] = np.arange(len(buckets))
-    x = np.zeros((len(sets), len(buckets)))
-    for i, s in enumerate(sets):
-        at = slot[s]
-        x[i, at[at >= 0]] = 1
-    return x
-
-
 def _term_sets(batches):
+    """The set of each whole text's term buckets."""
     for b in batches:
         buf, off = text_bytes(b.column(1))
-        sets = []
-        for lo, hi in row_chunks(off):
-            rows, t = terms(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-            pair = np.unique(rows << BUCKET_BITS | t)
-            cut = np.searchsorted(pair >> BUCKET_BITS, np.arange(hi - lo + 1))
-            t = (pair & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
-            sets += [t[cut[i]:cut[i + 1]].tobytes() for i in range(hi - lo)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["kind", "terms"])
+        sets = [np.zeros(0, np.int64)] * (len(off) - 1)
+        for part, at, rows in text_parts(buf, off, _PARTS):
+            r, t = terms(part, at)
+            pair = np.unique(r << BUCKET_BITS | t)
+            cut = np.searchsorted(pair >> BUCKET_BITS, np.arange(len(rows) + 1))
+            t = pair & ((1 << BUCKET_BITS) - 1)
+            for i, row in enumerate(rows):
+                own = t[cut[i]:cut[i + 1]]
+                sets[row] = np.union1d(sets[row], own) if len(sets[row]) else own
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype(np.int32).tobytes() for s in sets], pa.binary())], ["kind", "terms"])
+
+
+def _term_counts(batches):
+    """Rows of each kind that hold a bucket, per task."""
+    total = np.zeros((2, 1 << BUCKET_BITS), np.int32)
+    for b in batches:
+        for kind, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            total[kind, np.frombuffer(cell, np.int32)] += 1          # a set: no bucket twice
+    for kind in (0, 1):
+        at = np.flatnonzero(total[kind])
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo:lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(total[kind, part].astype(np.int64))],
+                                             ["kind", "bucket", "n"])
+
+
+def _presence(buckets: np.ndarray):
+    """Which of the picked buckets each row holds, as a byte a bucket."""
+    def run(batches):
+        for b in batches:
+            cells = [np.isin(buckets, np.frombuffer(c, np.int32)).astype(np.uint8).tobytes() for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary())], ["kind", "held"])
+    return run
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, training=None, doc_id: str = "doc_id", text: str = "text",
-                 max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_chars: int = MAX_CHARS,
+                 max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED,
                  prior: float | None = None) -> PUModel:
     """Fit on ``labels (doc_id, label)`` and the documents where the column ``training`` holds.
 
@@ -183,19 +200,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training=None, doc_id: str
     rank = lambda salt: F.xxhash64(F.lit(salt), "doc_id")
     take = lambda df, salt, m, kind: (df.select("doc_id").distinct().orderBy(rank(salt), "doc_id").limit(m)
                                       .withColumn("kind", F.lit(kind)))
-    chosen = (take(marks.where("label = 1"), "p", max_positive, 1)
-              .unionByName(take(rows.where(F.length("text") <= max_chars), "u", max_unlabelled, 0)))
-    # at most max_positive + max_unlabelled ids: safe to broadcast
-    got = (rows.where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").select("kind", "text")
-           .mapInArrow(_term_sets, "kind int, terms binary").collect())
-    sets = [[np.frombuffer(r["terms"], np.int32) for r in got if r["kind"] == kind] for kind in (1, 0)]
-    if not sets[0] or not sets[1]:
+    chosen = (take(rows.join(marks.where("label = 1"), "doc_id", "left_semi"), "p", max_positive, 1)
+              .unionByName(take(rows, "u", max_unlabelled, 0)))
+    # at most max_positive + max_unlabelled ids: safe to broadcast; one text an id
+    texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("kind", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("kind", "text")
+    sets, path = write_table(texts.mapInArrow(_term_sets, "kind int, terms binary"), "pu_terms")
+    sizes = {r["kind"]: r["n"] for r in sets.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    if not sizes.get(1) or not sizes.get(0):
         return none
-    buckets, seen = pick_terms(*sets)
+    buckets, seen = pick_terms(sets, sizes[1], sizes[0])
     if not len(buckets):
         return none
+    held = sets.mapInArrow(_presence(buckets), "kind int, held binary").collect()        # rows x at most MAX_TERMS bytes
+    drop_tables(docs.sparkSession, path)
+    x = {kind: np.array([np.frombuffer(r["held"], np.uint8) for r in held if r["kind"] == kind], float) for kind in (0, 1)}
     prior = min(max(PRIOR_MARGIN * min(prior, seen), 1e-4), 0.9)
-    w, b = fit_nnpu(_presence(sets[0], buckets), _presence(sets[1], buckets), prior)
+    w, b = fit_nnpu(x[1], x[0], prior)
     return PUModel(buckets, w, b)
 
 
@@ -204,8 +224,7 @@ def toxicity_scores(docs: DataFrame, model: PUModel, threshold: float = THRESHOL
     def run(batches):
         for b in batches:
             buf, off = text_bytes(b.column(1))
-            s = [model.scores(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]) for lo, hi in row_chunks(off)]
-            s = np.concatenate(s) if s else np.zeros(0)
+            s = model.scores(buf, off)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")

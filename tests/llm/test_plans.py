@@ -95,6 +95,16 @@ def test_packing_round_trip(spark):
     assert pack_documents(docs(spark, rows).where("false"), tokenizer_path()).count() == 0
 
 
+def test_packing_with_a_tokenizer_of_other_rules(spark):
+    """Case and signs count in the byte-level vocabulary, so texts are encoded whole."""
+    from tokenizers import Tokenizer
+    path = tokenizer_path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rows = [(0, "The CAT isn't  here,\n ok?"), (1, None), (2, "Ωmega α-β <|endoftext|> end")]
+    for r in pack_documents(docs(spark, rows), path, seq_len=512).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == tok.encode(dict(rows)[r.doc_id] or "", add_special_tokens=False).ids + [1]
+
+
 def test_url_rules_and_reputation(spark):
     urls = ["http://A.com/x", "http://a.com", "https://m.example.com/en/1?x=/de/", "http://www.example.com/en/", "http://x.www.example.com/en/#a", "http://b.net/es/",
             "ftp://notnet/es/", "no scheme", None, "", "http://h.org/a://b", "http://bad.org/1", "http://bad.org/2", "http://new.bad.org/", "http://fine.io/1", "http://notexample.com/en/"]
