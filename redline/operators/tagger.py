@@ -148,13 +148,24 @@ def correct_batch(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
     """
     best = argmax_tag().getField("tag")
     change = model.select(F.col("token").alias("_mtok"), best.alias("_tag")).where(F.col("_tag") != KEEP)
-    rows = materialize(sentences.select(key, text).withColumn("_id", F.monotonically_increasing_id()), "sentences")
+    rows = numbered_sentences(sentences, key, text)
     toks = rows.select("_id", F.posexplode(tokenize(text)).alias("pos", "token"))
-    hits = (toks.join(change, F.col("token") == F.col("_mtok")).groupBy("_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct("pos", "_tag"))).alias("_hits")))
-    t = tokenize(text)
+    return apply_found_tags(rows, toks.join(change, F.col("token") == F.col("_mtok")), key, text)
+
+
+def numbered_sentences(sentences: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, text, _id)``, written, so that every row is a sentence of its own, also where keys repeat."""
+    return materialize(sentences.select(key, text).withColumn("_id", F.monotonically_increasing_id()), "sentences")
+
+
+def apply_found_tags(rows: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, text, corrected)``: the ``found (_id, pos, _tag)`` applied to the numbered sentences, KEEP elsewhere.
+
+    The tags come back to a sentence as a small map from position to tag.
+    """
+    hits = found.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "_tag"))).alias("_hits"))
     tags = F.transform(F.col("_t"), lambda x, i: F.coalesce(F.col("_hits")[i], F.lit(KEEP)))
-    j = rows.join(hits, "_id", "left").withColumn("_t", t)
+    j = rows.join(hits, "_id", "left").withColumn("_t", tokenize(text))
     fixed = F.when(F.col("_hits").isNull(), F.array_join("_t", " ")).otherwise(apply_tags(F.col("_t"), tags))
     return j.select(key, text, fixed.alias("corrected"))
 

@@ -554,6 +554,41 @@ ORACLES.update({
 _REQUEST_ORACLES |= {"stream_latency", "response_json"}
 
 
+# --- tags in context ------------------------------------------------------
+
+CONTEXT_SQL = f"""
+cx AS (SELECT t.pair_id, t.pos, t.token, t.tag, s.split, coalesce(lag(t.token) OVER w, '') AS prev, coalesce(lead(t.token) OVER w, '') AS nxt
+       FROM tagrows t JOIN splits s USING (pair_id) WINDOW w AS (PARTITION BY t.pair_id ORDER BY t.pos)),
+deep AS (SELECT c.* FROM cx c WHERE split = 'train' AND token IN (SELECT token FROM mcounts GROUP BY token HAVING count(*) > 1)),
+k2 AS (SELECT token, nxt, tag, count(*)::DOUBLE AS n FROM deep GROUP BY ALL),
+s2 AS (SELECT token, nxt, sum(n) AS total, count(*)::DOUBLE AS kinds FROM k2 GROUP BY ALL),
+k3 AS (SELECT prev, token, nxt, tag, count(*)::DOUBLE AS n FROM deep GROUP BY ALL),
+s3 AS (SELECT prev, token, nxt, sum(n) AS total, count(*)::DOUBLE AS kinds FROM k3 GROUP BY ALL),
+c1 AS (SELECT v.pair_id, v.pos, v.prev, v.token, v.nxt, coalesce(m.tag, 'KEEP') AS t, coalesce(m.tag_id, (SELECT tag_id FROM keep_id)) AS tag_id,
+              coalesce(m.prob, 1.0::DOUBLE) AS p FROM cx v LEFT JOIN model m USING (token) WHERE v.split = 'validation'),
+c2 AS (SELECT c.* EXCLUDE (p), CASE WHEN s.total IS NULL THEN p ELSE coalesce((k.n - 0.75::DOUBLE) / s.total, 0.0::DOUBLE) + 0.75::DOUBLE * s.kinds / s.total * p END AS p
+       FROM c1 c LEFT JOIN s2 s USING (token, nxt) LEFT JOIN k2 k ON k.token = c.token AND k.nxt = c.nxt AND k.tag = c.t),
+c3 AS (SELECT c.* EXCLUDE (p), CASE WHEN s.total IS NULL THEN p ELSE coalesce((k.n - 0.75::DOUBLE) / s.total, 0.0::DOUBLE) + 0.75::DOUBLE * s.kinds / s.total * p END AS p
+       FROM c2 c LEFT JOIN s3 s USING (prev, token, nxt) LEFT JOIN k3 k ON k.prev = c.prev AND k.token = c.token AND k.nxt = c.nxt AND k.tag = c.t),
+cbest AS (SELECT pair_id, pos, token, t AS pred_tag, tag_id AS pred FROM c3 QUALIFY row_number() OVER (PARTITION BY pair_id, pos ORDER BY p DESC, tag_id) = 1),
+cjudged AS (SELECT v.pair_id, v.pos, v.label, b.pred, v.pred AS alone,
+                   (SELECT p FROM c3 WHERE c3.pair_id = v.pair_id AND c3.pos = v.pos AND c3.tag_id = v.label) AS gold
+            FROM val_scored v JOIN cbest b ON b.pair_id = v.pair_id AND b.pos = v.pos)
+"""
+
+ORACLES.update({
+    "context_accuracy": """
+        SELECT count(*) AS n_positions, count_if(pred = label) AS n_correct, count_if(alone = label) AS n_correct_alone,
+               round(count_if(pred = label)::DOUBLE / count(*), 6) AS token_accuracy, round(count_if(alone = label)::DOUBLE / count(*), 6) AS token_accuracy_alone,
+               round(avg(-coalesce(ln(gold), ln(1e-12))), 6) AS cross_entropy FROM cjudged""",
+    "correct_in_context": f"""
+        SELECT v.pair_id, v.sentence, coalesce((SELECT string_agg({apply_one_sql('b.token', 'b.pred_tag')}, ' ' ORDER BY b.pos)
+                                                FROM cbest b WHERE b.pair_id = v.pair_id), '') AS corrected FROM val_sent v""",
+})
+
+_CONTEXT_ORACLES = {"context_accuracy", "correct_in_context"}
+
+
 def oracle(name: str) -> str:
     """The SQL of a query, with the chain of steps it stands on."""
     base = corpus_ctes()
@@ -563,4 +598,6 @@ def oracle(name: str) -> str:
         base = base + "," + TERMS_SQL
     if name in _NGRAM_ORACLES:
         base = base + "," + NGRAMS_SQL
+    if name in _CONTEXT_ORACLES:
+        base = base + "," + CONTEXT_SQL
     return base + ORACLES[name]

@@ -170,6 +170,19 @@ def q_token_accuracy(spark, sf):
                     F.round("cross_entropy", R).alias("cross_entropy"))
 
 
+def q_context_accuracy(spark, sf):
+    from ..operators.context import evaluate_in_context, fit_context_tagger
+    c = build_corpus(spark, sf)
+    r = evaluate_in_context(c.split("validation"), fit_context_tagger(c.split("train"), c.vocab), c.vocab)
+    return r.select("n_positions", "n_correct", "n_correct_alone", *[F.round(x, R).alias(x) for x in ("token_accuracy", "token_accuracy_alone", "cross_entropy")])
+
+
+def q_correct_in_context(spark, sf):
+    from ..operators.context import correct_in_context, fit_context_tagger
+    c = build_corpus(spark, sf)
+    return correct_in_context(_validation_sentences(c), fit_context_tagger(c.split("train"), c.vocab), c.vocab, key="pair_id")
+
+
 def q_sentence_metrics(spark, sf):
     c = build_corpus(spark, sf)
     m = count_tagger(c)
@@ -221,6 +234,8 @@ QUERIES = {
     "correct_batch": q_correct_batch,
     "correct_verbose": q_correct_verbose,
     "token_accuracy": q_token_accuracy,
+    "context_accuracy": q_context_accuracy,
+    "correct_in_context": q_correct_in_context,
     "sentence_metrics": q_sentence_metrics,
     "corpus_stats": q_corpus_stats,
     "softmax": q_softmax,
