@@ -12,21 +12,23 @@ Semantics are those of a longest-matching-block sequence alignment
 
 Plan shape: one pass, no shuffle.  Rows that satisfy ``fast_path`` (most
 minimal-edit pairs) are tagged by native array expressions.  Only the other
-rows cross to Python: the Arrow-batched UDF receives NULL for fast-path rows,
-so their cost there is a null in a batch, and the matcher runs only where the
-native rule cannot prove the answer.
+rows cross to Python: the Arrow UDF receives NULL for fast-path rows, so their
+cost there is a null in a batch.  It aligns all pairs of a batch together
+(``functions.blocks``); no pair is worked on its own but one with more equal
+word pairs than ``blocks.MAX_CELLS``.
 """
 
 from __future__ import annotations
 
 import difflib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import tags as T
+from ..functions.blocks import align_batch
 
 ALIGN_SCHEMA = StructType([StructField("tags", ArrayType(StringType())),
                            StructField("gap_tags", ArrayType(StringType()))])
@@ -52,18 +54,9 @@ def align_tokens(orig: list, corr: list) -> tuple[list, list]:
     return tags, gaps
 
 
-@F.pandas_udf(ALIGN_SCHEMA)
-def _align_udf(orig: pd.Series, corr: pd.Series) -> pd.DataFrame:
-    out_tags, out_gaps = [], []
-    for o, c in zip(orig, corr):
-        if o is None or c is None:
-            out_tags.append(None)
-            out_gaps.append(None)
-            continue
-        t, g = align_tokens(list(o), list(c))
-        out_tags.append(t)
-        out_gaps.append(g)
-    return pd.DataFrame({"tags": out_tags, "gap_tags": out_gaps})
+@F.arrow_udf(ALIGN_SCHEMA)
+def _align_udf(orig: pa.Array, corr: pa.Array) -> pa.Array:
+    return align_batch(orig, corr, align_tokens)
 
 
 def diff_to_tags(df: DataFrame, orig_tokens: str = "orig_tokens",
