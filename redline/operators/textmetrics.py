@@ -3,69 +3,53 @@
 Tokens are P1 tokens (whitespace split); BLEU and ROUGE are defined on them
 rather than on an external tokenizer (documented deviation).
 
-* WER: word-level Levenshtein done natively -- each distinct word of a pair is
-  re-coded as one code point, and Spark's (code-point) ``levenshtein`` runs on
-  the re-coded strings.  Corpus WER = sum of edits / sum of reference words.
+* WER: sum of word-level edits over sum of reference words.
 * BLEU: corpus-level clipped 1..4-gram precision with brevity penalty, no
   smoothing, scaled to 0..100.
 * ROUGE-1/2: mean over pairs of the n-gram overlap F1.
-* ROUGE-L: mean over pairs of the LCS F1; the LCS uses a bit-parallel
-  recurrence in an Arrow UDF (one big-int step per reference token).
+* ROUGE-L: mean over pairs of the LCS F1.
+* ROUGE-Lsum: the same by lines: the union, over the prediction's lines, of each
+  reference line's LCS; a word counts no oftener than the prediction has it.
 
-Plan: n-grams are exploded once and counted by (pair, n, gram) -- a partial
-aggregation keyed by the pair, so no group outgrows one sentence -- then a
-single global aggregate.
+Every row is a pair of its own, also where keys repeat; a null side has no
+tokens, and a pair without tokens scores 0 and counts.  Edits and subsequences
+are found for whole Arrow batches (``functions.bitvectors``).
+
+Plan: for n-grams, rows are numbered and written once, grams exploded once and
+counted by (row, n, gram) -- a partial aggregation keyed by the row, so no group
+outgrows one sentence -- then a single global aggregate.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
+from ..functions.bitvectors import common_length, union_length, word_distance
 from ..functions.text import tokenize
+from .joins import materialize
 
 MAX_N = 4
+_ROW = "_row"
 
 
-def _cp_char(cp: Column) -> Column:
-    """The character of a supplementary-plane code point (4-byte UTF-8)."""
-    def byte(x):
-        return F.lpad(F.hex(x), 2, "0")
-    b1 = F.lit(0xF0).bitwiseOR(F.shiftright(cp, 18))
-    b2 = F.lit(0x80).bitwiseOR(F.shiftright(cp, 12).bitwiseAND(F.lit(0x3F)))
-    b3 = F.lit(0x80).bitwiseOR(F.shiftright(cp, 6).bitwiseAND(F.lit(0x3F)))
-    b4 = F.lit(0x80).bitwiseOR(cp.bitwiseAND(F.lit(0x3F)))
-    return F.decode(F.unhex(F.concat(byte(b1), byte(b2), byte(b3), byte(b4))), "UTF-8")
-
-
-def word_edit_distance(pred_tokens: Column, ref_tokens: Column, vocab: Column | None = None) -> Column:
-    """Word-level Levenshtein distance between two token arrays (native).
-
-    ``vocab`` must be a *column* holding the pair's distinct words (bind it
-    with ``withColumn`` first); an inline expression would be re-evaluated for
-    every word inside the lambda.
-    """
-    if vocab is None:
-        vocab = F.array_distinct(F.concat(pred_tokens, ref_tokens))
-    enc = lambda toks: F.array_join(F.transform(
-        toks, lambda w: _cp_char(F.lit(0x10000) + F.array_position(vocab, w) - 1)), "")
-    return F.levenshtein(enc(pred_tokens), enc(ref_tokens))
+def _tokens(text: str) -> Column:
+    return F.coalesce(tokenize(text), F.array().cast("array<string>"))
 
 
 def word_error_rate(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """Corpus WER."""
-    t = (df.select(tokenize(pred).alias("_p"), tokenize(ref).alias("_r"))
-           .withColumn("_v", F.array_distinct(F.concat("_p", "_r"))))
-    d = word_edit_distance(F.col("_p"), F.col("_r"), F.col("_v"))
-    return t.agg((F.sum(d).cast("double")
-                  / F.nullif(F.sum(F.size("_r")), F.lit(0)).cast("double")).alias("wer"))
+    t = df.select(_tokens(pred).alias("_p"), _tokens(ref).alias("_r"))
+    return t.agg((F.sum(word_distance("_r", "_p")).cast("double") / F.nullif(F.sum(F.size("_r")), F.lit(0)).cast("double")).alias("wer"))
+
+
+def _numbered(df: DataFrame, pred: str, ref: str) -> DataFrame:
+    return materialize(df.select(F.col(pred).alias("_pred"), F.col(ref).alias("_ref"), F.monotonically_increasing_id().alias(_ROW)), "pairs_numbered")
 
 
 def ngram_counts(df: DataFrame, key: str, pred: str = "prediction", ref: str = "reference",
                  max_n: int = MAX_N) -> DataFrame:
-    """``(key, n, gram, cp, cr)``: n-gram counts on each side, per pair."""
+    """``(key, n, gram, cp, cr)``: n-gram counts on each side, per pair; ``key`` must be unique."""
     def grams(tokens: Column, n: int) -> Column:
         idx = F.sequence(F.lit(0), F.size(tokens) - n)
         return F.when(F.size(tokens) >= n, F.transform(
@@ -74,7 +58,7 @@ def ngram_counts(df: DataFrame, key: str, pred: str = "prediction", ref: str = "
 
     # token arrays are bound as columns first: an expression used inside the
     # lambdas below would be re-evaluated for every n-gram
-    df = df.select(key, tokenize(pred).alias("_p"), tokenize(ref).alias("_r"))
+    df = df.select(key, _tokens(pred).alias("_p"), _tokens(ref).alias("_r"))
     p, r = F.col("_p"), F.col("_r")
     # one explode over all orders and both sides: the input plan runs once
     def tagger(n: int, ip: int):
@@ -88,9 +72,9 @@ def ngram_counts(df: DataFrame, key: str, pred: str = "prediction", ref: str = "
              .agg(F.sum("g.ip").alias("cp"), F.sum("g.ir").alias("cr")))
 
 
-def corpus_bleu(df: DataFrame, key: str, pred: str = "prediction", ref: str = "reference") -> DataFrame:
+def corpus_bleu(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """Corpus BLEU x 100 with brevity penalty, no smoothing (A10)."""
-    g = ngram_counts(df, key, pred, ref)
+    g = ngram_counts(_numbered(df, pred, ref), _ROW, "_pred", "_ref")
     per_n = g.groupBy("n").agg(F.sum(F.least("cp", "cr")).alias("m"), F.sum("cp").alias("t"),
                                F.sum("cr").alias("tr"))
     # unigram totals are the corpus lengths: one aggregate, no join
@@ -105,43 +89,32 @@ def corpus_bleu(df: DataFrame, key: str, pred: str = "prediction", ref: str = "r
     return agg.select(bleu.alias("bleu"), c.alias("pred_len"), r.alias("ref_len"))
 
 
-def rouge_n(df: DataFrame, key: str, pred: str = "prediction", ref: str = "reference") -> DataFrame:
+def rouge_n(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """Mean ROUGE-1 and ROUGE-2 F1 over pairs."""
-    g = ngram_counts(df, key, pred, ref, max_n=2)
-    per = g.groupBy(key, "n").agg(F.sum(F.least("cp", "cr")).alias("o"), F.sum("cp").alias("tp"),
-                                  F.sum("cr").alias("tr"))
+    rows = _numbered(df, pred, ref)
+    g = ngram_counts(rows, _ROW, "_pred", "_ref", max_n=2)
+    per = g.groupBy(_ROW, "n").agg(F.sum(F.least("cp", "cr")).alias("o"), F.sum("cp").alias("tp"), F.sum("cr").alias("tr"))
     f1 = F.when(F.col("o") == 0, F.lit(0.0)).otherwise(2 * F.col("o") / (F.col("tp") + F.col("tr")))
-    scored = per.select(key, "n", f1.alias("f"))
-    cells = df.select(key, F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
-    full = cells.join(scored, [key, "n"], "left").fillna(0.0, ["f"])
-    return full.agg(F.avg(F.when(F.col("n") == 1, F.col("f"))).alias("rouge1"),
-                    F.avg(F.when(F.col("n") == 2, F.col("f"))).alias("rouge2"))
+    # pairs without n-grams have no group and add 0
+    total = per.agg(F.sum(F.when(F.col("n") == 1, f1)).alias("s1"), F.sum(F.when(F.col("n") == 2, f1)).alias("s2"))
+    n = rows.agg(F.nullif(F.count("*"), F.lit(0)).alias("n"))
+    mean = lambda s: F.when(F.col("n").isNotNull(), F.coalesce(F.col(s), F.lit(0.0)) / F.col("n"))
+    return total.crossJoin(n).select(mean("s1").alias("rouge1"), mean("s2").alias("rouge2"))     # one row each
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence, bit-parallel over ``a``."""
-    if not a or not b:
-        return 0
-    peq: dict = {}
-    for i, x in enumerate(a):
-        peq[x] = peq.get(x, 0) | (1 << i)
-    mask = (1 << len(a)) - 1
-    s = mask
-    for y in b:
-        u = s & peq.get(y, 0)
-        s = ((s + u) | (s - u)) & mask
-    return len(a) - bin(s).count("1")
-
-
-@F.pandas_udf(LongType())
-def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+def _mean_f1(hits: Column, sizes: Column, name: str) -> Column:
+    return F.avg(F.when(hits == 0, F.lit(0.0)).otherwise(2 * hits / sizes)).alias(name)
 
 
 def rouge_l(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """Mean ROUGE-L F1 over pairs."""
-    df = df.select(tokenize(pred).alias("_p"), tokenize(ref).alias("_r"))
-    p, r = F.col("_p"), F.col("_r")
-    lcs = _lcs_udf(p, r)
-    f = F.when(lcs == 0, F.lit(0.0)).otherwise(2 * lcs / (F.size(p) + F.size(r)))
-    return df.agg(F.avg(f).alias("rougeL"))
+    t = df.select(_tokens(pred).alias("_p"), _tokens(ref).alias("_r")).withColumn("_n", common_length("_r", "_p"))
+    return t.agg(_mean_f1(F.col("_n"), F.size("_p") + F.size("_r"), "rougeL"))
+
+
+def rouge_lsum(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
+    """Mean ROUGE-Lsum F1 over pairs of texts whose lines are sentences."""
+    lines = lambda c: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "\n"), lambda x: tokenize(x))
+    t = df.select(lines(pred).alias("_p"), lines(ref).alias("_r")).withColumn("_n", union_length("_r", "_p"))
+    size = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + F.size(x))
+    return t.agg(_mean_f1(F.col("_n"), size("_p") + size("_r"), "rougeLsum"))

@@ -518,6 +518,38 @@ ORACLES.update({
 _NGRAM_ORACLES = {"corpus_bleu", "rouge_n"}
 
 
+# Dynamic programmes as recursive tables, a left token a step: within a step the
+# dependence on the cell before is a running minimum or maximum.
+WORDS_SQL = f"""
+wr AS (SELECT pair_id AS k, {tokenize_sql('reference')} AS r, {tokenize_sql('corrected')} AS p FROM val_sent),
+rt AS MATERIALIZED (SELECT k, unnest(r) AS w, generate_subscripts(r, 1) AS i FROM wr),
+pt AS MATERIALIZED (SELECT k, unnest(p) AS w, generate_subscripts(p, 1) AS j FROM wr)"""
+
+WER_SQL = WORDS_SQL + """,
+lev AS (
+  SELECT k, 0::BIGINT AS i, unnest(range(0, len(p) + 1)) AS j, unnest(range(0, len(p) + 1)) AS d FROM wr
+  UNION ALL
+  SELECT k, i + 1, j, min(CASE WHEN j = 0 THEN i + 1 ELSE least(d + 1, before + (rw <> pw)::BIGINT) END - j) OVER (PARTITION BY k ORDER BY j) + j
+  FROM (SELECT l.*, rt.w AS rw, pt.w AS pw, lag(l.d) OVER (PARTITION BY l.k ORDER BY l.j) AS before
+        FROM lev l JOIN rt ON rt.k = l.k AND rt.i = l.i + 1 LEFT JOIN pt ON pt.k = l.k AND pt.j = l.j))"""
+
+LCS_SQL = """
+lcs AS (
+  SELECT k, 0::BIGINT AS i, unnest(range(0, len(p) + 1)) AS j, 0::BIGINT AS n FROM lp
+  UNION ALL
+  SELECT k, i + 1, j, max(CASE WHEN j > 0 AND rw = pw THEN before + 1 ELSE n END) OVER (PARTITION BY k ORDER BY j)
+  FROM (SELECT l.*, rt.w AS rw, pt.w AS pw, lag(l.n) OVER (PARTITION BY l.k ORDER BY l.j) AS before
+        FROM lcs l JOIN rt ON rt.k = l.k AND rt.i = l.i + 1 LEFT JOIN pt ON pt.k = l.k AND pt.j = l.j))"""
+
+ORACLES.update({
+    "word_error_rate": """
+        SELECT round(sum(d)::DOUBLE / sum(len(r))::DOUBLE, 6) AS wer FROM lev JOIN wr USING (k) WHERE i = len(r) AND j = len(p)""",
+    "rouge_l": """
+        SELECT round(avg(CASE WHEN n = 0 THEN 0.0 ELSE 2.0 * n / (len(r) + len(p)) END), 6) AS "rougeL" FROM lcs JOIN wr USING (k) WHERE i = len(r) AND j = len(p)""",
+})
+_SEQUENCE_SQL = {"word_error_rate": WER_SQL, "rouge_l": WORDS_SQL + ",\nlp AS (SELECT k, r, p FROM wr)," + LCS_SQL}
+
+
 
 
 ORACLES.update({
@@ -598,6 +630,8 @@ def oracle(name: str) -> str:
         base = base + "," + TERMS_SQL
     if name in _NGRAM_ORACLES:
         base = base + "," + NGRAMS_SQL
+    if name in _SEQUENCE_SQL:
+        base = base + "," + _SEQUENCE_SQL[name]
     if name in _CONTEXT_ORACLES:
         base = base + "," + CONTEXT_SQL
     return base + ORACLES[name]

@@ -497,13 +497,13 @@ def q_word_error_rate(spark, sf):
 
 def q_corpus_bleu(spark, sf):
     from ..operators.textmetrics import corpus_bleu
-    b = corpus_bleu(_pred_ref(spark, sf), "pair_id")
+    b = corpus_bleu(_pred_ref(spark, sf))
     return b.select(F.round("bleu", R).alias("bleu"), "pred_len", "ref_len")
 
 
 def q_rouge_n(spark, sf):
     from ..operators.textmetrics import rouge_n
-    r = rouge_n(_pred_ref(spark, sf), "pair_id")
+    r = rouge_n(_pred_ref(spark, sf))
     return r.select(F.round("rouge1", R).alias("rouge1"), F.round("rouge2", R).alias("rouge2"))
 
 
@@ -513,7 +513,16 @@ def q_rouge_l(spark, sf):
     return r.select(F.round("rougeL", R).alias("rougeL"))
 
 
+def q_rouge_lsum(spark, sf):
+    """Texts of several lines: the validation lines of ten neighbouring documents."""
+    from ..operators.textmetrics import rouge_lsum
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair_id", c))), lambda x: x[c]), "\n").alias(c)
+    texts = _pred_ref(spark, sf).groupBy(F.expr("pair_id div 1000000").alias("part")).agg(text("prediction"), text("reference"))
+    return rouge_lsum(texts).select(F.round("rougeLsum", R).alias("rougeLsum"))
+
+
 QUERIES.update({
+    "rouge_lsum": q_rouge_lsum,
     "word_error_rate": q_word_error_rate,
     "corpus_bleu": q_corpus_bleu,
     "rouge_n": q_rouge_n,
