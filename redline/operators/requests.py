@@ -4,7 +4,7 @@ A request is a JSON body ``{"sentence": str, "top_k": int}``.  Parsing uses
 the VARIANT type, which tells a missing field, a JSON null, a string and a
 number apart.  Routing follows the service's order of checks:
 
-0. no model loaded -> 503 ``Model not available``, whatever the body;
+0. no model loaded -> 503 ``Model unavailable.``, whatever the body;
 1. body: malformed, or not a JSON object -> treated as ``{}``;
 2. ``top_k`` (default 3): numbers truncate toward zero, integer strings
    parse, booleans are 1/0; anything else -> 400 ``top_k must be an integer``
@@ -35,7 +35,7 @@ MSG_OK = "Typos checked successfully."
 MSG_EMPTY = "Input sentence was empty."
 ERR_SENTENCE = "'sentence' must be a string"
 ERR_TOP_K = "top_k must be an integer"
-ERR_MODEL = "Model not available"
+ERR_MODEL = "Model unavailable."
 #: A number this large or larger means all tags.
 TOP_K_LIMIT = 1 << 31
 
@@ -104,12 +104,12 @@ def check_typos(routed: DataFrame, model: DataFrame, vocab: DataFrame,
     # of requests back onto their scores.
     is_score_in = F.col("route") == "score"
     req = routed.select(
-        F.struct("_id", *keys).alias("_key"),
+        "_id", F.struct("_id", *keys).alias("_key"),
         F.when(is_score_in, F.col("sentence")).otherwise(F.lit("")).alias("_s"),
         F.coalesce(F.col("top_k"), F.lit(DEFAULT_TOP_K).cast("long")).alias("_k"),
         F.struct("status", "error", "message", "route", "sentence").alias("_req"))
     scored = correct_verbose(req, model, vocab, key="_key", text="_s", top_k_col="_k",
-                             pass_through="_req", num_tags=num_tags, ids=ids)
+                             pass_through="_req", num_tags=num_tags, ids=ids, row_id="_id")
     j = scored.select(*[F.col("_key." + k).alias(k) for k in keys],
                       "_req.status", "_req.error", "_req.message", "_req.route", "_req.sentence",
                       F.col("corrected").alias("_corrected"),

@@ -187,13 +187,15 @@ def full_distribution(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
 def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
                     key: str = "line_no", text: str = "sentence", top_k_col=None,
                     default_k: int = 3, clamp: bool = True, pass_through: str | None = None,
-                    num_tags: int | None = None, ids: dict | None = None) -> DataFrame:
+                    num_tags: int | None = None, ids: dict | None = None, row_id: str | None = None) -> DataFrame:
     """As ``correct_batch`` plus per-token details.
 
     ``token_details`` = array of ``struct(token, pred_tag, top_probs map, top
     array)`` in token order; ``top`` keeps the ranked order the map loses.
     ``top_k`` (per row, or ``default_k``) is clamped to [1, vocabulary size].
-    As there, every row of ``sentences`` is a sentence of its own.
+    As there, every row of ``sentences`` is a sentence of its own: rows are
+    numbered and written first, unless ``row_id`` names a number that the rows
+    of a written table already carry.
     """
     if clamp and num_tags is None:
         num_tags = vocab.count()
@@ -201,7 +203,8 @@ def correct_verbose(sentences: DataFrame, model: DataFrame, vocab: DataFrame,
     k_col = (F.col(top_k_col) if top_k_col else F.lit(default_k or 0)).alias("_k")
     carry = [k_col, F.col(key).alias("_name")] + ([F.col(pass_through).alias("_pass")] if pass_through else [])
     cols = dict.fromkeys(c for c in (key, text, top_k_col, pass_through) if c)
-    rows = materialize(sentences.select(*cols).withColumn("_sid", F.monotonically_increasing_id()), "sentences")
+    rows = (sentences.select(*cols, F.col(row_id).alias("_sid")) if row_id
+            else materialize(sentences.select(*cols).withColumn("_sid", F.monotonically_increasing_id()), "sentences"))
     toks = sentence_tokens(rows, "_sid", text, *carry)
     first = F.col("pos").isNull() | (F.col("pos") == 0)
     for c in ["_name"] + ["_pass"] * bool(pass_through):  # like the text: one copy per sentence, back with the regroup

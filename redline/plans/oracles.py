@@ -393,6 +393,7 @@ _RESPONSE_SELECT = ("SELECT conv_id, turn, status, error, message, original_sent
 ORACLES.update({
     "parse_requests": "SELECT conv_id, turn, sentence, top_k, sentence_kind FROM parsed_rq",
     "route_requests": "SELECT conv_id, turn, status, error, message FROM routed2",
+    "unavailable_responses": "SELECT conv_id, turn, 503 AS status, 'Model unavailable.' AS error FROM rq_src",
     "check_typos": _RESPONSE_SELECT,
     "correct_stream": _RESPONSE_SELECT,
     "render_token_table": """
@@ -400,7 +401,7 @@ ORACLES.update({
         FROM rq_scored""",
 })
 
-_REQUEST_ORACLES = {"parse_requests", "route_requests", "check_typos", "correct_stream",
+_REQUEST_ORACLES = {"parse_requests", "route_requests", "unavailable_responses", "check_typos", "correct_stream",
                     "render_token_table"}
 
 
@@ -476,6 +477,9 @@ ORACLES.update({
         FROM bl_corr b""",
     "dataset_from_csv": ORACLES["token_accuracy"],
     "model_roundtrip": ORACLES["token_accuracy"],
+    "user_metrics": """
+        SELECT count_if(pred = label) AS n_correct, count(*) AS n_positions, count_if(label <> (SELECT tag_id FROM keep_id) AND pred = label) AS n_recalled,
+               count_if(label <> (SELECT tag_id FROM keep_id)) AS n_changed, count_if(pred <> (SELECT tag_id FROM keep_id)) AS n_proposed FROM val_scored""",
 })
 
 _TERM_ORACLES = {"term_dictionary", "term_list_roundtrip", "sentences_roundtrip", "verbose_jsonl_roundtrip"}

@@ -273,6 +273,12 @@ def q_route_requests(spark, sf):
     return r.select("conv_id", "turn", "status", "error", "message")
 
 
+def q_unavailable_responses(spark, sf):
+    """Every request while no model is loaded."""
+    from ..streaming.correct_stream import respond
+    return respond(requests_from_conversations(_conversations(spark, sf)), None, None).select("conv_id", "turn", "status", "error")
+
+
 def _details_text(col="token_details"):
     return F.array_join(F.transform(col, lambda d: F.concat_ws(
         "|", d["token"], d["pred_tag"],
@@ -343,6 +349,7 @@ def q_render_token_table(spark, sf):
 QUERIES.update({
     "parse_requests": q_parse_requests,
     "route_requests": q_route_requests,
+    "unavailable_responses": q_unavailable_responses,
     "check_typos": q_check_typos,
     "correct_stream": q_correct_stream,
     "stream_latency": q_stream_latency,
@@ -452,6 +459,16 @@ def q_dataset_from_csv(spark, sf):
                     F.round("cross_entropy", R).alias("cross_entropy"))
 
 
+def q_user_metrics(spark, sf):
+    """Metrics of the caller's own beside the built-in ones (U3): recall of changed tokens, and how often a change is proposed."""
+    c = build_corpus(spark, sf)
+    keep = vocab.vocab_ids(c.vocab)[TG.KEEP]
+    changed = lambda pred, label: [F.count_if((label != keep) & (pred == label)).alias("n_recalled"), F.count_if(label != keep).alias("n_changed")]
+    proposed = lambda pred, label: [F.count_if(pred != keep).alias("n_proposed")]
+    r = metrics.evaluate_tagger(c.split("validation"), count_tagger(c), c.vocab, metric_fns=(changed, proposed))
+    return r.select("n_correct", "n_positions", "n_recalled", "n_changed", "n_proposed")
+
+
 def q_model_roundtrip(spark, sf):
     from ..session import scratch_path
     from ..sources import io
@@ -473,6 +490,7 @@ QUERIES.update({
     "sentences_roundtrip": q_sentences_roundtrip,
     "verbose_jsonl_roundtrip": q_verbose_jsonl_roundtrip,
     "model_roundtrip": q_model_roundtrip,
+    "user_metrics": q_user_metrics,
     "dataset_from_csv": q_dataset_from_csv,
 })
 

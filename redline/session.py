@@ -70,7 +70,6 @@ def checkpoint_root(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         cp = tempfile.mkdtemp(prefix="redline-ckpt-")
         atexit.register(shutil.rmtree, cp, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", cp)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(cp)
     return cp.rstrip("/")

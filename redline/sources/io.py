@@ -6,9 +6,11 @@ the DataFrame writer, so they are distributed and atomic per job.
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import artifacts
 from ..functions.text import is_blank, py_strip
 from ..operators.vocab import vocab_lines
 
@@ -106,11 +108,21 @@ def write_tag_vocab(vocab: DataFrame, path: str) -> None:
 
 
 def read_tag_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """JSON object ``tag -> id`` back to ``(tag, tag_id)`` (S4): one line, or one entry a line."""
+    """JSON object ``tag -> id`` back to ``(tag, tag_id)``.
+
+    Files of one entry a line are read line by line, by any number of tasks.  A
+    file laid out otherwise is read whole; one that is no object of integers
+    fails the read.
+    """
     raw = spark.read.text(path).where(~is_blank(F.col("value")))
     body = F.regexp_replace(py_strip(F.col("value")), r"^\{|[,}]\z", "")
-    m = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), "map<string,int>")
-    return raw.select(F.explode(m).alias("tag", "tag_id"))
+    entries = raw.select(F.from_json(F.concat(F.lit("{"), body, F.lit("}")), "map<string,int>").alias("m"))
+    odd = lambda m: F.col(m).isNull() | F.exists(F.map_values(m), lambda v: v.isNull())
+    if entries.where(odd("m")).isEmpty():
+        return entries.select(F.explode("m").alias("tag", "tag_id"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,int>").alias("m"))
+    checked = F.when(odd("m"), F.raise_error(F.lit("the vocabulary is no JSON object of integers")).cast("map<string,int>")).otherwise(F.col("m"))
+    return whole.select(F.explode(checked).alias("tag", "tag_id"))
 
 
 def read_term_list(spark: SparkSession, path: str) -> DataFrame:
@@ -132,17 +144,16 @@ def read_term_dict(spark: SparkSession, path: str) -> DataFrame:
                                         F.get(parts, 1).cast("long").alias("freq"))
 
 
-def save_model(model: DataFrame, vocab: DataFrame, path: str) -> None:
-    """Persist a fitted count tagger with its vocabulary (K6)."""
-    model.write.mode("overwrite").parquet(f"{path}/model")
-    vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+def save_model(model: DataFrame, vocab: DataFrame, path: str) -> str:
+    """Publish a fitted count tagger with its vocabulary as a new version; its name (K6)."""
+    return artifacts.publish(model.sparkSession, path, model=model, vocab=vocab)
 
 
 def load_model(spark: SparkSession, path: str):
-    """(model, vocab), or None when the artifacts cannot be read (K6)."""
+    """``(model, vocab)`` of the newest whole version, or False on any failure (K6); loading again gives the same."""
     try:
-        m, v = spark.read.parquet(f"{path}/model"), spark.read.parquet(f"{path}/vocab")
-        m.schema, v.schema  # noqa: B018 - force the file listing
-        return m, v
-    except Exception:  # noqa: BLE001
-        return None
+        found = artifacts.load(spark, path, "model", "vocab")
+    except PySparkException as e:
+        artifacts.log.warning("no model could be read from %s: %s", path, e.getCondition())
+        return False
+    return found[1:] if found else False

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..operators.requests import MSG_OK, check_typos, parse_requests, route_requests
 from ..operators.vocab import vocab_ids
 from ..session import scratch_path
+from ..sources import artifacts
 
 BODY_SCHEMA = "request_id string, body string"
 
@@ -38,25 +39,43 @@ def respond(requests: DataFrame, model: DataFrame | None, vocab: DataFrame | Non
     return check_typos(routed, model, vocab, keys, num_tags, ids)
 
 
-def run_correct_stream(spark: SparkSession, source: str, model: DataFrame, vocab: DataFrame, schema=BODY_SCHEMA,
+def run_correct_stream(spark: SparkSession, source: str, model: DataFrame | None, vocab: DataFrame | None, schema=BODY_SCHEMA,
                        keys=("request_id",), to_requests: Callable[[DataFrame], DataFrame] | None = None,
                        file_format: str = "json", out_dir: str | None = None, checkpoint: str | None = None,
-                       max_files_per_trigger: int = 1):
+                       max_files_per_trigger: int = 1, model_path: str | None = None):
     """Run the stream to completion (``availableNow``); returns (responses, latency).
 
+    With ``model_path`` each micro-batch uses the newest whole version published
+    there (``sources.artifacts``) and says so in ``model_version``; a version
+    that appears while the stream runs is taken up with the next batch.  Without
+    a model every request is answered 503.
+
     ``to_requests`` turns rows of the source into ``(*keys, body)``; by default
     the source's rows have these columns.
     """
     out_dir = out_dir or scratch_path(spark, "stream_out")
     checkpoint = checkpoint or scratch_path(spark, "stream_ckpt")
     times = scratch_path(spark, "stream_times")
-    ids, num_tags = vocab_ids(vocab), vocab.count()
+    held: dict = {"version": None}
+
+    def hold(version, model, vocab):
+        # what a plan needs of the vocabulary is looked up once a version
+        held.update(version=version, model=model, vocab=vocab, ids=None if model is None else vocab_ids(vocab), num_tags=None if model is None else vocab.count())
+
+    hold(None, model, vocab)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         began = time.perf_counter()
+        if model_path and artifacts.newest(spark, model_path) != held["version"]:
+            found = artifacts.load(spark, model_path, "model", "vocab")
+            if found:
+                hold(*found)
         requests = to_requests(batch) if to_requests else batch
         at = f"{out_dir}/batch_id={batch_id}"
-        respond(requests, model, vocab, keys, num_tags, ids).write.mode("overwrite").parquet(at)
+        out = respond(requests, held["model"], held["vocab"], keys, held["num_tags"], held["ids"])
+        if model_path:
+            out = out.withColumn("model_version", F.lit(held["version"]).cast("string"))
+        out.write.mode("overwrite").parquet(at)
         n = spark.read.parquet(at).count()
         took = (time.perf_counter() - began) * 1000
         (spark.createDataFrame([(n, took)], "n_requests long, duration_ms double").coalesce(1)
@@ -68,7 +87,8 @@ def run_correct_stream(spark: SparkSession, source: str, model: DataFrame, vocab
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir), spark.read.parquet(times)
+    # batches answered without a model have fewer columns
+    return spark.read.option("mergeSchema", True).parquet(out_dir), spark.read.parquet(times)
 
 
 def with_latency(responses: DataFrame, latency: DataFrame) -> DataFrame:
