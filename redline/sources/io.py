@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import artifacts
+from .csvrecords import records
 from ..functions.text import is_blank, py_strip
 from ..operators.vocab import vocab_lines
 
@@ -35,12 +36,18 @@ def read_pairs_csv(spark: SparkSession, path: str, original: str = "original_tex
 
     The files' columns must come in one order: a file whose header differs from
     the first one's fails the read (columns are never taken by position alone).
-    Embedded newlines make a file one task; rows are dealt out after the read.
+    A file of any size is read by as many tasks as it has blocks
+    (``csvrecords``); a row with another number of fields fails the read.
     """
-    opts = dict(header=True, multiLine=True, escape='"', mode="FAILFAST")
-    names = spark.read.options(**opts, inferSchema=False).csv(path).columns
+    opts = dict(escape='"', mode="FAILFAST")
+    names = spark.read.options(**opts, header=True, multiLine=True, inferSchema=False).csv(path).columns
     schema = ", ".join(f"`{n}` string" for n in names)
-    df = spark.read.options(**opts, enforceSchema=False).schema(schema).csv(path)
+    rows = records(spark, path)
+    row = F.from_csv("text", schema, opts).alias("r")
+    head = rows.where("record = 1").select(row)
+    if not head.where(F.array(*[F.col(f"r.`{n}`") for n in names]) != F.array(*[F.lit(n) for n in names])).isEmpty():
+        raise ValueError(f"not every file in {path} has the columns {', '.join(names)} in this order")
+    df = rows.where("record > 1").select(row).select(*[F.col(f"r.`{n}`").alias(n) for n in names])
     return df.withColumn(original, na_to_null(original)).withColumn(corrected, na_to_null(corrected))
 
 

@@ -20,9 +20,12 @@ def test_lines_follow_file_names_not_sizes(spark, tmp_path):
 
 def test_csv_columns_are_never_taken_by_position(spark, tmp_path):
     (tmp_path / "a.csv").write_text('original_text,corrected_text\n"a ""q"", b","c\nd"\nNA,x\n')
-    good = io.read_pairs_csv(spark, str(tmp_path)).collect()
+    good = sorted(io.read_pairs_csv(spark, str(tmp_path)).collect(), key=lambda r: r.corrected_text)
     assert (good[0].original_text, good[0].corrected_text) == ('a "q", b', "c\nd") and good[1].original_text is None
     (tmp_path / "b.csv").write_text("corrected_text,original_text\nright,wrong\n")
+    with pytest.raises(ValueError, match="in this order"):
+        io.read_pairs_csv(spark, str(tmp_path)).collect()
+    (tmp_path / "b.csv").write_text("original_text,corrected_text\na,b,c\n")
     with pytest.raises(Exception):
         io.read_pairs_csv(spark, str(tmp_path)).collect()
 
