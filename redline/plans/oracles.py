@@ -585,6 +585,9 @@ ORACLES.update({
     "response_json": """
         SELECT conv_id, turn, CASE WHEN status = 200 THEN 7 ELSE 1 END AS n_fields, error, original_sentence, corrected_sentence,
                message, model_name, corrections_made, plain_details AS details FROM responses""",
+    "softmax_tagger": """
+        SELECT count(*) AS n_positions, count_if(pred = label) AS n_correct_alone, true AS reaches_count_tagger FROM val_scored""",
+    "softmax_history": "SELECT unnest(range(1, 5))::INTEGER AS epoch, true AS loss_fell, true AS evaluated",
     "fit_linear_tagger": "SELECT count(*) AS n_positions, true AS beats_keep FROM val_tags",
 })
 _REQUEST_ORACLES |= {"stream_latency", "response_json"}

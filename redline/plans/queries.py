@@ -585,7 +585,32 @@ def q_fit_linear_tagger(spark, sf):
     return pred.agg(F.count(F.lit(1)).alias("n_positions"), (F.count_if(hit) >= F.count_if(F.col("label") == keep)).alias("beats_keep"))
 
 
+def q_softmax_tagger(spark, sf):
+    """The two-level softmax head beside the count tagger, on the validation split."""
+    from ..operators import softmax_head
+    c = build_corpus(spark, sf)
+    train, held = c.split("train"), c.split("validation")
+    tagger = softmax_head.fit_softmax_tagger(train, held)
+    rows = softmax_head.examples(softmax_head.context_counts(held), tagger.candidates)
+    alone = metrics.evaluate_tagger(held, count_tagger(c), c.vocab).select(F.col("n_correct").alias("n_correct_alone"))
+    r = softmax_head.evaluate_softmax(rows, tagger).crossJoin(alone)          # one row each
+    return r.select("n_positions", "n_correct_alone", (F.col("n_correct") >= F.col("n_correct_alone")).alias("reaches_count_tagger"))
+
+
+def q_softmax_history(spark, sf):
+    """One row an epoch of a published run that stopped after its third epoch and was started again."""
+    from ..operators import softmax_head
+    from ..session import scratch_path
+    c, path = build_corpus(spark, sf), scratch_path(spark, "softmax_run")
+    softmax_head.fit_softmax_tagger(c.split("train"), c.split("validation"), epochs=3, path=path)
+    history = softmax_head.fit_softmax_tagger(c.split("train"), c.split("validation"), epochs=4, path=path).history
+    rows = [(h["epoch"], i == 0 or h["loss"] < history[i - 1]["loss"], h["accuracy"] is not None) for i, h in enumerate(history)]
+    return spark.createDataFrame(rows, "epoch int, loss_fell boolean, evaluated boolean")
+
+
 QUERIES.update({
+    "softmax_tagger": q_softmax_tagger,
+    "softmax_history": q_softmax_history,
     "external_scorer_eval": q_external_scorer_eval,
     "fit_linear_tagger": q_fit_linear_tagger,
 })
