@@ -581,6 +581,7 @@ ORACLES.update({
         SELECT v.pair_id, v.pos::INTEGER AS pos, (SELECT count(*) FROM vocab) AS n_tags,
                coalesce(m.n, 1) AS n_seen, round(coalesce(m.total, 1.0), 6) AS total, round(coalesce(m.best, 1.0), 6) AS best
         FROM val_tags v LEFT JOIN (SELECT token, count(*) AS n, sum(prob) AS total, max(prob) AS best FROM model GROUP BY token) m USING (token)""",
+    "latency_summary": "SELECT count(*) AS n_scored, true AS in_order FROM responses WHERE message = 'Typos checked successfully.'",
     "stream_latency": "SELECT count(*) AS n_requests, 0 AS n_untimed FROM responses",
     "response_json": """
         SELECT conv_id, turn, CASE WHEN status = 200 THEN 7 ELSE 1 END AS n_fields, error, original_sentence, corrected_sentence,
@@ -590,7 +591,10 @@ ORACLES.update({
     "softmax_history": "SELECT unnest(range(1, 5))::INTEGER AS epoch, true AS loss_fell, true AS evaluated",
     "fit_linear_tagger": "SELECT count(*) AS n_positions, true AS beats_keep FROM val_tags",
 })
-_REQUEST_ORACLES |= {"stream_latency", "response_json"}
+_REQUEST_ORACLES |= {"stream_latency", "latency_summary", "response_json"}
+
+
+ORACLES["sql_edit_tags"], ORACLES["sql_apply_tags"] = ORACLES["diff_to_tags"], ORACLES["apply_tags"]
 
 
 # --- tags in context ------------------------------------------------------

@@ -61,6 +61,22 @@ def q_diff_to_tags(spark, sf):
     return tagger.token_tags(_tagged(spark, sf))
 
 
+def q_sql_edit_tags(spark, sf):
+    """The alignment as SQL text over a table function."""
+    from ..sqlfunctions import register
+    register(spark)
+    pairs_ = build_corpus(spark, sf).tagged
+    return spark.sql("SELECT * FROM edit_tags(TABLE(SELECT pair_id, orig_tokens, corr_tokens FROM {pairs}))", pairs=pairs_)
+
+
+def q_sql_apply_tags(spark, sf):
+    """Tags aligned and applied by SQL functions."""
+    from ..sqlfunctions import register
+    register(spark)
+    return spark.sql("""SELECT pair_id, apply_tags(orig_tokens, a.tags) AS applied_text
+                        FROM (SELECT pair_id, orig_tokens, align_tokens(orig_tokens, corr_tokens) AS a FROM {pairs})""", pairs=build_corpus(spark, sf).tagged)
+
+
 def q_gap_tags(spark, sf):
     g = align.gap_inserts(_tagged(spark, sf))
     return g.select("pair_id", "gap_pos", F.array_join("ins_tokens", " ").alias("ins_text"))
@@ -218,6 +234,8 @@ QUERIES = {
     "minimal_edit_filter": q_minimal_edit_filter,
     "tokenize": q_tokenize,
     "diff_to_tags": q_diff_to_tags,
+    "sql_edit_tags": q_sql_edit_tags,
+    "sql_apply_tags": q_sql_apply_tags,
     "gap_tags": q_gap_tags,
     "diff_roundtrip": q_diff_roundtrip,
     "apply_tags": q_apply_tags,
@@ -319,6 +337,15 @@ def q_stream_latency(spark, sf):
     return r.agg(F.count("*").alias("n_requests"), F.count_if((F.col("status") == 200) & F.col("processing_time_ms").isNull()).alias("n_untimed"))
 
 
+def q_latency_summary(spark, sf):
+    """Times differ from run to run: the row holds their count and that the quantiles lie in order inside the range."""
+    from ..streaming.correct_stream import latency_summary, with_latency
+    c = build_corpus(spark, sf)
+    s = latency_summary(with_latency(*_stream(spark, sf, c)))
+    inside = (F.col("fastest") > 0) & (F.col("fastest") <= F.col("p50")) & (F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("slowest"))
+    return s.select("n_scored", inside.alias("in_order"))
+
+
 def q_response_json(spark, sf):
     from ..operators.requests import response_json
     from ..streaming.correct_stream import respond
@@ -353,6 +380,7 @@ QUERIES.update({
     "check_typos": q_check_typos,
     "correct_stream": q_correct_stream,
     "stream_latency": q_stream_latency,
+    "latency_summary": q_latency_summary,
     "response_json": q_response_json,
     "render_token_table": q_render_token_table,
 })

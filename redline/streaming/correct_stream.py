@@ -91,6 +91,21 @@ def run_correct_stream(spark: SparkSession, source: str, model: DataFrame | None
     return spark.read.option("mergeSchema", True).parquet(out_dir), spark.read.parquet(times)
 
 
+def latency_summary(timed: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """``n_scored, n_batches, fastest, p50, p95, slowest`` of the scored rows' times.
+
+    Quantiles come from a sketch a micro-batch, merged: batches can be summed up
+    one by one, and their sketches kept beside their responses.
+    """
+    ms = F.col("processing_time_ms")
+    per = (timed.where(F.col("message") == MSG_OK).groupBy(batch)
+           .agg(F.count(ms).alias("n"), F.min(ms).alias("low"), F.max(ms).alias("high"), F.kll_sketch_agg_double(ms).alias("sketch")))
+    all_ = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_scored"), F.count("*").alias("n_batches"), F.min("low").alias("fastest"),
+                   F.max("high").alias("slowest"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    at = lambda q: F.when(F.col("n_scored") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+    return all_.select("n_scored", "n_batches", "fastest", at(0.5).alias("p50"), at(0.95).alias("p95"), "slowest")
+
+
 def with_latency(responses: DataFrame, latency: DataFrame) -> DataFrame:
     """Fill ``processing_time_ms`` of scored rows from their micro-batch."""
     per_row = latency.select(
