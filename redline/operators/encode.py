@@ -2,8 +2,10 @@
 
 The sub-word step is re-aimed: a word splits into pieces of at most
 ``PIECE_CHARS`` code points, and a piece's id is a stable hash bucket shifted
-past the special ids.  A real tokenizer plugs in through ``subword_fn``
-(any ``Column -> array<string>`` function, e.g. an Arrow pandas UDF).
+past the special ids.  A real tokenizer plugs in through ``subword_fn``, a
+``Column -> array<string>`` function.  One that runs in Python also has
+``of_words``, the same for an array of words, since no Python function runs
+inside a lambda (``functions.pieces.longest_match`` is one).
 
 Layout per example: ``<s>`` + pieces + ``</s>``, truncated to ``max_length``
 then right-padded; the label sits on the first piece of every word (its tag
@@ -78,8 +80,13 @@ def encode_examples(tagged: DataFrame, vocab: DataFrame, key: str = "pair_id",
                         .otherwise(F.coalesce(F.col("_ids")[t], F.lit(ids[KEEP]))))
     # no word beyond max_length - 2 can leave a piece: bind the words' pieces before the label step
     some = F.slice(F.arrays_zip(F.col("orig_tokens").alias("w"), F.col("tags").alias("t")), 1, max_length)
-    j = j.select(key, *carry, F.transform(some, lambda e: F.struct(
-        F.transform(subword_fn(e["w"]), piece_id).alias("ids"), tag_id(e["t"]).alias("lab"))).alias("_w"))
+    if hasattr(subword_fn, "of_words"):
+        j = j.withColumn("_s", some).withColumn("_cut", subword_fn.of_words(F.transform("_s", lambda e: e["w"])))
+        j = j.select(key, *carry, F.transform(F.arrays_zip(F.col("_s").alias("s"), F.col("_cut").alias("p")), lambda e: F.struct(
+            F.transform(e["p"], piece_id).alias("ids"), tag_id(e["s"]["t"]).alias("lab"))).alias("_w"))
+    else:
+        j = j.select(key, *carry, F.transform(some, lambda e: F.struct(
+            F.transform(subword_fn(e["w"]), piece_id).alias("ids"), tag_id(e["t"]).alias("lab"))).alias("_w"))
     pieces = F.flatten(F.transform("_w", lambda e: e["ids"]))
     labels = F.flatten(F.transform("_w", lambda e: F.transform(e["ids"], lambda p, k: F.when(k == 0, e["lab"]).otherwise(F.lit(IGNORE)))))
     j = j.select(key, *carry, pieces.alias("_p"), labels.alias("_l"))
