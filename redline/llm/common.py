@@ -157,7 +157,7 @@ def hash_ranges(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         ss, ee = np.maximum(s[lo:hi], a) - a, np.minimum(e[lo:hi], b) - a
         raw = (p[ee] - p[ss]) * powers(len(p), _INVERSE)[ss]
         if s[lo] < a:                                 # the one range that began before this part
-            raw[0] *= U64(pow(_BASE, a - int(s[lo]), 1 << 64))
+            raw[:1] *= U64(pow(_BASE, a - int(s[lo]), 1 << 64))
         total[lo:hi] += raw
     return mix(total)
 
