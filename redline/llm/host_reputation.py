@@ -27,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import write_table
+
 # The rules of the contract, (verdict, host, path).
 RULES = (
     ("allow", "com", "/"),
@@ -110,17 +112,19 @@ def _level(children: DataFrame, parents: DataFrame, key: str, unit: str, how: Re
 
 def host_posteriors(counts: DataFrame, how: Reputation = Reputation()) -> DataFrame:
     """``(host, n, rate, bound)`` from ``(host, n, k)``: labelled pages and good ones by host."""
-    c = counts.select("host", registered_domain("host").alias("domain"), suffix("host").alias("suffix"), "n", "k")
-    domains = c.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("top", F.lit(1))
+    # each level's counts and posteriors are read by the next one and again for the strength: written, not planned anew
+    kept = lambda df, name: write_table(df, name)[0]
+    c = kept(counts.select("host", registered_domain("host").alias("domain"), suffix("host").alias("suffix"), "n", "k"), "host_counts")
+    domains = kept(c.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("k").alias("k")), "host_domains")
+    suffixes = kept(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("top", F.lit(1)), "host_suffixes")
     top = suffixes.groupBy("top").agg((F.sum("k") + 1.0).alias("a"), (F.sum("n") - F.sum("k") + 1.0).alias("b"))
-    ps = _level(suffixes, top, "top", "suffix", how)
-    pd = _level(domains, ps, "suffix", "domain", how)
+    ps = kept(_level(suffixes, top, "top", "suffix", how), "host_suffix_level")
+    pd = kept(_level(domains, ps, "suffix", "domain", how), "host_domain_level")
     ph = _level(c, pd, "domain", "host", how)
     s = F.col("a") + F.col("b")
     rate = F.col("a") / s
     bound = rate - how.z * F.sqrt(rate * (1 - rate) / (s + 1))
-    return ph.join(counts.select("host", "n"), "host").select("host", "n", rate.alias("rate"), bound.alias("bound"))
+    return ph.join(c.select("host", "n"), "host").select("host", "n", rate.alias("rate"), bound.alias("bound"))
 
 
 def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules=RULES, how: Reputation = Reputation(), page_id: str = "page_id",
@@ -134,6 +138,7 @@ def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules=RULES, how: Reputa
     good = outcomes.where("good in (0, 1)").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("good").alias("k"))
     counts = (p.join(good, "page_id", "left").groupBy("host")
               .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")))
+    counts, _ = write_table(counts, "host_labelled")           # pages are parsed here and for the verdicts, not once a level
     hosts = host_posteriors(counts, how)
     text, verdict = matching_rule("host", "path", rules)
     anything = F.when((F.col("bound") >= how.min_rate) | (F.col("any_label") == 0), F.lit("allow")).otherwise(F.lit("block"))
