@@ -319,13 +319,15 @@ def shingle_classes(docs: DataFrame, k: int = SHINGLE, pct: int = THRESHOLD_PCT,
     sets = (rows.join(maybe.hint("shuffle_hash"), "doc_id", "left_semi")
             .mapInArrow(released(_class_rows(k)), "doc_id long, c1 long, c2 long, n long, toks array<long>"))
     sets, sets_at = write_table(sets, "join_sets", "lz4")
-    reps = sets.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
-    known, known_at = write_table(sets.join(reps, ["c1", "c2", "n"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("toks")).alias("toks")), "join_known", "lz4")
-    members, _ = write_table(known.select("doc_id", "rep"), "join_members")
-    classes = known.where("toks is not null").select("rep", "n", "toks").dropDuplicates(["rep"])
-    drop_tables(spark, sets_at)
+    # copies meet by their ids alone; the tokens are those of the representative's own row, looked up by its id
+    ids = sets.select("doc_id", "c1", "c2", "n")
+    reps, _ = write_table(ids.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("doc_id")), "join_reps")
+    members, _ = write_table(ids.join(reps.withColumnRenamed("doc_id", "rep"), ["c1", "c2", "n"]).select("doc_id", "rep"), "join_members")
+    one = reps.groupBy("doc_id").agg(F.min(F.struct("c1", "c2", "n")).alias("c")).select("doc_id", "c.*")      # an id on several texts stands for one class
+    key = ["doc_id", "c1", "c2", "n"]
+    classes = sets.join(one, key, "left_semi").dropDuplicates(key).select(F.col("doc_id").alias("rep"), "n", "toks")
     forget_shuffles(spark)
-    return counted.groupBy("doc_id").agg(F.max("n").alias("n")), members, classes, known_at
+    return counted.groupBy("doc_id").agg(F.max("n").alias("n")), members, classes, sets_at
 
 
 def similar_links(ranked: DataFrame, pct: int = THRESHOLD_PCT, orders=ORDERS) -> tuple[DataFrame, DataFrame | None]:
