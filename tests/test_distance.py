@@ -18,3 +18,40 @@ def _dp(a, b):
 @given(st.text(alphabet="abcé日 ", max_size=30), st.text(alphabet="abcé日 ", max_size=30))
 def test_bitparallel_equals_dp(a, b):
     assert bitparallel_levenshtein(a, b) == _dp(a, b)
+
+
+def test_batches_equal_single_pairs():
+    """Short and long, near and far pairs, nulls, characters beyond the basic plane; above ``most`` any larger number."""
+    import random
+
+    import pyarrow as pa
+
+    from redline.functions import distance as D
+    r = random.Random(3)
+    left, right = [], []
+    for i in range(400):
+        a = "".join(r.choice("abcé日 \U0001F600") for _ in range(r.choice([0, 3, 31, 33, 70, 200]) + r.randrange(9)))
+        b = list(a)
+        for _ in range(r.choice([0, 2, 12, 80])):
+            if b:
+                b[r.randrange(len(b))] = r.choice(["", "x", "yy"])
+        left.append(None if i % 40 == 7 else a)
+        right.append(None if i % 40 == 9 else "".join(b))
+    true = [None if a is None or b is None else bitparallel_levenshtein(a, b) for a, b in zip(left, right)]
+    assert D.text_distances(pa.array(left), pa.array(right), pa.nulls(400, pa.int64())).to_pylist() == true
+    most = [r.choice([0, 5, 31, 32, 60]) for _ in left]
+    got = D.text_distances(pa.array(left), pa.array(right), pa.array(most)).to_pylist()
+    assert all(g == t or (t is not None and min(g, t) > m) for g, t, m in zip(got, true, most))
+    assert D.text_distances(pa.array([None, ""], pa.string()), pa.array(["a", ""]), pa.nulls(2, pa.int64())).to_pylist() == [None, 0]
+
+
+def test_small_distances_step_together(monkeypatch):
+    """A batch of long minimal edits: all but the few longest pairs leave the single-pair path alone."""
+    import pyarrow as pa
+
+    from redline.functions import distance as D
+    calls = []
+    monkeypatch.setattr(D, "bitparallel_levenshtein", lambda *a: calls.append(a) or bitparallel_levenshtein(*a))
+    left = ["word " * 40 + str(i) for i in range(500)]
+    got = D.text_distances(pa.array(left), pa.array([x.replace("word", "wrod", 2) for x in left]), pa.nulls(500, pa.int64()))
+    assert set(got.to_pylist()) == {4} and len(calls) < 60
