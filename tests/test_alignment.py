@@ -101,3 +101,18 @@ def test_fast_path_predicate_and_rebuild_native(spark):
     out = diff_to_tags(df).select(
         "pair_id", (T.rebuild_from_tags("orig_tokens", "tags", "gap_tags") == F.col("corr_tokens")).alias("ok"))
     assert all(r.ok for r in out.collect())
+
+
+def test_texts_to_tags_is_tokenising_and_aligning(spark):
+    """One pass over texts gives what the two operators give, odd white space, nulls and empty texts included."""
+    from redline.operators.align import diff_to_tags, texts_to_tags
+    from redline.operators.pairs import tokenize_pairs
+    texts = ["a fuil stack", " a  full-stack\tx ", "", "   ", None, "a b c　", "\x1ca\x1fb\x0bc\x85d", "é 日本 \U0001F600", "a b a b", "b a"]
+    rows = [(10 * i + j, o, c) for i, o in enumerate(texts) for j, c in enumerate(texts)]
+    df = spark.createDataFrame(rows, "pair_id long, original_text string, corrected_text string")
+    names = ["pair_id", "orig_tokens", "corr_tokens", "tags", "gap_tags"]
+    got = texts_to_tags(df).select(*names)
+    want = diff_to_tags(tokenize_pairs(df)).select(*names)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_tagged_udf(") == 1            # both sides, tokens and tags from one call
