@@ -72,3 +72,18 @@ def test_full_distribution_and_metric_hook(spark):
     hook = lambda p, l: [F.count_if(l == p).alias("hits")]
     r = metrics.evaluate_tagger(t, m, v, metric_fns=[hook]).collect()[0]
     assert r.hits == r.n_correct
+
+
+def test_user_metrics_see_every_position_but_join_counts(spark, monkeypatch):
+    from redline.operators import metrics
+    t = _tagged(spark, [("teh cat " * 1100, "the cat " * 1100), ("teh", "teh")])
+    v = vocab.build_tag_vocab(t)
+    model = tagger.fit_count_tagger(t, v)
+    joined, plain = [], metrics.score_tokens
+    monkeypatch.setattr(metrics, "score_tokens", lambda df, *a: joined.append(df.count()) or plain(df, *a))
+    fn = lambda pred, label: [F.count("*").alias("rows"), F.count_if(pred == label).alias("hits")]
+    r = metrics.evaluate_tagger(t, model, v, metric_fns=(fn,)).first()
+    alone = metrics.evaluate_tagger(t, model, v).first()
+    assert r.rows == r.n_positions == 2201 and r.hits == r.n_correct == alone.n_correct
+    assert (alone.n_positions, round(alone.cross_entropy, 9)) == (2201, round(r.cross_entropy, 9))
+    assert joined == [3, 3]                           # (teh, REPLACE_the), (teh, KEEP), (cat, KEEP)
