@@ -60,6 +60,25 @@ def test_suffix_dedup_equals_counting_windows(spark, monkeypatch, split_bytes):
         assert r.kept_text == kept.decode("utf-8", "ignore")
 
 
+def test_suffix_dedup_sorts_without_the_segments_table(spark, monkeypatch):
+    """While the shards are sorted only the places of the segments are kept, and the shuffle that counted them is let go."""
+    import pathlib
+    events, sort, forget = [], sd._sorted_shards, sd.forget_shuffles
+
+    def seen(*a):
+        root = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+        events.append({x.name.rsplit("-", 1)[0] for x in root.iterdir()} - before)
+        return sort(*a)
+    before = {x.name.rsplit("-", 1)[0] for x in pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).iterdir()} - {"sa_segments"}
+    monkeypatch.setattr(sd, "_sorted_shards", seen)
+    monkeypatch.setattr(sd, "forget_shuffles", lambda s: (events.append("forgot"), forget(s)))
+    rows = [(i, "some words that come again and again in every text " * 3 + str(i)) for i in range(9)]
+    got = suffix_dedup(docs(spark, rows), length=50, k=12).collect()
+    assert all(r["n_removed"] > 100 for r in got) and len(got) == 9
+    at = next(i for i, e in enumerate(events) if e != "forgot")
+    assert "sa_segments" not in events[at] and events[:at] == ["forgot", "forgot"]
+
+
 def test_ngram_join_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(nj, "SMALL", 3)                     # large buckets: pivots, then blocks
     monkeypatch.setattr(nj, "BLOCK_MEMBERS", 3)
