@@ -55,3 +55,29 @@ def test_small_distances_step_together(monkeypatch):
     left = ["word " * 40 + str(i) for i in range(500)]
     got = D.text_distances(pa.array(left), pa.array([x.replace("word", "wrod", 2) for x in left]), pa.nulls(500, pa.int64()))
     assert set(got.to_pylist()) == {4} and len(calls) < 60
+
+
+def test_texts_that_differ_all_over_are_bounded_together(monkeypatch):
+    """With a limit, reversed texts of a batch do not step alone, but for the few longest; no pair within its limit is lost."""
+    import random
+
+    import pyarrow as pa
+
+    from redline.functions import distance as D
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randrange(2, 9))) for _ in range(300)]
+    left = [" ".join(r.choice(words) for _ in range(r.randrange(14, 90))) for _ in range(400)]
+    # every third only damaged: at its end, at its front or all over, up to and beyond the limit
+    def damaged(t, i):
+        b = list(t)
+        for _ in range(r.randrange(len(b) // 2)):
+            b[r.randrange(len(b)) if i % 2 else r.randrange(len(b) // 3)] = r.choice(["", "x", "yy"])
+        return "".join(b)
+    right = [damaged(t, i) if i % 3 == 0 else t[::-1] for i, t in enumerate(left)]
+    true = [bitparallel_levenshtein(a, b) for a, b in zip(left, right)]
+    most = [len(a) * 3 // 10 for a in left]
+    calls = []
+    monkeypatch.setattr(D, "bitparallel_levenshtein", lambda *a: calls.append(a) or bitparallel_levenshtein(*a))
+    got = D.text_distances(pa.array(left), pa.array(right), pa.array(most)).to_pylist()
+    assert all(g == t or min(g, t) > m for g, t, m in zip(got, true, most))
+    assert len(calls) < 200 and sum(t > m for t, m in zip(true, most)) > 260
