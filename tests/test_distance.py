@@ -81,3 +81,20 @@ def test_texts_that_differ_all_over_are_bounded_together(monkeypatch):
     got = D.text_distances(pa.array(left), pa.array(right), pa.array(most)).to_pylist()
     assert all(g == t or min(g, t) > m for g, t, m in zip(got, true, most))
     assert len(calls) < 200 and sum(t > m for t, m in zip(true, most)) > 260
+
+
+def test_edit_filter_folds_each_text_once_for_python(spark):
+    """The filter says what the edit ratio says, also where folding changes lengths, and folds a text few times a row."""
+    from pyspark.sql import functions as F
+
+    from redline.functions.text import edit_ratio, within_edit_ratio
+    long = "Some Plain Words In A Row Of Many "
+    rows = [(None, long), (long, None), (None, None), ("", ""), ("", "a"), ("", long), (long, long), ("abc", "abc"), ("ABC", "abc"), (long, long.upper()),
+            (long * 3, (long * 3)[::-1]), (long * 3, long * 4), (long * 3, long * 9), ("a" * 70 + "b" * 30, "a" * 100), ("a" * 69 + "b" * 31, "a" * 100),
+            ("a" * 7 + "b" * 3, "a" * 10), ("a" * 6 + "b" * 4, "a" * 10), ("\u0130" * 40, "i" * 40), ("\u0130" * 40, "\u0130" * 30), ("\u03a3" * 40, "\u03c3" * 40)]
+    df = spark.createDataFrame([(i, o, c) for i, (o, c) in enumerate(rows)], "i int, o string, c string")
+    for t in (0.0, 0.3, 1.0, -0.1):
+        got = df.select("i", F.coalesce(edit_ratio("o", "c") <= t, F.lit(False)).alias("want"), within_edit_ratio("o", "c", t).alias("kept")).collect()
+        assert [r.kept for r in got] == [r.want for r in got]
+    plan = df.where(within_edit_ratio("o", "c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= 4                  # for Python, and for the short rows
