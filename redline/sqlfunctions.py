@@ -34,7 +34,9 @@ class EditTags:
         key, orig, corr = (batch.column(i) for i in range(3))
         tags = align_batch(orig, corr, align_tokens)
         here = np.flatnonzero(tags.is_valid().to_numpy(zero_copy_only=False))
-        orig, tags = orig.take(pa.array(here)), tags.take(pa.array(here)).field("tags")
+        if len(here) < len(tags):
+            orig, tags = orig.take(pa.array(here)), tags.take(pa.array(here))
+        tags = tags.field("tags")
         n = np.diff(orig.offsets.to_numpy())
         row = np.repeat(here, n)
         pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
